@@ -97,7 +97,7 @@ def _bayes_predictions(spark: SparkSession, d: str) -> DataFrame:
 def _members(spark: SparkSession, d: str) -> DataFrame:
     """Learned probabilities and lexicon polarity of every aligned article."""
     rows, scores = _bayes_scores(spark, d)
-    learned_side = rounded(bayes.predict_proba(scores))
+    learned_side = rounded(bayes.predict_proba(scores), 4)
     polar = lexicon.polarity(
         rows, t.lexicon(spark, d), ["news_id"], modifier_words=t.modifier_words(spark, d)
     )

@@ -56,8 +56,8 @@ def with_previous(
 ) -> DataFrame:
     """Add ``name``: ``column`` of the row before, as ``shift(1)`` per series."""
     return with_value_before(
-        df, keys, order, F.struct(F.col(column).alias("v")), "_before"
-    ).withColumn(name, F.col("_before.v")).drop("_before")
+        df, keys, order, F.struct(F.col(column).alias("v")), "_row_before"
+    ).withColumn(name, F.col("_row_before.v")).drop("_row_before")
 
 
 def with_position(df: DataFrame, keys: Sequence[str], order: str, name: str) -> DataFrame:
