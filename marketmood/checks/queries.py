@@ -98,10 +98,14 @@ def _members(spark: SparkSession, d: str) -> DataFrame:
     """Learned probabilities and lexicon polarity of every aligned article."""
     rows, scores = _bayes_scores(spark, d)
     learned_side = rounded(bayes.predict_proba(scores), 4)
-    polar = lexicon.polarity(
-        rows, t.lexicon(spark, d), ["news_id"], modifier_words=t.modifier_words(spark, d)
-    )
-    return learned_side.join(polar, "news_id")
+    return learned_side.join(_scored(spark, d, rows, ["news_id"]), "news_id")
+
+
+def _scored(spark: SparkSession, d: str, docs: DataFrame, keep: list[str]) -> DataFrame:
+    """Polarity under the stand-in word tables, which are written as inputs are."""
+    words = storage.written(t.lexicon(spark, d), "lexicon")
+    modifiers = storage.written(t.modifier_words(spark, d), "modifiers")
+    return lexicon.polarity(docs, words, keep, modifier_words=modifiers)
 
 
 def _articles(spark: SparkSession, d: str) -> DataFrame:
@@ -320,7 +324,7 @@ def split_time(spark, d):
 @query
 def bow_counts(spark, d):
     docs = t.news(spark, d).withColumn("text", F.concat_ws(" ", "title", "description"))
-    known = bayes.vocabulary(_general(spark, d), "text")
+    known = storage.written(bayes.vocabulary(_general(spark, d), "text"), "vocabulary")
     return bayes.bow_counts(docs, known, "news_id", "text")
 
 
@@ -364,12 +368,7 @@ def tfidf_nb(spark, d):
 
 
 def _polarity(spark: SparkSession, d: str) -> DataFrame:
-    return lexicon.polarity(
-        _processed(spark, d),
-        t.lexicon(spark, d),
-        ["news_id", "date", "ticker"],
-        modifier_words=t.modifier_words(spark, d),
-    )
+    return _scored(spark, d, _processed(spark, d), ["news_id", "date", "ticker"])
 
 
 @query

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketmood.functions.labels import polarity_label, polarity_shares
-from marketmood.functions.text import let, spaced_words
+from marketmood.functions.text import spaced_words
 from marketmood.functions.words import (
     DAMPENERS,
     DEGREE,
@@ -39,16 +39,16 @@ def modifiers(spark: SparkSession) -> DataFrame:
 
 
 def _in_context(words: Column) -> Column:
-    """Each word with the three before it, and one empty word closing the text."""
-    return let(
-        F.array_append(words, F.lit(_END)),
-        lambda all_words: F.transform(
-            all_words,
-            lambda word, i: F.struct(
-                word.alias("token"),
-                *[F.get(all_words, i - k).alias(f"before_{k}") for k in (1, 2, 3)],
-            ),
-        ),
+    """Each word beside the three before it, and one empty word closing the text.
+
+    The word array is zipped with itself shifted by one, two and three places;
+    the surplus places at the end have no word and meet nothing in the join.
+    """
+    none = F.lit(None).cast("string")
+    shifted = [F.concat(F.array_repeat(none, k), words) for k in (1, 2, 3)]
+    return F.arrays_zip(
+        F.array_append(words, F.lit(_END)).alias("token"),
+        *[s.alias(f"before_{k}") for k, s in zip((1, 2, 3), shifted)],
     )
 
 
@@ -80,7 +80,11 @@ def polarity(
         )
     )
     words = F.filter(spaced_words(F.coalesce(F.col(text), F.lit(""))), lambda w: F.length(w) > 1)
-    hits = docs.select(*keep, F.inline(_in_context(words))).join(small(scored), "token")
+    listed = docs.select(*keep, words.alias("_words"))
+    context = F.inline(_in_context(F.col("_words"))).alias(
+        "token", "before_1", "before_2", "before_3"
+    )
+    hits = listed.select(*keep, context).join(small(scored), "token")
     for k in (1, 2, 3):
         renamed = active.withColumnsRenamed(
             {"_token": f"before_{k}", "degree": f"degree_{k}", "negates": f"negates_{k}"}
