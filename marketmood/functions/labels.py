@@ -40,7 +40,9 @@ def polarity_label(score: Column, pos: float | Column = 0.05, neg: float | Colum
     return F.when(score > pos, BULLISH).when(score < neg, BEARISH).otherwise(NEUTRAL)
 
 
-def polarity_shares(score: Column, pos: float = 0.05, neg: float = -0.05) -> dict[str, Column]:
+def polarity_shares(
+    score: Column, pos: float | Column = 0.05, neg: float | Column = -0.05
+) -> dict[str, Column]:
     """Three pseudo-probabilities from one polarity score."""
     width = pos - neg + 1
     bull = F.when(

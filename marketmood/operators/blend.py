@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 
 from marketmood.functions.labels import LABELS, best_label, polarity_shares
 
-# Fixed grid and defaults: 7 thresholds by 5 weights, threshold first.
-THRESHOLDS = tuple(i * 0.05 for i in range(7))
-WEIGHTS = tuple(0.5 + 0.1 * j for j in range(5))
+# Fixed grid: thresholds 0, 0.05 .. 0.30 by weights 0.5, 0.6 .. 0.9, threshold
+# first; and the defaults.
+N_THRESHOLDS, THRESHOLD_STEP = 7, 0.05
+N_WEIGHTS, WEIGHT_START, WEIGHT_STEP = 5, 0.5, 0.1
 DEFAULT_THRESHOLD = 0.05
 DEFAULT_WEIGHT = 0.7
 
 
-def blend_shares(compound: Column, threshold: float, weight: float) -> dict[str, Column]:
+def blend_shares(
+    compound: Column, threshold: float | Column, weight: float | Column
+) -> dict[str, Column]:
     """weight * learned + (1 - weight) * lexicon, learned in the label columns."""
     lexicon = polarity_shares(compound, threshold, -threshold)
     return {l: F.lit(weight) * F.col(l) + F.lit(1 - weight) * lexicon[l] for l in LABELS}
@@ -29,23 +32,22 @@ def blend_predict(
 
 
 def blend_grid(members: DataFrame, label: str = "label") -> DataFrame:
-    """(pos_thresh, weight, accuracy) of all 35 settings in one pass over the data."""
-    points = [(t, w) for t in THRESHOLDS for w in WEIGHTS]
-    hits = members.agg(
-        *[
-            F.avg(
-                (best_label(blend_shares(F.col("compound"), t, w)) == F.col(label)).cast("double")
-            ).alias(f"a{i}")
-            for i, (t, w) in enumerate(points)
-        ]
+    """(pos_thresh, weight, accuracy) of all 35 settings in one pass over the data.
+
+    Each narrow row is unfolded over the fixed grid and folded to 35 partial
+    means per task at once; only those are shuffled.
+    """
+    i = F.col("_i")
+    threshold = F.floor(i / N_WEIGHTS) * F.lit(THRESHOLD_STEP)
+    weight = F.lit(WEIGHT_START) + (i % N_WEIGHTS) * F.lit(WEIGHT_STEP)
+    points = F.sequence(F.lit(0), F.lit(N_THRESHOLDS * N_WEIGHTS - 1))
+    said = best_label(blend_shares(F.col("compound"), F.col("pos_thresh"), F.col("weight")))
+    return (
+        members.select(*LABELS, "compound", F.col(label).alias("_true"), F.explode(points).alias("_i"))
+        .withColumns({"pos_thresh": threshold, "weight": weight})
+        .groupBy("pos_thresh", "weight")
+        .agg(F.avg((said == F.col("_true")).cast("double")).alias("accuracy"))
     )
-    rows = [
-        F.struct(
-            F.lit(t).alias("pos_thresh"), F.lit(w).alias("weight"), F.col(f"a{i}").alias("accuracy")
-        )
-        for i, (t, w) in enumerate(points)
-    ]
-    return hits.select(F.inline(F.array(*rows)))
 
 
 def blend_best(grid: DataFrame) -> DataFrame:

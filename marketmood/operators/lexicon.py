@@ -63,8 +63,8 @@ def polarity(
 
     A word's context travels in its own row, so neither a window nor a shuffle of
     words is needed: words without valence are dropped at the join, and sums are
-    combined per text before the shuffle. The empty closing word has valence 0
-    and keeps texts without any known word.
+    combined per text before the shuffle. The empty closing word has no valence
+    and only keeps texts without any known word.
     """
     spark = docs.sparkSession
     changes = modifiers(spark) if modifier_words is None else modifier_words
@@ -72,7 +72,9 @@ def polarity(
     scored = lexicon.select("token", "valence").join(
         small(changes.filter("degree <> 0").select("token")), "token", "left_anti"
     ).unionByName(
-        spark.range(1).select(F.lit(_END).alias("token"), F.lit(0.0).alias("valence"))
+        spark.range(1).select(
+            F.lit(_END).alias("token"), F.lit(None).cast("double").alias("valence")
+        )
     )
     active = small(
         changes.join(lexicon.select("token"), "token", "left_anti").select(
@@ -100,7 +102,7 @@ def polarity(
     compound = F.round(total / F.sqrt(total * total + ALPHA), 4)
     return (
         hits.groupBy(*keep)
-        .agg(F.sum(value).alias("_total"))
+        .agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("_total"))
         .select(*keep, F.least(F.greatest(compound, F.lit(-1.0)), F.lit(1.0)).alias("compound"))
     )
 
