@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketmood.functions.text import vector_words
+from marketmood.storage import spread
 
 TICKERS = ("click", "error", "purchase", "signup", "view")
 EMBEDDING_DIM = 64
@@ -50,7 +51,7 @@ def index_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     doc_id = F.col("doc_id")
     first = F.split_part("text", F.lit("\n"), F.lit(1))
     rest = F.expr("substring(text, length(split_part(text, '\n', 1)) + 2)")
@@ -71,7 +72,7 @@ def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text, code) with the codes of the labelled phrase corpus."""
     code = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 1, 1).otherwise(2)
     return (
-        table(spark, sf_dir, "documents")
+        spread(table(spark, sf_dir, "documents"))
         .select("doc_id", "text")
         .join(table(spark, sf_dir, "labels"), "doc_id")
         .select("doc_id", "text", code.alias("code"))

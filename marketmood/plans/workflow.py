@@ -28,7 +28,7 @@ from marketmood.operators import (
 from marketmood.plans.models import TextModel, get_model
 from marketmood.sources import sinks
 from marketmood.sources.schemas import NEWS_COLUMNS
-from marketmood.storage import written
+from marketmood.storage import spread, written
 
 
 @dataclass
@@ -53,7 +53,7 @@ def training_rows(inputs: Inputs, path: str) -> DataFrame:
     sinks.write_by_ticker(news_text.clean_news(inputs.news), processed)
     sinks.write_by_ticker(prices.sentiment_labels(inputs.stock, inputs.index), labels)
     rows = align.align_news_labels(
-        sinks.read_table(spark, processed), sinks.read_table(spark, labels)
+        spread(sinks.read_table(spark, processed)), sinks.read_table(spark, labels)
     )
     features = written(align.build_features(rows, inputs.stock), "training-rows")
     return quality.require_rows(features, quality.MIN_ROWS, "training rows")

@@ -50,6 +50,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table just read, over all cores if its files give fewer splits than that.
+
+    A small table of long texts in one file would be one task. Large tables have
+    more splits than cores and are returned as they are, without a shuffle.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+
+
 def table_bytes(df: DataFrame) -> int:
     """Estimated in-memory size of a table of flat columns, in one aggregate."""
     size = F.lit(_FIELD_BYTES * len(df.columns))
