@@ -404,8 +404,7 @@ BODIES = {
         WHERE ticker IN ('click', 'error', 'view') AND (date IS NULL OR date LIKE '2%')""",
     "news_missing_keys": """
         SELECT ticker, date, source FROM stock, (VALUES ('newsapi'), ('tickertick')) v(source)
-        EXCEPT SELECT ticker, date, source FROM news
-        WHERE title IS NOT NULL AND description IS NOT NULL""",
+        EXCEPT SELECT ticker, date, source FROM news""",
     "news_top_per_ticker": """
         SELECT ticker, rank, news_id, score FROM (
             SELECT ticker, news_id, score, row_number() OVER (
@@ -509,7 +508,7 @@ BODIES = {
         JOIN day_features f ON f.ticker = d.ticker AND f.date = d.date""",
     "first_signal_per_day": "SELECT ticker, date, signal FROM signals",
     "common_dates": """
-        SELECT ticker, date FROM news WHERE title IS NULL INTERSECT SELECT ticker, date FROM stock""",
+        SELECT ticker, date FROM news INTERSECT SELECT ticker, date FROM stock""",
     "backtest_portfolio": f"SELECT ticker, date, {_r('portfolio')} AS portfolio FROM value_days",
     "backtest_metrics": f"""
         SELECT ticker, {_r('total_return')} AS total_return, {_r('sharpe_ratio')} AS sharpe_ratio FROM (
@@ -526,6 +525,8 @@ BODIES = {
         FROM user_labels l JOIN stock_users s ON l.ticker = s.ticker AND l.date = s.date""",
 }
 
+BODIES["training_frame"] = BODIES["build_features"]
+
 
 def _mentioned(sql: str) -> set[str]:
     return set(re.findall(r"\w+", sql)) & set(VIEWS)

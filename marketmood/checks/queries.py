@@ -221,8 +221,7 @@ def news_missing_keys(spark, d):
     requested = t.stock_prices(spark, d).select(
         "ticker", "date", F.explode(F.array(*[F.lit(s) for s in news_source.SOURCES])).alias("source")
     )
-    landed = t.news(spark, d).filter("title IS NOT NULL AND description IS NOT NULL")
-    return news_source.missing_requests(requested, landed, ["ticker", "date", "source"])
+    return news_source.missing_requests(requested, t.news(spark, d), ["ticker", "date", "source"])
 
 
 @query
@@ -280,6 +279,13 @@ def build_features(spark, d):
     return rounded(align.build_features(_aligned(spark, d), t.stock_prices(spark, d)))
 
 
+@query
+def training_frame(spark, d):
+    return rounded(
+        align.training_frame(_processed(spark, d), _labels(spark, d), t.stock_prices(spark, d))
+    )
+
+
 @query
 def join_date_only(spark, d):
     return align.join_date_only(_processed(spark, d), _labels(spark, d)).select(
@@ -523,9 +529,7 @@ def first_signal_per_day(spark, d):
 
 @query
 def common_dates(spark, d):
-    return backtest.common_dates(
-        t.news(spark, d).filter("title IS NULL"), t.stock_prices(spark, d)
-    )
+    return backtest.common_dates(t.news(spark, d), t.stock_prices(spark, d))
 
 
 @query

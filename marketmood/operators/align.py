@@ -9,6 +9,8 @@ from marketmood.functions.labels import LABELS
 from marketmood.operators.prices import previous_close
 from marketmood.storage import small
 
+DAY_KEYS = ("date", "ticker")
+
 
 def align_news_labels(processed: DataFrame, labels: DataFrame) -> DataFrame:
     """Each article with the label of its ticker and date.
@@ -30,6 +32,24 @@ def build_features(data: DataFrame, bars: DataFrame) -> DataFrame:
     )
 
 
+def training_frame(processed: DataFrame, labels: DataFrame, bars: DataFrame) -> DataFrame:
+    """Labels and features in one join of the news.
+
+    Gives what ``build_features(align_news_labels(...))`` gives. Label and
+    previous close are joined first, both one row per ticker and day, so the
+    texts are matched, and at worst moved, once instead of twice.
+    """
+    days = labels.select("date", "ticker", "sentiment").join(
+        previous_close(bars), ["date", "ticker"], "left"
+    )
+    return (
+        processed.dropna(subset=["cleaned_text"])
+        .join(days, ["date", "ticker"])
+        .withColumn("text_length", F.length("cleaned_text"))
+        .select(*DAY_KEYS, "news_id", "cleaned_text", "sentiment", "text_length", "previous_close")
+    )
+
+
 def join_date_only(processed: DataFrame, labels: DataFrame) -> DataFrame:
     """News joined to labels on the date alone, as counted rows.
 

@@ -52,11 +52,14 @@ def training_rows(inputs: Inputs, path: str) -> DataFrame:
     processed, labels = f"{path}/processed_news", f"{path}/sentiment_labels"
     sinks.write_by_ticker(news_text.clean_news(inputs.news), processed)
     sinks.write_by_ticker(prices.sentiment_labels(inputs.stock, inputs.index), labels)
-    rows = align.align_news_labels(
-        spread(sinks.read_table(spark, processed)), sinks.read_table(spark, labels)
+    rows = align.training_frame(
+        spread(sinks.read_table(spark, processed)),
+        sinks.read_table(spark, labels),
+        inputs.stock,
+    )
+    return quality.require_rows(
+        written(rows, "training-rows"), quality.MIN_ROWS, "training rows"
     )
-    features = written(align.build_features(rows, inputs.stock), "training-rows")
-    return quality.require_rows(features, quality.MIN_ROWS, "training rows")
 
 
 def classify(
