@@ -406,7 +406,7 @@ BODIES = {
         SELECT ticker, date, source FROM stock, (VALUES ('newsapi'), ('tickertick')) v(source)
         EXCEPT SELECT ticker, date, source FROM news""",
     "news_top_per_ticker": """
-        SELECT ticker, rank, news_id, score FROM (
+        SELECT ticker, CAST(rank AS INTEGER) AS rank, news_id, score FROM (
             SELECT ticker, news_id, score, row_number() OVER (
                 PARTITION BY ticker ORDER BY score DESC, news_id) AS rank FROM news) WHERE rank <= 100""",
     "company_lookup": """
@@ -442,7 +442,7 @@ BODIES = {
         SELECT ticker, date, (SELECT count(*) FROM stock_users u WHERE u.date > s.date)
                < 0.2 * (SELECT count(*) FROM stock_users) AS is_test FROM stock_users s""",
     "bow_counts": f"""
-        SELECT news_id, token, count(*) AS n FROM (
+        SELECT news_id, token, CAST(count(*) AS INTEGER) AS n FROM (
             SELECT news_id, unnest(regexp_extract_all(lower(concat_ws(' ', title, description)), {_WORDS}))
                    AS token FROM news)
         WHERE token IN (SELECT token FROM vocab) GROUP BY 1, 2""",

@@ -13,7 +13,7 @@ from marketmood.functions.text import has_text
 DAY = ["date", "ticker"]
 # Characters of joined text per output row.
 PART_CHARS = 16 * 1024 * 1024
-_RUN = 4096
+_RUN_BITS = 12
 
 
 def embed_or_zero(processed: DataFrame, embeddings: DataFrame, dim: int) -> DataFrame:
@@ -61,12 +61,12 @@ def daily_text(articles: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
 
     A day that fits ``part_chars`` is one row, part 0. A hot ticker-day is
     returned whole, but as several parts in order, so no task holds all of it.
-    Lengths are summed per run of ``_RUN`` neighbouring ids, and the running sum
+    Lengths are summed per run of 4,096 neighbouring ids, and the running sum
     over the runs of a day gives each run its part; the texts themselves move
     once, to their part.
     """
     rows = articles.select(
-        *DAY, "news_id", "cleaned_text", F.floor(F.col("news_id") / _RUN).alias("_run")
+        *DAY, "news_id", "cleaned_text", F.shiftright("news_id", _RUN_BITS).alias("_run")
     )
     earlier = (
         Window.partitionBy(*DAY).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)

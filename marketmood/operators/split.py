@@ -39,7 +39,8 @@ def exact_split(
     The test rows are those of lowest key hash. The hash of the last one is found
     by counting rows per hash prefix (at most 65,536 counts per stratum) and
     ranking only the one bucket the cut falls into, so the rows themselves are
-    neither sorted nor moved. ``keys`` must identify a row.
+    neither sorted nor moved. ``keys`` must identify a row. ``df`` is read three
+    times: pass it written if it is costly.
     """
     group = F.col(strata) if strata else F.lit("all")
     narrow = df.select(group.alias("_group"), _digest(keys, seed).alias("_digest")).withColumn(
@@ -67,6 +68,11 @@ def exact_split(
         .filter(F.col("_rank") == F.col("_rest"))
         .select("_group", F.col("_digest").alias("_last"))
     )
+    if strata is None:
+        # One cut for all rows: a literal, not a join with a one-row table.
+        found = last.first()
+        below = _digest(keys, seed) <= F.lit(found["_last"] if found else "")
+        return df.withColumn("is_test", below)
     return (
         df.withColumn("_group", group)
         .join(small(last), "_group", "left")

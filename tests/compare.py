@@ -29,6 +29,23 @@ def as_rows(columns, rows):
     return sorted(tuple(_plain(row[i]) for i in order) for row in rows)
 
 
+TYPES = {
+    "bigint": "BIGINT",
+    "boolean": "BOOLEAN",
+    "date": "DATE",
+    "double": "DOUBLE",
+    "int": "INTEGER",
+    "string": "VARCHAR",
+}
+
+
+def schema_differences(frame, con, sql: str) -> dict:
+    """Columns whose types differ between the two engines."""
+    got = {name: TYPES.get(kind, kind) for name, kind in frame.dtypes}
+    want = {row[0]: row[1] for row in con.execute(f"DESCRIBE {sql}").fetchall()}
+    return {c: (got.get(c), want.get(c)) for c in got | want if got.get(c) != want.get(c)}
+
+
 def compare(spark, con, sf_dir: str, query, sql: str) -> dict:
     started = time.time()
     frame = query(spark, sf_dir)
@@ -40,6 +57,7 @@ def compare(spark, con, sf_dir: str, query, sql: str) -> dict:
     want = as_rows(names, result.fetchall())
     return {
         "columns": sorted(frame.columns) == sorted(names),
+        "types": schema_differences(frame, con, sql),
         "rows": (len(got), len(want)),
         "equal": got == want,
         "differences": [(g, w) for g, w in zip(got, want) if g != w][:3],
