@@ -16,6 +16,7 @@ from marketmood.storage import small
 ARTICLE_SOURCE, FEED_SOURCE = "newsapi", "tickertick"
 SOURCES = (ARTICLE_SOURCE, FEED_SOURCE)
 TOP_ARTICLES = 100
+DAY_MILLIS = 86_400_000
 # Company names used in search phrases.
 COMPANIES = {
     "AAPL": "Apple Inc",
@@ -42,13 +43,17 @@ def flatten_articles(payloads: DataFrame) -> DataFrame:
 
 
 def flatten_stories(payloads: DataFrame, from_date: str, to_date: str) -> DataFrame:
-    """``stories[]`` to news rows within [from, to], both at midnight UTC."""
-    item = payloads.select("ticker", F.explode("stories").alias("s")).withColumn(
-        "_at", F.timestamp_millis("s.time")
-    )
-    bounds = [F.to_timestamp(F.lit(d), "yyyy-MM-dd") for d in (from_date, to_date)]
-    return item.filter(F.col("_at").between(*bounds)).select(
-        F.date_format("_at", "yyyy-MM-dd").alias("date"),
+    """``stories[]`` to news rows within [from, to], both at midnight UTC.
+
+    Days are counted from the epoch, so the session's time zone plays no part.
+    """
+    first, last = [
+        F.unix_date(F.to_date(F.lit(d))).cast("long") * DAY_MILLIS for d in (from_date, to_date)
+    ]
+    item = payloads.select("ticker", F.explode("stories").alias("s"))
+    day = F.date_from_unix_date(F.floor(F.col("s.time") / DAY_MILLIS).cast("int"))
+    return item.filter(F.col("s.time").between(first, last)).select(
+        day.cast("string").alias("date"),
         *[F.coalesce(f"s.{c}", F.lit("")).alias(c) for c in ("title", "description")],
         F.lit("").alias("content"),
         "ticker",
