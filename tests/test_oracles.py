@@ -6,8 +6,9 @@ import pytest
 
 import __spark_entry__ as entry_points
 from compare import compare, connect
+from marketmood.checks.oracles import ORACLES
+from marketmood.checks.queries import REGISTRY as QUERIES
 
-QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
 ROWS_ONLY = {"learned_predict", "forecast_ensemble_mse"}
 
 
