@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marketmood.llm import bpe, quality_rules
+from marketmood.llm import bpe, decontaminate, language, quality_classifier, quality_rules
+from marketmood.llm.common import fold
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,10 +26,30 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_quality(docs, forest, carry=["doc_id"])
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold("doc_id", 4) == 2
+    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    scored = quality_classifier.classify(docs, model, carry=["doc_id"])
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.encode_texts(docs, tokenizer(), carry=["doc_id"], with_ids=False, with_text=False)
 
 
-REGISTRY = {f.__name__: f for f in (op2_quality_rules, op7_byte_bpe)}
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold("doc_id", 3) == 1
+    model = language.fit(docs, ~held_out)
+    found = language.identify(docs, model, carry=["doc_id"])
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+REGISTRY = {f.__name__: f for f in (op2_quality_rules, op3_quality_classifier, op6_decontamination, op7_byte_bpe, op10_language)}
 ORACLES: dict[str, str] = {}
