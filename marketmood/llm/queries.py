@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketmood.llm import bpe, decontaminate, language, quality_classifier, quality_rules
+from marketmood.llm import (
+    bpe,
+    decontaminate,
+    language,
+    licenses,
+    quality_classifier,
+    quality_rules,
+    shards,
+    url_rules,
+)
 from marketmood.llm.common import fold
 
 
@@ -34,6 +43,15 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge_pages(table(spark, sf_dir, "pages"), url_rules.rule_table(spark))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = shards.assign_shards(table(spark, sf_dir, "documents"))
+    return found.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -43,6 +61,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(docs, tokenizer(), carry=["doc_id"], with_ids=False, with_text=False)
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), carry=["doc_id"])
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = fold("doc_id", 3) == 1
@@ -51,5 +73,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-REGISTRY = {f.__name__: f for f in (op2_quality_rules, op3_quality_classifier, op6_decontamination, op7_byte_bpe, op10_language)}
+REGISTRY = {f.__name__: f for f in (op2_quality_rules, op3_quality_classifier, op4_url_rules, op5_sharding, op6_decontamination, op7_byte_bpe, op8_licenses, op10_language)}
 ORACLES: dict[str, str] = {}
