@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marketmood.llm import (
     bpe,
     decontaminate,
+    jaccard_join,
     language,
     licenses,
     quality_classifier,
@@ -29,6 +30,10 @@ def tokenizer() -> bpe.Tokenizer:
     return bpe.read_tokenizer(path, public_tokenizers.PATTERN)
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     forest = quality_rules.fit_rules(docs, table(spark, sf_dir, "labels"))
@@ -73,5 +78,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-REGISTRY = {f.__name__: f for f in (op2_quality_rules, op3_quality_classifier, op4_url_rules, op5_sharding, op6_decontamination, op7_byte_bpe, op8_licenses, op10_language)}
+REGISTRY = {f.__name__: f for f in (op1_jaccard_join, op2_quality_rules, op3_quality_classifier, op4_url_rules, op5_sharding, op6_decontamination, op7_byte_bpe, op8_licenses, op10_language)}
 ORACLES: dict[str, str] = {}
