@@ -14,6 +14,7 @@ from marketmood.llm import (
     quality_classifier,
     quality_rules,
     shards,
+    substring_dedup,
     url_rules,
 )
 from marketmood.llm.common import fold
@@ -70,6 +71,10 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), carry=["doc_id"])
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), carry=["doc_id"], with_text=False)
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = fold("doc_id", 3) == 1
@@ -78,5 +83,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-REGISTRY = {f.__name__: f for f in (op1_jaccard_join, op2_quality_rules, op3_quality_classifier, op4_url_rules, op5_sharding, op6_decontamination, op7_byte_bpe, op8_licenses, op10_language)}
+REGISTRY = {f.__name__: f for f in (op1_jaccard_join, op2_quality_rules, op3_quality_classifier, op4_url_rules, op5_sharding, op6_decontamination, op7_byte_bpe, op8_licenses, op9_substring_dedup, op10_language)}
 ORACLES: dict[str, str] = {}
