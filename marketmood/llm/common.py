@@ -10,12 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketmood.storage import new_path, table_bytes
+from marketmood.storage import new_path
 
 # Rows of long texts make large Arrow batches; this bounds a batch by bytes.
 BATCH_BYTES = 8 * 1024 * 1024
 # A table is broadcast only when its measured size is at most this.
-BROADCAST_BYTES = 16 * 1024 * 1024
+BROADCAST_BYTES = 40 * 1024 * 1024
 SHINGLE_WORDS = 5
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -33,9 +33,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def size_of(df: DataFrame) -> int:
+    """Bytes of a table in memory, about: 16 a value, and what strings and arrays hold."""
+    total = F.lit(16 * len(df.columns))
+    for field in df.schema.fields:
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            total = total + F.coalesce(F.octet_length(field.name), F.lit(0))
+        elif isinstance(field.dataType, T.ArrayType):
+            width = 40 if isinstance(field.dataType.elementType, T.StructType) else 16
+            total = total + width * F.greatest(F.size(field.name), F.lit(0))
+    return df.agg(F.sum(total.cast("long"))).first()[0] or 0
+
+
 def if_small(df: DataFrame) -> DataFrame:
     """``df`` (already written, or as cheap) marked for broadcast if its size allows."""
-    return F.broadcast(df) if table_bytes(df) <= BROADCAST_BYTES else df
+    return F.broadcast(df) if size_of(df) <= BROADCAST_BYTES else df
 
 
 def fold(column: str, folds: int) -> Column:

@@ -41,7 +41,8 @@ ROUNDS = 4
 MOVED = 1_000_000
 # Sizes at which enumerating pairs is considered.
 LARGEST_SMALL = 64
-BITS = 1024
+# Bits of a set's bitmap: a power of two, at least this and at least the set's size.
+LEAST_BITS = 256
 # Candidate pairs made at a time.
 BLOCK = 1 << 17
 # Members verified against one copy of their leader's text.
@@ -69,10 +70,19 @@ def prefix_length(n: int, shared: int = 1, percent: int = PERCENT) -> int:
 
 def bitmap(shingles: np.ndarray) -> bytes:
     """Parity of the shingles per bucket; bits that differ bound the symmetric difference."""
-    odd = np.bincount((shingles % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    bits = max(LEAST_BITS, 1 << (len(shingles) - 1).bit_length())
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(bool)).tobytes()
 
 
+def least_difference(a: bytes, b: bytes) -> int:
+    """A lower bound of the symmetric difference; the longer bitmap is folded onto the shorter."""
+    long, short = np.frombuffer(max(a, b, key=len), np.uint64), np.frombuffer(min(a, b, key=len), np.uint64)
+    if len(long) > len(short):
+        long = np.bitwise_xor.reduce(long.reshape(-1, len(short)), axis=0)
+    return int(np.bitwise_count(long ^ short).sum())
+
+
 def _signatures(docs: DataFrame, percent: int) -> DataFrame:
     """doc_id, n, node of every row; prefix and bitmap of each set where a task first meets it."""
     schema = "doc_id long, n long, node long, bits binary, prefix array<long>"
@@ -261,8 +271,8 @@ def _close_enough(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in ("bits_a", "bits_b")]
-            differ = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64)
+            bits = zip(batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist())
+            differ = np.array([least_difference(a, b) for a, b in bits], np.int64)
             total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
             # percent * (total + d) <= 100 * (total - d) for the symmetric difference d.
             fits = (100 + percent) * differ <= (100 - percent) * total

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh32_intdigest
 
-from marketmood.llm.common import BROADCAST_BYTES, added_schema, bound_batches, stored, window_hashes
+from marketmood.llm.common import added_schema, bound_batches, if_small, stored, window_hashes
 from marketmood.llm.wordscan import WordScanner
 
 WIDTH = 50
@@ -165,13 +165,11 @@ def _passages(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
     # A document's cells are as many as its length allows.
     per_doc = stored(
-        wanted.groupBy("doc_id").agg(F.collect_list(F.struct("row", "start", "count", "anchor", "large")).alias("cells"), F.count(F.lit(1)).alias("n")),
+        wanted.groupBy("doc_id").agg(F.collect_list(F.struct("row", "start", "count", "anchor", "large")).alias("cells")),
         "wanted",
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).filter("text is not null")
-    cells = per_doc.agg(F.sum("n")).first()[0] or 0
-    few = F.broadcast(per_doc) if cells * 32 <= 2 * BROADCAST_BYTES else per_doc
-    return texts.join(few, "doc_id").select("doc_id", "text", "cells").mapInArrow(cut, "anchor long, doc_id long, row int, start int, large boolean, text binary").distinct()
+    return texts.join(if_small(per_doc), "doc_id").select("doc_id", "text", "cells").mapInArrow(cut, "anchor long, doc_id long, row int, start int, large boolean, text binary").distinct()
 
 
 def _matched(passages: DataFrame, width: int) -> DataFrame:
@@ -267,11 +265,9 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None, width: int =
     added = {"n_words": "long", "n_removed": "long", "kept_sha256": "string"}
     carried = [c for c in carry or docs.columns if c not in added]
     spans = stored(find_spans(docs, width), "spans")
-    total = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
-    few = F.broadcast(spans) if total * 32 <= 2 * BROADCAST_BYTES else spans
     columns = list(dict.fromkeys([*carried, "text"]))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*columns).alias("own"))
-    joined = own.join(few, "doc_id", "left").select(*[F.col("own")[c].alias(c) for c in columns], F.col("spans"))
+    joined = own.join(if_small(spans), "doc_id", "left").select(*[F.col("own")[c].alias(c) for c in columns], F.col("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = WordScanner()
