@@ -401,3 +401,24 @@ def link_documents(docs: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS
         .join(per_node, "node", "left")
         .select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     )
+
+
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, all columns, of which each component keeps one document.
+
+    The document with the smallest id stays. Texts without words are in no component and
+    stay; so do rows with a null id, which nothing can name. Rows that repeat an id stay
+    or go together; of those that stay, equal texts are kept once.
+    """
+    linked = link_documents(docs, percent).filter("doc_id is not null")
+    ids = stored(
+        linked.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count(F.lit(1)).alias("rows")),
+        "ids",
+    )
+    kept = docs.join(if_small(ids.filter("not stays").select("doc_id")), "doc_id", "left_anti").select(*docs.columns)
+    again = ids.filter("stays and rows > 1").select("doc_id")
+    if again.limit(1).count() == 0:
+        return kept
+    # Only ids that stand in several rows are shuffled.
+    once = kept.join(if_small(again), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(if_small(again), "doc_id", "left_anti").unionByName(once).select(*docs.columns)

@@ -267,14 +267,14 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None, width: int =
     spans = stored(find_spans(docs, width), "spans")
     columns = list(dict.fromkeys([*carried, "text"]))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*columns).alias("own"))
-    joined = own.join(if_small(spans), "doc_id", "left").select(*[F.col("own")[c].alias(c) for c in columns], F.col("spans"))
+    joined = own.join(if_small(spans), "doc_id", "left").select("own", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = WordScanner()
         for batch in batches:
             counts, removed, digests, texts = [], [], [], []
-            all_spans = batch.column(batch.num_columns - 1).to_pylist()
-            for text, spans in zip(batch.column("text").cast(pa.binary()).to_pylist(), all_spans):
+            fields = dict(zip(columns, batch.column("own").flatten()))
+            for text, spans in zip(fields["text"].cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist()):
                 words = (text or b"").split()
                 gone = removed_words(len(words), spans, _row_key(text)) if spans and text else np.zeros(len(words), bool)
                 n = int(gone.sum())
@@ -290,7 +290,7 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None, width: int =
                 texts.append(text)
             own = []
             for name in carried:
-                column = batch.column(name)
+                column = fields[name]
                 own.append(pa.array(texts, pa.binary()).cast(column.type) if name == "text" and with_text else column)
             yield pa.RecordBatch.from_arrays([*own, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], [*carried, *added])
 
