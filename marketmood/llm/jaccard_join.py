@@ -9,7 +9,9 @@ any fixed order of all shingles they therefore share a key within their first sh
 * the boundary between them is where enumerating costs more than scanning, from the
   list lengths measured; sets near it have both kinds of keys.
 
-A short list gives all its pairs; a long one only links its members to a leader, which
+A set's prefix is long enough for a linked set to share several of its shingles, in
+proportion to its size; pairs that share fewer are dropped by their counts. A short list
+gives all its pairs; a long one only links its members to a leader, which
 joins groups of near copies without all their pairs. Shingles of long lists that still
 hold several components (passages shared by unlike documents) are then moved to the end
 of the order, and the sets concerned are joined again under the new order; the last
@@ -41,6 +43,8 @@ ROUNDS = 4
 MOVED = 1_000_000
 # Sizes at which enumerating pairs is considered.
 LARGEST_SMALL = 64
+# Prefixes reach so far that one in this many of a set's shingles is shared within them.
+SHARED_PART = 20
 # Bits of a set's bitmap: a power of two, at least this and at least the set's size.
 LEAST_BITS = 256
 # Candidate pairs made at a time.
@@ -68,6 +72,11 @@ def prefix_length(n: int, shared: int = 1, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + shared
 
 
+def least_shared(n):
+    """Shingles that a large set of n and a linked one share within their prefixes."""
+    return 1 + n // SHARED_PART
+
+
 def bitmap(shingles: np.ndarray) -> bytes:
     """Parity of the shingles per bucket; bits that differ bound the symmetric difference."""
     bits = max(LEAST_BITS, 1 << (len(shingles) - 1).bit_length())
@@ -101,7 +110,7 @@ def _signatures(docs: DataFrame, percent: int) -> DataFrame:
                 n.append(len(own))
                 node.append(key)
                 bits.append(bitmap(own) if first else None)
-                prefix.append(own[: prefix_length(len(own), 2, percent)].view(np.int64) if first else None)
+                prefix.append(own[: prefix_length(len(own), max(2, least_shared(len(own))), percent)].view(np.int64) if first else None)
             columns = [pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names)
 
@@ -136,8 +145,9 @@ def _keys(sets: DataFrame, boundary: int, percent: int) -> DataFrame:
                 own = values[offsets[i] : offsets[i + 1]]
                 parts = []
                 if n > boundary:
-                    parts.append(own[: prefix_length(n, 1, percent)])
+                    parts.append(own[: prefix_length(n, least_shared(n), percent)])
                 if 2 <= n <= with_pairs:
+                    own = own[: prefix_length(n, 2, percent)]
                     first, second = np.triu_indices(len(own), 1)
                     low, high = np.minimum(own[first], own[second]), np.maximum(own[first], own[second])
                     with np.errstate(over="ignore"):
@@ -152,13 +162,20 @@ def _keys(sets: DataFrame, boundary: int, percent: int) -> DataFrame:
     return sets.select("node", "n", "prefix").mapInArrow(run, "key long, node long, n long")
 
 
-def _scan_lists(keys: DataFrame, limit: int | None, percent: int) -> DataFrame:
+def _scan_lists(keys: DataFrame, boundary: int, limit: int | None, percent: int) -> DataFrame:
     """Candidates of all inverted lists: kind 0, the pair (a, b); kind 1, member b of long list a.
 
+    need is how many keys the pair shares at least if it links: 1 where a set of it has
+    pairs as keys.
+
     Lists are runs of sorted rows and are read as a stream: a short one is held, of a
     long one only the leader. ``limit`` None gives the pairs of every list.
     """
-    names = ["kind", "a", "b"]
+    names = ["kind", "a", "b", "need"]
+    with_pairs = boundary * 100 // percent
+
+    def need(sizes: np.ndarray) -> np.ndarray:
+        return np.where(sizes <= with_pairs, 1, least_shared(sizes)).astype(np.int32)
 
     def pairs(nodes: np.ndarray, sizes: np.ndarray) -> Iterator[tuple]:
         """All pairs of a list that pass the size filter, in blocks; sizes ascend."""
@@ -171,7 +188,7 @@ def _scan_lists(keys: DataFrame, limit: int | None, percent: int) -> DataFrame:
             own = counts[at:stop]
             first = np.repeat(np.arange(at, at + len(own)), own)
             second = first + 1 + np.arange(len(first)) - np.repeat(own.cumsum() - own, own)
-            yield 0, nodes[first], nodes[second]
+            yield 0, nodes[first], nodes[second], need(sizes[first])
             at = stop
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,17 +208,17 @@ def _scan_lists(keys: DataFrame, limit: int | None, percent: int) -> DataFrame:
                     continue
                 own = nodes[at:stop]
                 own = own[own != leader]
-                out.append((0, np.full(len(own), leader, np.int64), own))
+                out.append((0, np.full(len(own), leader, np.int64), own, np.full(len(own), need(np.array(leader_size)), np.int32)))
                 at = stop
-            out.append((1, np.full(len(nodes), key, np.int64), nodes))
+            out.append((1, np.full(len(nodes), key, np.int64), nodes, np.zeros(len(nodes), np.int32)))
 
         def emit(out: list) -> Iterator[pa.RecordBatch]:
             if out:
-                kind = np.concatenate([np.full(len(a), k, np.int32) for k, a, _ in out])
-                a, b = np.concatenate([x[1] for x in out]), np.concatenate([x[2] for x in out])
+                kind = np.concatenate([np.full(len(x[1]), x[0], np.int32) for x in out])
+                a, b, least = (np.concatenate([x[i] for x in out]) for i in (1, 2, 3))
                 for i in range(0, len(a), BLOCK):
                     j = i + BLOCK
-                    yield pa.RecordBatch.from_arrays([pa.array(kind[i:j]), pa.array(a[i:j]), pa.array(b[i:j])], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(x[i:j]) for x in (kind, a, b, least)], names)
 
         def lists(key: np.ndarray, node: np.ndarray, n: np.ndarray, last: bool) -> Iterator[tuple]:
             """Out of sorted rows, the candidates of each complete list; keeps the rest."""
@@ -215,7 +232,7 @@ def _scan_lists(keys: DataFrame, limit: int | None, percent: int) -> DataFrame:
             double = starts[:whole][lengths[:whole] == 2]
             double = double[n[double + 1] * percent <= n[double] * 100]
             if len(double):
-                out.append((0, node[double], node[double + 1]))
+                out.append((0, node[double], node[double + 1], need(n[double])))
             for i in np.flatnonzero(lengths[:whole] > 2).tolist():
                 s, e = int(starts[i]), int(ends[i])
                 if limit is not None and e - s > limit:
@@ -259,7 +276,22 @@ def _scan_lists(keys: DataFrame, limit: int | None, percent: int) -> DataFrame:
 
     parts = max(2, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = keys.repartition(parts, "key").sortWithinPartitions("key", "n", "node")
-    return ordered.mapInArrow(run, "kind int, a long, b long")
+    return ordered.mapInArrow(run, "kind int, a long, b long, need int")
+
+
+def _shared_enough(found: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose counted keys, with those of long lists that both may share, are enough."""
+    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    pairs = found.filter("kind = 0").groupBy(*pair).agg(F.count(F.lit(1)).alias("shared"), F.max("need").alias("need"))
+    single = pairs.filter("shared >= need").select("a", "b")
+    long = if_small(stored(found.filter("kind = 1").groupBy("b").agg(F.count(F.lit(1)).alias("long")), "long"))
+    rest = (
+        pairs.filter("shared < need")
+        .join(long.select(F.col("b").alias("a"), F.col("long").alias("long_a")), "a")
+        .join(long.select("b", F.col("long").alias("long_b")), "b")
+        .filter("shared >= need - least(long_a, long_b)")
+    )
+    return single.unionAll(rest.select("a", "b"))
 
 
 def _close_enough(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -335,7 +367,7 @@ def _prefixes(docs: DataFrame, wanted: DataFrame, moved: np.ndarray, percent: in
                 if len(moved):
                     late = moved[np.minimum(np.searchsorted(moved, own), len(moved) - 1)] == own
                 own = np.concatenate([own[~late], own[late]])
-                rows.append((node, len(own), own[: prefix_length(len(own), 2, percent)].view(np.int64)))
+                rows.append((node, len(own), own[: prefix_length(len(own), max(2, least_shared(len(own))), percent)].view(np.int64)))
             columns = list(zip(*rows)) or [()] * 3
             kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["node", "n", "prefix"])
@@ -370,8 +402,8 @@ def link_documents(docs: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS
     labels = None
     for turn in range(rounds):
         last = turn == rounds - 1
-        found = stored(_scan_lists(_keys(sets, boundary, percent), None if last else short_list, percent), "lists")
-        pairs = found.filter("kind = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        found = stored(_scan_lists(_keys(sets, boundary, percent), boundary, None if last else short_list, percent), "lists")
+        pairs = stored(_shared_enough(found), "pairs")
         if tried:
             pairs = pairs.join(reduce(DataFrame.unionAll, tried), ["a", "b"], "left_anti")
         close = stored(_close_enough(pairs, nodes, percent), "close")
