@@ -153,8 +153,8 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES, base: tuple = BASE, carr
     any_place = F.greatest(*[F.size(n) for n in names.values()]) > 0
     labels = F.when(any_place, F.array_union(found_base, F.array_compact(F.array(*marks))))
     score = F.when(any_place, F.coalesce(F.greatest(*shares), F.lit(0.0))).otherwise(F.lit(0.0))
-    return rows.select(
-        *[F.col("own")[c].alias(c) for c in carried],
+    found = rows.select(
+        "own",
         F.size("words").cast("long").alias("n_words"),
         F.size(all_base).cast("long").alias("n_base"),
         F.array_min(all_base).cast("long").alias("first_word"),
@@ -163,3 +163,4 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES, base: tuple = BASE, carr
         F.coalesce(F.array_join(F.array_sort(labels), ","), F.lit("")).alias("labels"),
         score.alias("score"),
     )
+    return found.select(*[F.col("own")[c].alias(c) for c in carried], *ADDED)
