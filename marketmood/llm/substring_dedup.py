@@ -34,8 +34,9 @@ from marketmood.llm.wordscan import WordScanner
 WIDTH = 50
 # Words in the runs whose smallest hash is a window's anchor.
 RUN = 16
-# Passages of one anchor that meet in an automaton, at most.
-HELD = 200
+# Passages of one anchor that meet in an automaton, at most; bounds its memory to about
+# 200 MB where all passages differ.
+HELD = 3000
 
 
 class SuffixAutomaton:
@@ -238,7 +239,27 @@ def find_spans(docs: DataFrame, width: int = WIDTH, run: int = RUN, held: int =
     shared = contents.filter("first.doc_id < last").select("anchor", "content", F.col("first.doc_id").alias("first"))
     copies = cells.join(shared, ["anchor", "content"]).filter("first < doc_id")
     whole = copies.select("doc_id", "row", F.col("start").alias("low"), (F.col("start") + F.col("count") + width - 1).alias("high"))
-    return whole.unionByName(found).groupBy("doc_id").agg(F.collect_set(F.struct("row", "low", "high")).alias("spans"))
+    # A document's spans are as many as its length allows.
+    listed = whole.unionByName(found).groupBy("doc_id").agg(F.collect_list(F.struct("row", "low", "high")).alias("spans"))
+    kinds = pa.list_(pa.struct([("row", pa.int32()), ("low", pa.int32()), ("high", pa.int32())]))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            merged = [merged_spans(spans) for spans in batch.column("spans").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(merged, kinds)], ["doc_id", "spans"])
+
+    return listed.mapInArrow(merge, "doc_id long, spans array<struct<row: int, low: int, high: int>>")
+
+
+def merged_spans(spans: list[dict]) -> list[dict]:
+    """Overlapping and touching spans of a row joined."""
+    out: list[dict] = []
+    for span in sorted(spans, key=lambda s: (s["row"], s["low"])):
+        if out and out[-1]["row"] == span["row"] and span["low"] <= out[-1]["high"]:
+            out[-1]["high"] = max(out[-1]["high"], span["high"])
+        else:
+            out.append(dict(span))
+    return out
 
 
 def removed_words(n: int, spans: list[dict] | None, row: int) -> np.ndarray:
