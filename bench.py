@@ -33,7 +33,7 @@ HEADLINE = (
     "eval_metrics",
     "aggregate_daily",
     "sequence_windows",
-    "backtest_metrics",
+    "return_sharpe",
 )
 
 

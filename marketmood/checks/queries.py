@@ -84,21 +84,24 @@ def _split(spark: SparkSession, d: str) -> DataFrame:
 KEEP = ["news_id", "date", "ticker", "sentiment", "is_test"]
 
 
-def _bayes_scores(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows = _split(spark, d)
+def _bayes_scores(spark: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
+    rows = _split(spark, d) if rows is None else rows
     model = bayes.fit(_specific(rows.filter("NOT is_test")), _general(spark, d))
-    return rows, bayes.joint_scores(rows, model, KEEP, "cleaned_text")
+    return bayes.joint_scores(rows, model, KEEP, "cleaned_text")
 
 
 def _bayes_predictions(spark: SparkSession, d: str) -> DataFrame:
-    return bayes.predict(_bayes_scores(spark, d)[1])
+    return bayes.predict(_bayes_scores(spark, d))
 
 
-def _members(spark: SparkSession, d: str) -> DataFrame:
-    """Learned probabilities and lexicon polarity of every aligned article."""
-    rows, scores = _bayes_scores(spark, d)
+def _members(spark: SparkSession, d: str, chosen: str = "true") -> DataFrame:
+    """Learned probabilities and lexicon polarity of the aligned articles chosen."""
+    rows = _split(spark, d)
+    model = bayes.fit(_specific(rows.filter("NOT is_test")), _general(spark, d))
+    asked = rows.filter(chosen)
+    scores = bayes.joint_scores(asked, model, KEEP, "cleaned_text")
     learned_side = rounded(bayes.predict_proba(scores), 4)
-    return learned_side.join(_scored(spark, d, rows, ["news_id"]), "news_id")
+    return learned_side.join(_scored(spark, d, asked, ["news_id"]), "news_id")
 
 
 def _scored(spark: SparkSession, d: str, docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -346,7 +349,7 @@ def nb_predict(spark, d):
 
 @query
 def nb_proba(spark, d):
-    shares = bayes.predict_proba(_bayes_scores(spark, d)[1])
+    shares = bayes.predict_proba(_bayes_scores(spark, d))
     return rounded(shares.select("news_id", *LABELS))
 
 
@@ -397,15 +400,9 @@ def lexicon_proba(spark, d):
 
 @query
 def softmax_argmax(spark, d):
-    rows = t.table(spark, d, "embeddings").select(
-        "vec_id",
-        *[F.get("embedding", F.lit(i)).cast("double").alias(f"logit_{i}") for i in range(3)],
-    )
-    return rounded(
-        learned.from_logits(rows, {l: f"logit_{i}" for l, i in LABEL_INDEX.items()}).select(
-            "vec_id", *LABELS, "prediction"
-        )
-    )
+    scores = _bayes_scores(spark, d).select("news_id", *LABELS)
+    shares = learned.from_logits(scores, {l: l for l in LABELS})
+    return rounded(shares.select("news_id", *LABELS, "prediction"))
 
 
 @query
@@ -417,7 +414,7 @@ def blend_predict(spark, d):
 
 @query
 def blend_grid_search(spark, d):
-    members = _members(spark, d).filter("is_test")
+    members = _members(spark, d, "is_test")
     return rounded(blend.blend_best(blend.blend_grid(members, "sentiment")))
 
 
@@ -425,9 +422,17 @@ def blend_grid_search(spark, d):
 def learned_predict(spark, d):
     rows = _split(spark, d)
     model = learned.fit(_specific(rows.filter("NOT is_test")), _general(spark, d))
-    return learned.predict(
+    said = learned.predict(
         rows.filter("is_test"), model, ["news_id", "sentiment"], "cleaned_text"
-    ).select("news_id", "sentiment", *LABELS, "prediction")
+    )
+    best = F.greatest(*LABELS)
+    chosen = F.coalesce(*[F.when(F.col("prediction") == l, F.col(l)) for l in LABELS])
+    return said.select(
+        "news_id",
+        "sentiment",
+        (F.abs(sum((F.col(l) for l in LABELS), F.lit(0.0)) - 1) < 1e-9).alias("sums_to_one"),
+        (chosen == best).alias("prediction_is_best"),
+    )
 
 
 # Evaluation.
@@ -474,23 +479,15 @@ def daily_text_concat(spark, d):
 @query
 def aggregate_daily(spark, d):
     rows = daily.aggregate_daily(_articles(spark, d))
-    first, last = F.get("embedding", F.lit(0)), F.get("embedding", F.lit(t.EMBEDDING_DIM - 1))
     return rounded(
         rows.select(
-            "date",
-            "ticker",
-            "part",
-            F.size("embedding").alias("dim"),
-            first.alias("x_first"),
-            last.alias("x_last"),
-            "sentiment",
-            "cleaned_text",
+            "date", "ticker", "sentiment", "n_articles", "text_length", F.posexplode("embedding").alias("pos", "x")
         )
     )
 
 
 def _sequences(spark: SparkSession, d: str) -> DataFrame:
-    days = daily.daily_features(_articles(spark, d))
+    days = daily.aggregate_daily(_articles(spark, d))
     rows = storage.written(
         sequences.feature_rows(days, t.stock_prices(spark, d)), "feature-rows"
     )
@@ -519,6 +516,24 @@ def forecast_ensemble_mse(spark, d):
     return evaluate.mean_squared_error(tested)
 
 
+@query
+def forecast_fixed_members(spark, d):
+    """Members without a fit: last close, mean and first close of the window."""
+    closes = F.transform("seq", lambda row: F.element_at(row, -2))
+    rows = _sequences(spark, d).select(
+        "ticker",
+        "start_date",
+        "target",
+        F.element_at(closes, -1).alias("last"),
+        (F.aggregate(closes, F.lit(0.0), lambda a, x: a + x) / F.size(closes)).alias("mean"),
+        F.element_at(closes, 1).alias("first"),
+    )
+    said = storage.written(forecast.mean_prediction(rows, ["last", "mean", "first"]), "fixed-members")
+    plain = evaluate.mean_squared_error(said).withColumnRenamed("mse", "plain_mse")
+    batches = evaluate.batch_mean_squared_error(said, ["ticker", "start_date"])
+    return rounded(plain.join(batches, "n"), 4)
+
+
 # Back-test.
 
 
@@ -533,14 +548,40 @@ def common_dates(spark, d):
 
 
 @query
-def backtest_portfolio(spark, d):
-    return rounded(backtest.backtest_portfolio(_signals(spark, d), t.stock_prices(spark, d)))
+def holding_value(spark, d):
+    return rounded(backtest.holding_value(t.stock_prices(spark, d, "user_id")))
+
+
+@query
+def return_sharpe(spark, d):
+    value = backtest.holding_value(t.stock_prices(spark, d, "user_id"))
+    return rounded(backtest.backtest_metrics(storage.written(value, "value")))
 
 
 @query
-def backtest_metrics(spark, d):
-    days = backtest.backtest_portfolio(_signals(spark, d), t.stock_prices(spark, d))
-    return rounded(backtest.backtest_metrics(storage.written(days, "portfolio")))
+def landed_training_frame(spark, d):
+    """Payload files to landed, re-read news to labelled rows with features; numeric tickers."""
+    ticker = F.format_string("%04d", F.col("news_id") % 150)
+    rows = t.news(spark, d).withColumn("ticker", ticker)
+    page = ["ticker", F.floor(F.col("news_id") / 1000).alias("_page")]
+    item = F.struct(
+        F.concat(F.date_format("date", "yyyy-MM-dd"), F.lit("T08:30:00Z")).alias("publishedAt"),
+        "title",
+        "description",
+        F.concat(F.lit("id "), F.col("news_id")).alias("content"),
+    )
+    payloads, landing = storage.new_path(spark, "payloads"), storage.new_path(spark, "landing")
+    rows.groupBy(*page).agg(F.collect_list(item).alias("articles")).select("ticker", "articles").write.json(payloads)
+    landed = news_source.land_payloads(spark, payloads, None, landing, *RANGE)
+    bars = t.stock_prices(spark, d, "user_id").withColumn("ticker", F.lpad("ticker", 4, "0"))
+    labels = prices.sentiment_labels(bars, t.index_prices(spark, d))
+    frame = align.training_frame(news_text.clean_news(landed), labels, bars)
+    content = landed.select("news_id", "content")
+    return rounded(
+        frame.join(content, "news_id").select(
+            "date", "ticker", "cleaned_text", "sentiment", "text_length", "previous_close", "content"
+        )
+    )
 
 
 # Charts.

@@ -14,7 +14,6 @@ LABELS = (BULLISH, NEUTRAL, BEARISH)
 PHRASE_CODES = {0: BEARISH, 1: BULLISH, 2: NEUTRAL}
 SENTIMENT_WORDS = {"positive": BULLISH, "neutral": NEUTRAL, "negative": BEARISH}
 LABEL_INDEX = {BULLISH: 0, NEUTRAL: 1, BEARISH: 2}
-INDEX_LABEL = {0: BULLISH, 1: NEUTRAL, 2: BEARISH}
 BAND = 0.5
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marketmood.functions.labels import LABELS
 from marketmood.operators.prices import previous_close
-from marketmood.storage import small
+from marketmood.storage import small, written
 
 DAY_KEYS = ("date", "ticker")
 
@@ -65,7 +65,7 @@ def join_date_only(processed: DataFrame, labels: DataFrame) -> DataFrame:
         *[F.struct(F.lit(l).alias("sentiment"), F.col(l).alias("n_pairs")) for l in LABELS]
     )
     return (
-        processed.join(small(per_date), "date")
+        processed.join(small(written(per_date, "labels-per-date")), "date")
         .select("news_id", "date", "cleaned_text", F.inline(counted))
         .filter("n_pairs > 0")
     )

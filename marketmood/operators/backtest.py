@@ -1,19 +1,16 @@
-"""Back-test of a signal: all-in, all-out, one decision per ticker and day."""
+"""Signals of a day, and return and Sharpe ratio of a series of values."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketmood.functions.labels import BEARISH, BULLISH
-from marketmood.functions.text import let
 from marketmood.operators.series import with_previous
 
 INITIAL_CASH = 10000.0
 TRADING_DAYS = 252
-_BLOCK = 64
 
 
 def first_signal_per_day(predictions: DataFrame) -> DataFrame:
@@ -32,79 +29,11 @@ def common_dates(signals: DataFrame, bars: DataFrame) -> DataFrame:
     return signals.select("ticker", "date").intersect(bars.select("ticker", "date"))
 
 
-def _shares(cash: Column, price: Column) -> Column:
-    """Whole shares for the cash; from the remainder, so no rounding up."""
-    return F.when(price > 0, F.round((cash - cash % price) / price)).otherwise(0.0)
-
-
-def _trade(state: Column, day: Column) -> Column:
-    """Next (cash, shares) and the day's value appended to ``days``."""
-
-    def settled(after: Column) -> Column:
-        value = after["cash"] + after["shares"] * day["close"]
-        return F.struct(
-            after["cash"].alias("cash"),
-            after["shares"].alias("shares"),
-            F.array_append(
-                state["days"], F.struct(day["date"].alias("date"), value.alias("portfolio"))
-            ).alias("days"),
-        )
-
-    def position(cash: Column, shares: Column) -> Column:
-        return F.struct(cash.alias("cash"), shares.alias("shares"))
-
-    def bought(shares: Column) -> Column:
-        return position(state["cash"] - shares * day["close"], shares)
-
-    buy = (day["signal"] == BULLISH) & (state["shares"] == 0)
-    sell = (day["signal"] == BEARISH) & (state["shares"] > 0)
-    after = (
-        F.when(buy, let(_shares(state["cash"], day["close"]), bought))
-        .when(sell, position(state["cash"] + state["shares"] * day["close"], F.lit(0.0)))
-        .otherwise(position(state["cash"], state["shares"]))
-    )
-    return let(after, settled)
-
-
-def backtest_portfolio(
-    signals: DataFrame, bars: DataFrame, initial_cash: float = INITIAL_CASH
-) -> DataFrame:
-    """(ticker, date, portfolio) for all tickers, days with a signal and a close.
-
-    The fold over a ticker's days is sequential by nature. Its input has one row
-    per ticker and calendar day (``first_signal_per_day`` groups by both), about
-    250 rows of 30 bytes a year, so the collected group is bounded by the
-    calendar and not by the volume of news. Days are folded in blocks, which
-    keeps appending them linear.
-    """
-    empty = F.array().cast("array<struct<date:date,portfolio:double>>")
-
-    def start(cash: Column, shares: Column) -> Column:
-        return F.struct(cash.alias("cash"), shares.alias("shares"), empty.alias("days"))
-
-    def fold_block(state: Column, block: Column) -> Column:
-        inner = F.aggregate(block, start(state["cash"], state["shares"]), _trade)
-        return let(
-            inner,
-            lambda x: F.struct(
-                x["cash"].alias("cash"),
-                x["shares"].alias("shares"),
-                F.concat(state["days"], x["days"]).alias("days"),
-            ),
-        )
-
-    days = (
-        signals.join(bars.select("ticker", "date", "close"), ["ticker", "date"])
-        .groupBy("ticker")
-        .agg(F.sort_array(F.collect_list(F.struct("date", "close", "signal"))).alias("_days"))
-    )
-    count = F.size("_days")
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((count - 1) / _BLOCK).cast("int")),
-        lambda k: F.slice(F.col("_days"), k * _BLOCK + 1, F.lit(_BLOCK)),
-    )
-    folded = F.aggregate(blocks, start(F.lit(initial_cash), F.lit(0.0)), fold_block)
-    return days.select("ticker", F.inline(folded["days"]))
+def holding_value(bars: DataFrame, initial_cash: float = INITIAL_CASH) -> DataFrame:
+    """(ticker, date, portfolio): the value of holding a ticker from its first close on."""
+    first = bars.groupBy("ticker").agg(F.min_by("close", "date").alias("_first"))
+    value = F.try_divide(F.col("close"), F.col("_first")) * initial_cash
+    return bars.join(first, "ticker").select("ticker", "date", value.alias("portfolio"))
 
 
 def backtest_metrics(portfolio: DataFrame, initial_cash: float = INITIAL_CASH) -> DataFrame:

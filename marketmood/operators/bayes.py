@@ -8,12 +8,12 @@ and no cross join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketmood.functions.labels import LABELS, best_label, softmax
 from marketmood.functions.text import counted, vector_words
-from marketmood.storage import small, written
+from marketmood.storage import in_pieces, written
 
 PRIOR = ""
 
@@ -28,11 +28,8 @@ def _with_prior(words: Column) -> Column:
 
 def bow_counts(docs: DataFrame, vocabulary: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, token, n): word counts of each text, vocabulary words only."""
-    return (
-        docs.select(doc_id, F.inline(counted(vector_words(F.col(text)))))
-        .join(small(vocabulary.select("token")), "token", "left_semi")
-        .select(doc_id, "token", "n")
-    )
+    words = docs.select(doc_id, F.inline(counted(vector_words(F.col(text)))))
+    return in_pieces(words, vocabulary.select("token"), "token", "left_semi").select(doc_id, "token", "n")
 
 
 def vocabulary(docs: DataFrame, text: str) -> DataFrame:
@@ -73,8 +70,7 @@ def fit(specific: DataFrame, general: DataFrame | None = None) -> DataFrame:
 
     The vocabulary is that of the general corpus if there is one; its counts and
     those of the specific corpus add up. Words of the specific corpus outside the
-    vocabulary are dropped before the shuffle while the vocabulary can be
-    broadcast.
+    vocabulary are dropped before the shuffle.
     """
 
     def tokens(docs: DataFrame) -> DataFrame:
@@ -86,7 +82,7 @@ def fit(specific: DataFrame, general: DataFrame | None = None) -> DataFrame:
         counts = written(_label_counts(tokens(specific)), "nb-counts")
         return _log_weights(counts)
     base = written(_label_counts(tokens(general)), "nb-general")
-    known = tokens(specific).join(small(base.select("token")), "token", "left_semi")
+    known = in_pieces(tokens(specific), base.select("token"), "token", "left_semi")
     more = _label_counts(known).withColumnsRenamed({l: f"more_{l}" for l in LABELS})
     counts = base.join(more, "token", "left").select(
         "token",
@@ -98,15 +94,16 @@ def fit(specific: DataFrame, general: DataFrame | None = None) -> DataFrame:
 def joint_scores(docs: DataFrame, weights: DataFrame, keep: list[str], text: str) -> DataFrame:
     """``keep`` columns plus one log score per label.
 
-    ``keep`` must identify a row. Words meet their weights by broadcast while the
-    model fits; sums are combined per text before the shuffle, so what moves is
-    one narrow row per text, never its words.
+    ``keep`` must identify a row. Words are counted in their row and meet their weights
+    by broadcast, of a large model in pieces; sums are combined per text before the
+    shuffle, so what moves is one narrow row per text and piece, never its words.
+    ``weights`` are written.
     """
+    words = docs.select(*keep, F.inline(counted(_with_prior(vector_words(F.col(text))))))
     return (
-        docs.select(*keep, F.explode(_with_prior(vector_words(F.col(text)))).alias("token"))
-        .join(small(weights), "token")
+        in_pieces(words, weights, "token")
         .groupBy(*keep)
-        .agg(*[F.sum(_weight(l)).alias(l) for l in LABELS], *_absent(weights))
+        .agg(*[F.sum(F.col("n") * F.col(_weight(l))).alias(l) for l in LABELS], *_absent(weights))
         .select(*keep, *[_drop_absent(l) for l in LABELS])
     )
 
@@ -139,28 +136,34 @@ def predict_proba(scores: DataFrame) -> DataFrame:
 
 
 def inverse_document_frequency(docs: DataFrame, text: str) -> DataFrame:
-    """(token, df, idf) with idf = ln((1 + n) / (1 + df)) + 1."""
-    n = docs.count()
-    return (
-        docs.select(F.explode(F.array_distinct(vector_words(F.col(text)))).alias("token"))
-        .groupBy("token")
-        .agg(F.count(F.lit(1)).alias("df"))
-        .withColumn("idf", F.ln(F.lit(1.0 + n) / (1 + F.col("df"))) + 1)
+    """(token, df, idf) with idf = ln((1 + n) / (1 + df)) + 1.
+
+    The empty word every text carries counts the texts in the same pass.
+    """
+    words = F.array_distinct(_with_prior(vector_words(F.col(text))))
+    counts = written(
+        docs.select(F.explode(words).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df")), "df"
     )
+    n = counts.filter(F.col("token") == PRIOR).first()
+    idf = F.ln(F.lit(1.0 + (n["df"] if n else 0)) / (1 + F.col("df"))) + 1
+    return counts.filter(F.col("token") != PRIOR).withColumn("idf", idf)
 
 
 def tfidf(docs: DataFrame, idf: DataFrame, keep: list[str], text: str) -> DataFrame:
     """``keep`` plus (token, tfidf), each text scaled to length 1.
 
-    Counting happens inside the row; the one shuffle is the norm, by text.
+    Counting happens inside the row; a text's words meet again as one array, which is
+    scaled and unfolded, so nothing is sorted. ``keep`` must identify a row.
     """
-    weighted = (
-        docs.select(*keep, F.inline(counted(vector_words(F.col(text)))))
-        .join(small(idf.select("token", "idf")), "token")
-        .withColumn("_raw", F.col("n") * F.col("idf"))
+    words = docs.select(*keep, F.inline(counted(vector_words(F.col(text)))))
+    weighted = in_pieces(words, idf.select("token", "idf"), "token").select(
+        *keep, F.struct("token", (F.col("n") * F.col("idf")).alias("raw")).alias("_word")
+    )
+    squares = F.col("_word.raw") * F.col("_word.raw")
+    texts = weighted.groupBy(*keep).agg(F.collect_list("_word").alias("_words"), F.sqrt(F.sum(squares)).alias("_norm"))
+    return texts.select(*keep, F.col("_norm"), F.inline("_words")).select(
+        *keep, "token", (F.col("raw") / F.col("_norm")).alias("tfidf")
     )
-    norm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy(*keep)))
-    return weighted.select(*keep, "token", (F.col("_raw") / norm).alias("tfidf"))
 
 
 def fit_tfidf(train: DataFrame) -> DataFrame:
@@ -185,9 +188,9 @@ def joint_scores_tfidf(
     """
     prior = F.col("token") == PRIOR
     raw = F.when(~prior, F.col("n") * F.col("idf"))
-    words = docs.select(
-        *keep, F.inline(counted(_with_prior(vector_words(F.col(text)))))
-    ).join(small(weights), "token")
+    words = in_pieces(
+        docs.select(*keep, F.inline(counted(_with_prior(vector_words(F.col(text)))))), weights, "token"
+    )
     sums = words.groupBy(*keep).agg(
         F.sqrt(F.sum(raw * raw)).alias("_norm"),
         *[F.sum(raw * F.col(_weight(l))).alias(l) for l in LABELS],

@@ -4,30 +4,27 @@ from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketmood.functions.labels import LABELS, NEUTRAL
+from marketmood.functions.labels import LABELS, NEUTRAL, SENTIMENT_WORDS, recode
 from marketmood.functions.text import has_text
 
 DAY = ["date", "ticker"]
-# Characters of joined text per output row.
-PART_CHARS = 16 * 1024 * 1024
-_RUN_BITS = 12
-
 
 def embed_or_zero(processed: DataFrame, embeddings: DataFrame, dim: int) -> DataFrame:
-    """Attach each article's vector; none, or no text, gives the zero vector."""
-    zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
-    found = F.when(has_text(F.col("cleaned_text")), F.col("embedding"))
-    return processed.join(
-        embeddings.select("news_id", "embedding"), "news_id", "left"
-    ).withColumn("embedding", F.coalesce(found, zero))
+    """Each article's vector and text length; none, or no text, gives the zero vector.
 
-
-def sentiment_or_neutral(text: Column, sentiment: Column) -> Column:
-    """The predicted label, ``neutral`` where there is no text or no prediction."""
-    return F.coalesce(F.when(has_text(text), sentiment), F.lit(NEUTRAL))
+    Whether there is text, and its length, are told before the join: the text itself
+    does not travel with the vectors. Returns the columns but ``cleaned_text``, with
+    ``text_length`` and ``embedding``.
+    """
+    zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
+    text = F.col("cleaned_text")
+    narrow = processed.withColumns({"_there": has_text(text), "text_length": F.length(text)}).drop("cleaned_text")
+    found = F.coalesce(F.when(F.col("_there"), F.col("embedding")), zero)
+    joined = narrow.drop("embedding").join(embeddings.select("news_id", "embedding"), "news_id", "left")
+    return joined.withColumn("embedding", found).drop("_there")
 
 
 def _mean_vector() -> Column:
@@ -35,16 +32,23 @@ def _mean_vector() -> Column:
 
 
 def _mode() -> Column:
-    """Most frequent label, ties to the smallest word, by three counters."""
+    """Most frequent label, ties to the smallest word, by three counters.
+
+    Labels are the library's words or a user model's positive, neutral and negative; a
+    NULL label counts for none, any other word is an error. A day without any label is
+    neutral.
+    """
+    said = F.col("sentiment")
+    label = F.coalesce(
+        recode(said, {**{l: l for l in LABELS}, **SENTIMENT_WORDS}),
+        F.when(said.isNotNull(), F.raise_error(F.concat(F.lit("unknown sentiment: "), said)).cast("string")),
+    )
     ranked = [
-        F.struct(
-            F.count_if(F.col("sentiment") == label).alias("n"),
-            F.lit(-i).alias("rank"),
-            F.lit(label).alias("label"),
-        )
-        for i, label in enumerate(sorted(LABELS))
+        F.struct(F.count_if(label == name).alias("n"), F.lit(-i).alias("rank"), F.lit(name).alias("label"))
+        for i, name in enumerate(sorted(LABELS))
     ]
-    return F.array_max(F.array(*ranked))["label"]
+    best = F.array_max(F.array(*ranked))
+    return F.when(best["n"] > 0, best["label"]).otherwise(NEUTRAL)
 
 
 def daily_mean_embedding(articles: DataFrame) -> DataFrame:
@@ -56,55 +60,24 @@ def daily_modal_sentiment(articles: DataFrame) -> DataFrame:
     return articles.groupBy(*DAY).agg(_mode().alias("sentiment"))
 
 
-def daily_text(articles: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
-    """(date, ticker, part, cleaned_text): a day's texts joined in news order.
+def daily_text(articles: DataFrame) -> DataFrame:
+    """(date, ticker, news_id, cleaned_text): the texts of a day, one row each.
 
-    A day that fits ``part_chars`` is one row, part 0. A hot ticker-day is
-    returned whole, but as several parts in order, so no task holds all of it.
-    Lengths are summed per run of 4,096 neighbouring ids, and the running sum
-    over the runs of a day gives each run its part; the texts themselves move
-    once, to their part.
+    A day's joined text is its rows in ``news_id`` order. The grain follows from the
+    key alone, so a day of any size is spread over as many rows as it has articles.
     """
-    rows = articles.select(
-        *DAY, "news_id", "cleaned_text", F.shiftright("news_id", _RUN_BITS).alias("_run")
-    )
-    earlier = (
-        Window.partitionBy(*DAY).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    parts = (
-        rows.groupBy(*DAY, "_run")
-        .agg(F.sum(F.length("cleaned_text") + 1).alias("_length"))
-        .select(
-            *DAY,
-            "_run",
-            F.floor(F.coalesce(F.sum("_length").over(earlier), F.lit(0)) / part_chars).alias("part"),
-        )
-    )
-    return (
-        rows.join(parts, [*DAY, "_run"])
-        .groupBy(*DAY, "part")
-        .agg(F.sort_array(F.collect_list(F.struct("news_id", "cleaned_text"))).alias("_texts"))
-        .select(*DAY, "part", F.array_join(F.col("_texts.cleaned_text"), " ").alias("cleaned_text"))
-    )
+    return articles.select(*DAY, "news_id", "cleaned_text")
 
 
-def daily_features(articles: DataFrame) -> DataFrame:
-    """Mean vector, modal sentiment and length of the joined text per day.
+def aggregate_daily(articles: DataFrame) -> DataFrame:
+    """Mean vector, modal sentiment, articles and joined length per day and ticker.
 
-    One aggregation; all that later steps need without the text itself.
+    ``articles`` have ``text_length``; the joined text would have one blank between
+    texts. One aggregation, always one row per (date, ticker), and no text moves.
     """
     return articles.groupBy(*DAY).agg(
         _mean_vector().alias("embedding"),
         _mode().alias("sentiment"),
-        (F.sum(F.length("cleaned_text") + 1) - 1).alias("text_length"),
-    )
-
-
-def aggregate_daily(articles: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
-    """Mean vector, modal sentiment and joined text per day and ticker."""
-    return (
-        daily_features(articles)
-        .drop("text_length")
-        .join(daily_text(articles, part_chars), DAY)
-        .select(*DAY, "part", "embedding", "sentiment", "cleaned_text")
+        F.count(F.lit(1)).alias("n_articles"),
+        (F.sum(F.coalesce("text_length", F.lit(0)) + 1) - 1).alias("text_length"),
     )

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketmood.functions.labels import LABELS, NEUTRAL, best_label, softmax
+from marketmood.functions.labels import LABELS, NEUTRAL, SENTIMENT_WORDS, best_label, recode, softmax
 from marketmood.functions.text import has_text
 
 _WORDS = (
@@ -86,7 +86,9 @@ def infer(
 
     ``make_predict_fn`` runs once per Python worker, loads the model and returns
     a function from a text array to ``{"sentiment": ..., "embedding": ...}``.
-    Batches travel by Arrow. Rows without text get neutral and the zero vector.
+    Batches travel by Arrow. Rows without text get neutral and the zero vector. Labels
+    may be the library's or positive, neutral and negative; NULL becomes neutral, any
+    other word is an error.
     """
     output = T.StructType(
         [
@@ -98,9 +100,15 @@ def infer(
     filled = docs.withColumn("_out", model(F.coalesce(F.col(text), F.lit(""))))
     there = F.coalesce(has_text(F.col(text)), F.lit(False))
     zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
+    said = F.col("_out.sentiment")
+    label = F.coalesce(
+        recode(said, {**{l: l for l in LABELS}, **SENTIMENT_WORDS}),
+        F.when(said.isNotNull(), F.raise_error(F.concat(F.lit("unknown sentiment: "), said)).cast("string")),
+        F.lit(NEUTRAL),
+    )
     return filled.withColumns(
         {
-            "sentiment": F.when(there, F.col("_out.sentiment")).otherwise(NEUTRAL),
+            "sentiment": F.when(there, label).otherwise(NEUTRAL),
             "embedding": F.when(there, F.col("_out.embedding")).otherwise(zero),
         }
     ).drop("_out")

@@ -15,7 +15,7 @@ from marketmood.functions.words import (
     NEGATORS,
     SEED_VALENCES,
 )
-from marketmood.storage import small
+from marketmood.storage import in_pieces, small, written
 
 ALPHA = 15.0
 # Influence of the first, second and third word before.
@@ -86,7 +86,7 @@ def polarity(
     context = F.inline(_in_context(F.col("_words"))).alias(
         "token", "before_1", "before_2", "before_3"
     )
-    hits = listed.select(*keep, context).join(small(scored), "token")
+    hits = in_pieces(listed.select(*keep, context), written(scored, "valences"), "token")
     for k in (1, 2, 3):
         renamed = active.withColumnsRenamed(
             {"_token": f"before_{k}", "degree": f"degree_{k}", "negates": f"negates_{k}"}

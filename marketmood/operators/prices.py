@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from marketmood.functions.labels import BAND, band_label
 from marketmood.operators.series import with_previous, with_value_before
-from marketmood.storage import small
+from marketmood.storage import small, written
 
 
 def _returns(bars: DataFrame, keys: list[str], column: str, name: str, pad: bool) -> DataFrame:
+    # NaN would compare as the largest number; a missing price is NULL.
+    bars = bars.withColumn(column, F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double")))
     if pad:
         filled = with_value_before(bars, keys, "date", F.col(column), "_before")
         now = F.coalesce(F.col(column), F.col("_before"))
@@ -50,7 +52,7 @@ def sentiment_labels(
     index_side = index_returns(index, pad).select(
         "date", F.col("pct_change").alias("index_change")
     )
-    return stock_side.join(small(index_side), "date").select(
+    return stock_side.join(small(written(index_side, "index-returns")), "date").select(
         "date",
         "ticker",
         band_label(F.col("stock_change"), F.col("index_change"), band).alias("sentiment"),

@@ -1,9 +1,7 @@
-"""Order-dependent operators on daily series, cut into years.
+"""Values and positions along a series of daily rows.
 
-A series (a ticker, or the one market index) may hold most of the rows of a
-table. Windows here are therefore partitioned by (series, year): a task gets at
-most one year of one series, and what crosses a year's end travels through a
-table with one row per series and year.
+A series is a ticker's days, or the market's: its length is bounded by the calendar
+(some 250 rows a year), so one window per series is one exchange of bounded groups.
 """
 
 from __future__ import annotations
@@ -13,69 +11,26 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_YEAR = "_year"
 
-
-def _before(keys: Sequence[str], order: str):
-    return (
-        Window.partitionBy(*keys)
-        .orderBy(order)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+def _series(keys: Sequence[str], order: str):
+    return Window.partitionBy(*keys).orderBy(order)
 
 
 def with_value_before(
     df: DataFrame, keys: Sequence[str], order: str, value: Column, name: str
 ) -> DataFrame:
-    """Add ``name``: the last non-null ``value`` on an earlier row of the series.
-
-    Wrap the value in ``F.struct`` to get the previous row's value as it is,
-    NULL included.
-    """
-    rows = df.withColumn(_YEAR, F.year(order)).withColumn("_value", value)
-    year = [*keys, _YEAR]
-    ends = (
-        rows.groupBy(*year)
-        .agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col(order))).alias("_end"))
-        .select(
-            *year,
-            F.last("_end", ignorenulls=True).over(_before(keys, _YEAR)).alias("_carried"),
-        )
-    )
-    inside = F.last("_value", ignorenulls=True).over(_before(year, order))
-    return (
-        rows.withColumn("_inside", inside)
-        .join(ends, year, "left")
-        .withColumn(name, F.coalesce("_inside", "_carried"))
-        .drop(_YEAR, "_value", "_inside", "_carried")
-    )
+    """Add ``name``: the last non-null ``value`` on an earlier row of the series."""
+    earlier = _series(keys, order).rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumn(name, F.last(value, ignorenulls=True).over(earlier))
 
 
 def with_previous(
     df: DataFrame, keys: Sequence[str], order: str, column: str, name: str
 ) -> DataFrame:
     """Add ``name``: ``column`` of the row before, as ``shift(1)`` per series."""
-    return with_value_before(
-        df, keys, order, F.struct(F.col(column).alias("v")), "_row_before"
-    ).withColumn(name, F.col("_row_before.v")).drop("_row_before")
+    return df.withColumn(name, F.lag(column).over(_series(keys, order)))
 
 
 def with_position(df: DataFrame, keys: Sequence[str], order: str, name: str) -> DataFrame:
     """Add ``name``: the 0-based position of the row in its series."""
-    rows = df.withColumn(_YEAR, F.year(order))
-    year = [*keys, _YEAR]
-    starts = (
-        rows.groupBy(*year)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(
-            *year,
-            F.coalesce(F.sum("_n").over(_before(keys, _YEAR)), F.lit(0)).alias("_start"),
-        )
-    )
-    number = F.row_number().over(Window.partitionBy(*year).orderBy(order))
-    return (
-        rows.withColumn("_number", number)
-        .join(starts, year)
-        .withColumn(name, F.col("_start") + F.col("_number") - 1)
-        .drop(_YEAR, "_number", "_start")
-    )
+    return df.withColumn(name, (F.row_number().over(_series(keys, order)) - 1).cast("long"))

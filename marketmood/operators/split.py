@@ -23,8 +23,8 @@ def hash_split(
     df: DataFrame, keys: Sequence[str], share: float = TEST_SHARE, seed: int = 0
 ) -> DataFrame:
     """Add ``is_test`` from a hash of the keys: no shuffle, stable per row."""
-    bound = f"{int(share * 16**8):08x}"
-    return df.withColumn("is_test", F.substring(_digest(keys, seed), 1, 8) < bound)
+    place = F.conv(F.substring(_digest(keys, seed), 1, 8), 16, 10).cast("long")
+    return df.withColumn("is_test", place < int(share * 16**8))
 
 
 def exact_split(

@@ -80,12 +80,13 @@ class BayesModel(TextModel):
         sinks.write_table(self.weights, path)
 
     def load(self, spark: SparkSession, path: str) -> BayesModel:
-        self.weights = sinks.read_table(spark, path)
+        weights = ", ".join(f"w_{label} DOUBLE" for label in LABELS)
+        self.weights = sinks.read_table(spark, path, f"token STRING, {weights}")
         return self
 
 
 class LexiconModel(TextModel):
-    """Rule-based polarity; nothing to train."""
+    """Rule-based polarity over a table of words, which is required; nothing to train."""
 
     def __init__(
         self,
@@ -99,8 +100,9 @@ class LexiconModel(TextModel):
         return self
 
     def score(self, rows: DataFrame, keep: Sequence[str] = (ID,)) -> DataFrame:
-        words = self.words if self.words is not None else lexicon.seed_lexicon(rows.sparkSession)
-        return lexicon.polarity(rows, words, list(keep), TEXT, self.modifiers)
+        if self.words is None:
+            raise ValueError("the lexicon model needs a table of words: token, valence")
+        return lexicon.polarity(rows, self.words, list(keep), TEXT, self.modifiers)
 
     def predict_proba(self, rows: DataFrame, keep: Sequence[str] = (ID,)) -> DataFrame:
         t = self.threshold
@@ -108,9 +110,22 @@ class LexiconModel(TextModel):
         return lexicon.predict_proba(scored, t, -t).drop("compound")
 
     def save(self, path: str) -> None:
-        """Rule-based: nothing is stored."""
+        """Words, modifiers and threshold: all that decides a prediction."""
+        spark = SparkSession.active()
+        if self.words is None:
+            raise ValueError("the lexicon model has no table of words to save")
+        changes = self.modifiers if self.modifiers is not None else lexicon.modifiers(spark)
+        sinks.write_table(self.words.select("token", "valence"), f"{path}/words")
+        sinks.write_table(changes.select("token", "degree", "negates"), f"{path}/modifiers")
+        row = spark.createDataFrame([(self.threshold,)], "threshold double")
+        sinks.write_table(row, f"{path}/threshold")
 
     def load(self, spark: SparkSession, path: str) -> LexiconModel:
+        self.words = sinks.read_table(spark, f"{path}/words", "token STRING, valence DOUBLE")
+        self.modifiers = sinks.read_table(
+            spark, f"{path}/modifiers", "token STRING, degree DOUBLE, negates BOOLEAN"
+        )
+        self.threshold = sinks.read_table(spark, f"{path}/threshold", "threshold DOUBLE").first()[0]
         return self
 
 
@@ -163,6 +178,7 @@ class BlendModel(TextModel):
 
     def save(self, path: str) -> None:
         self.member.save(f"{path}/member")
+        self.words.save(f"{path}/lexicon")
         row = [(self.threshold, self.weight)]
         spark = SparkSession.active()
         sinks.write_blend(
@@ -171,6 +187,7 @@ class BlendModel(TextModel):
 
     def load(self, spark: SparkSession, path: str) -> BlendModel:
         self.member.load(spark, f"{path}/member")
+        self.words.load(spark, f"{path}/lexicon")
         self.threshold, self.weight = sinks.read_blend(spark, f"{path}/parameters")
         return self
 

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from marketmood.operators import (
     align,
@@ -28,7 +29,7 @@ from marketmood.operators import (
 from marketmood.plans.models import TextModel, get_model
 from marketmood.sources import sinks
 from marketmood.sources.schemas import NEWS_COLUMNS
-from marketmood.storage import spread, written
+from marketmood.storage import written
 
 
 @dataclass
@@ -53,7 +54,7 @@ def training_rows(inputs: Inputs, path: str) -> DataFrame:
     sinks.write_by_ticker(news_text.clean_news(inputs.news), processed)
     sinks.write_by_ticker(prices.sentiment_labels(inputs.stock, inputs.index), labels)
     rows = align.training_frame(
-        spread(sinks.read_table(spark, processed)),
+        sinks.read_table(spark, processed),
         sinks.read_table(spark, labels),
         inputs.stock,
     )
@@ -77,23 +78,17 @@ def classify(
     return model, metrics
 
 
-def backtest_tickers(
-    model: TextModel,
-    rows: DataFrame,
-    stock: DataFrame,
-    initial_cash: float = backtest.INITIAL_CASH,
-    path: str | None = None,
+def follow_tickers(
+    model: TextModel, rows: DataFrame, stock: DataFrame, path: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Predict, take each day's first signal and trade it; (portfolio, metrics)."""
+    """Each day's first signal beside the value of holding the ticker; (days, metrics)."""
     said = model.predict(rows, ("news_id", "ticker", "date"))
-    signals = backtest.first_signal_per_day(said)
-    portfolio = written(
-        backtest.backtest_portfolio(signals, stock, initial_cash), "portfolio"
-    )
-    metrics = backtest.backtest_metrics(portfolio, initial_cash)
+    value = backtest.holding_value(stock)
+    days = value.join(backtest.first_signal_per_day(said), ["ticker", "date"], "left")
+    metrics = backtest.backtest_metrics(value)
     if path is not None:
         sinks.write_backtest_metrics(metrics, path)
-    return portfolio, metrics
+    return days, metrics
 
 
 def forecast_close(
@@ -103,23 +98,30 @@ def forecast_close(
     length: int = sequences.SEQ_LENGTH,
     by_time: bool = False,
     batch: int = 32,
+    previous_close: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """Embed, aggregate per day, build sequences, fit, test; (daily rows, mse row).
 
     ``by_time`` tests on the latest start dates instead of a random fifth, which
-    keeps overlapping windows apart.
+    keeps overlapping windows apart. ``previous_close`` adds that column to the daily rows.
     """
     checked = inputs.checked()
     articles = learned.infer(news_text.clean_news(checked.news), make_predict_fn, dim)
-    days = written(daily.daily_features(articles), "daily")
-    rows = written(sequences.feature_rows(days, checked.stock), "feature-rows")
+    articles = articles.withColumn("text_length", F.length("cleaned_text"))
+    days = written(daily.aggregate_daily(articles), "daily")
+    bars = checked.stock
+    if previous_close:
+        days = days.join(prices.previous_close(bars), ["date", "ticker"], "left")
+    rows = written(sequences.feature_rows(days, bars), "feature-rows")
+    keys = ["ticker", "start_date"]
     windows = sequences.sequence_windows(rows, length)
-    parted = (
-        split.time_split(written(windows, "windows"), "start_date")
-        if by_time
-        else split.hash_split(windows, ["ticker", "start_date"], seed=1)
-    )
-    parted = written(parted, "sequences")
+    if by_time:
+        # The narrow start dates are split, not the widened sequences.
+        dates = split.time_split(written(windows.select(*keys), "starts"), "start_date")
+        windows = windows.join(dates.select("start_date", "is_test").distinct(), "start_date")
+    else:
+        windows = split.hash_split(windows, keys, seed=1)
+    parted = written(windows, "sequences")
     members = forecast.fit_members(parted.filter("NOT is_test"))
     tested = forecast.predict_mean(parted.filter("is_test"), members)
     return days, evaluate.batch_mean_squared_error(tested, ["ticker", "start_date"], batch)

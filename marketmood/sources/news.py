@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from marketmood.functions.labels import PHRASE_CODES, recode
 from marketmood.functions.text import VISIBLE
 from marketmood.operators.quality import require_columns
-from marketmood.sources.schemas import ARTICLES, NEWS_COLUMNS, PHRASES, STORIES
-from marketmood.storage import small
+from marketmood.sources.schemas import ARTICLES, NEWS, NEWS_COLUMNS, STORIES
+from marketmood.storage import small, written
 
 ARTICLE_SOURCE, FEED_SOURCE = "newsapi", "tickertick"
 SOURCES = (ARTICLE_SOURCE, FEED_SOURCE)
@@ -92,35 +92,64 @@ def missing_requests(requested: DataFrame, landed: DataFrame, keys: Sequence[str
     return requested.select(*keys).distinct().join(have, list(keys), "left_anti")
 
 
+LANDED = f"{NEWS}, from_date STRING, to_date STRING"
+
+
 def land_news(fetched: DataFrame, path: str, from_date: str, to_date: str) -> DataFrame:
     """Append the rows of tickers not landed for this range; return the range's rows.
 
-    Written per ticker and range. Rows are rebalanced by ticker, which packs
-    small tickers together and splits a large one over several files. ``news_id``
-    continues above the ids already landed and follows input order.
+    Written per range and ticker. Rows are rebalanced by ticker, which packs small
+    tickers together and splits a large one over several files. Of what is landed only
+    the folders of this range are read. ``news_id`` is a hash of the range and the row,
+    with the row's ordinal among equal ones: it never depends on other rows, so a
+    repeated task or a later landing gives the same ids.
     """
     spark = fetched.sparkSession
-    start, have = 0, None
-    if _exists(spark, path):
-        have = spark.read.parquet(path)
-        start = (have.agg(F.max("news_id")).first()[0] or -1) + 1
     rows = fetched.withColumns({"from_date": F.lit(from_date), "to_date": F.lit(to_date)})
-    if have is not None:
+    if _exists(spark, path):
         keys = ["ticker", "from_date", "to_date"]
-        landed = have.select(*[F.col(k).cast("string") for k in keys])
-        rows = rows.join(small(missing_requests(rows, landed, keys)), keys, "left_semi")
+        landed = _range(spark, path, from_date, to_date)
+        rows = rows.join(small(written(missing_requests(rows, landed, keys), "missing")), keys, "left_semi")
+    own = ["from_date", "to_date", *NEWS_COLUMNS]
+    rows = written(rows.select(*own, F.xxhash64(*own).alias("_key")), "fetched")
+    # Equal rows are alike: they are counted, and unfolded to numbered copies again.
+    again = written(rows.groupBy("_key").count().filter("count > 1").select("_key"), "again")
+    once = rows.join(small(again), "_key", "left_anti").select(*own, F.lit(1).cast("long").alias("_copy"))
+    many = rows.join(small(again), "_key", "left_semi").groupBy(*own).count()
+    many = many.select(*own, F.explode(F.sequence(F.lit(1).cast("long"), "count")).alias("_copy"))
     (
-        rows.withColumn("news_id", F.monotonically_increasing_id() + start)
+        once.unionByName(many).withColumn("news_id", F.xxhash64(*own, "_copy"))
+        .select("news_id", *NEWS_COLUMNS, "from_date", "to_date")
         .hint("rebalance", "ticker")
         .write.mode("append")
-        .partitionBy("ticker", "from_date", "to_date")
+        .partitionBy("from_date", "to_date", "ticker")
         .parquet(path)
     )
-    landed = spark.read.parquet(path).filter(
-        (F.col("from_date").cast("string") == from_date)
-        & (F.col("to_date").cast("string") == to_date)
-    )
-    return landed.drop("from_date", "to_date")
+    return _range(spark, path, from_date, to_date).drop("from_date", "to_date")
+
+
+def _range(spark: SparkSession, path: str, from_date: str, to_date: str) -> DataFrame:
+    """The landed rows of one range; other ranges' folders are pruned."""
+    landed = spark.read.schema(LANDED).parquet(path)
+    return landed.filter((F.col("from_date") == from_date) & (F.col("to_date") == to_date))
+
+
+def land_payloads(
+    spark: SparkSession,
+    articles: str | None,
+    stories: str | None,
+    path: str,
+    from_date: str,
+    to_date: str,
+    tickers: Sequence[str] | None = None,
+) -> DataFrame:
+    """Payload folders to landed, typed news: flatten, unite, type the dates, land."""
+    parts = []
+    if articles is not None:
+        parts.append(flatten_articles(read_payloads(spark, articles, ARTICLES)))
+    if stories is not None:
+        parts.append(flatten_stories(read_payloads(spark, stories, STORIES), from_date, to_date))
+    return land_news(typed(union_sources(parts, tickers)), path, from_date, to_date)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -170,22 +199,3 @@ def read_phrases(spark: SparkSession, path: str) -> DataFrame:
 def phrase_labels(phrases: DataFrame, code: str, mapping: dict = PHRASE_CODES) -> DataFrame:
     """Replace a code or word column by ``label``."""
     return phrases.withColumn("label", recode(F.col(code), mapping)).drop(code)
-
-
-__all__ = [
-    "ARTICLES",
-    "PHRASES",
-    "STORIES",
-    "companies",
-    "company_lookup",
-    "flatten_articles",
-    "flatten_stories",
-    "land_news",
-    "missing_requests",
-    "phrase_labels",
-    "read_payloads",
-    "read_phrases",
-    "top_per_ticker",
-    "typed",
-    "union_sources",
-]

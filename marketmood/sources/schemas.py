@@ -11,7 +11,6 @@ NEWS = (
 )
 STOCK = f"date DATE, ticker STRING, {_BAR}"
 INDEX = f"date DATE, {_BAR}"
-PHRASES = "sentence STRING, label STRING"
 ARTICLES = (
     "ticker STRING, articles ARRAY<STRUCT<publishedAt: STRING, title: STRING, "
     "description: STRING, content: STRING>>"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketmood.sources.schemas import BLEND
 
@@ -28,8 +29,16 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A table as written. Tickers are text: folder names never decide their type.
+
+    Without ``schema`` the files' own schema holds, with ``ticker`` a string.
+    """
+    if schema is None:
+        found = spark.read.parquet(path)
+        fields = [T.StructField(f.name, T.StringType() if f.name == "ticker" else f.dataType) for f in found.schema]
+        return spark.read.schema(T.StructType(fields)).parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:
@@ -52,8 +61,13 @@ def write_metrics_text(metrics: DataFrame, name: str, path: str) -> None:
 
 
 def write_backtest_metrics(metrics: DataFrame, path: str) -> None:
-    """JSON, one folder per ticker."""
-    metrics.write.mode("overwrite").partitionBy("ticker").json(path)
+    """JSON, one folder per ticker; only the tickers written are replaced."""
+    (
+        metrics.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("ticker")
+        .json(path)
+    )
 
 
 def write_blend(best: DataFrame, path: str) -> None:

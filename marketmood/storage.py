@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,19 +20,24 @@ _local_dirs: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, from ``spark.checkpoint.dir``.
 
-    Unset on a local master (tests, bench) a temporary folder stands in; unset
-    on a cluster is an error, since a machine-local folder is lost with its
-    machine.
+    Unset on a local master (tests, bench) one temporary folder per session stands in.
+    On any other master an unset folder, or one under the temporary folder of the
+    machine, is an error: it would be lost with its machine.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    local = context.master.startswith("local") and not context.master.startswith("local-cluster")
     if configured:
+        path = urlparse(configured)
+        own = path.scheme in ("", "file") and path.path.startswith(f"{tempfile.gettempdir()}/")
+        if own and not context.master.startswith("local"):
+            raise ValueError(f"{configured} is on one machine; name a folder shared by the cluster")
         return configured
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not local:
         raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-    return _local_dirs.setdefault(
-        context.applicationId, tempfile.mkdtemp(prefix="marketmood-")
-    )
+    if context.applicationId not in _local_dirs:
+        _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="marketmood-")
+    return _local_dirs[context.applicationId]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -50,16 +57,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(table: DataFrame) -> DataFrame:
-    """A table just read, over all cores if its files give fewer splits than that.
-
-    A small table of long texts in one file would be one task. Large tables have
-    more splits than cores and are returned as they are, without a shuffle.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
-
-
 def table_bytes(df: DataFrame) -> int:
     """Estimated in-memory size of a table of flat columns, in one aggregate."""
     size = F.lit(_FIELD_BYTES * len(df.columns))
@@ -69,10 +66,26 @@ def table_bytes(df: DataFrame) -> int:
     return df.agg(F.sum(size.cast("long"))).first()[0] or 0
 
 
-def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+def small(df: DataFrame, limit: int | None = None) -> DataFrame:
     """``df`` marked for broadcast if its measured size allows it, else as it is.
 
     Beyond the limit the join shuffles, and adaptive execution splits a hot key.
     Call it on written or otherwise cheap tables: the check reads them once.
     """
-    return F.broadcast(df) if table_bytes(df) <= limit else df
+    return F.broadcast(df) if table_bytes(df) <= (BROADCAST_BYTES if limit is None else limit) else df
+
+
+def in_pieces(words: DataFrame, table: DataFrame, key: str, how: str = "inner", limit: int | None = None) -> DataFrame:
+    """``words`` joined with a written ``table`` on ``key``, the table by broadcast at any size.
+
+    A table beyond ``limit`` is cut by the hash of the key into pieces that fit, and the
+    pieces are broadcast in turn: ``words`` are read once per piece, but no word ever
+    moves. Inner and semi joins only, so the pieces' rows add up.
+    """
+    limit = BROADCAST_BYTES if limit is None else limit
+    count = max(1, -(-table_bytes(table) // limit))
+    if count == 1:
+        return words.join(F.broadcast(table), key, how)
+    place = F.pmod(F.xxhash64(key), F.lit(count))
+    pieces = [words.join(F.broadcast(table.filter(place == i)), key, how) for i in range(count)]
+    return reduce(DataFrame.unionAll, pieces)

@@ -27,33 +27,46 @@ def articles(spark):
 
 
 def test_aggregate_daily(spark):
-    got = {r["ticker"]: r for r in daily.aggregate_daily(articles(spark)).collect()}
-    assert got["A"]["cleaned_text"] == "first second late"
+    rows = articles(spark).withColumn("text_length", F.length("cleaned_text"))
+    got = {r["ticker"]: r for r in daily.aggregate_daily(rows).collect()}
     assert list(got["A"]["embedding"]) == pytest.approx([3.0, 2.0])
     assert got["A"]["sentiment"] == "bearish"  # three-way tie, smallest word
     assert got["C"]["sentiment"] == "bearish"
     assert got["B"]["sentiment"] == "bullish"
-    lengths = {r["ticker"]: r["text_length"] for r in daily.daily_features(articles(spark)).collect()}
-    assert lengths == {t: len(r["cleaned_text"]) for t, r in got.items()}
-    mean = {r["ticker"]: list(r["embedding"]) for r in daily.daily_mean_embedding(articles(spark)).collect()}
+    assert (got["A"]["n_articles"], got["A"]["text_length"]) == (3, len("first second late"))
+    mean = {r["ticker"]: list(r["embedding"]) for r in daily.daily_mean_embedding(rows).collect()}
     assert mean["C"] == [1.0, 0.0]
-    mode = {r["ticker"]: r["sentiment"] for r in daily.daily_modal_sentiment(articles(spark)).collect()}
+    mode = {r["ticker"]: r["sentiment"] for r in daily.daily_modal_sentiment(rows).collect()}
     assert mode == {"A": "bearish", "B": "bullish", "C": "bearish"}
 
 
-def test_hot_day_comes_in_ordered_parts(spark):
+def test_modal_sentiment_of_foreign_and_missing_labels(spark):
+    rows = spark.createDataFrame(
+        [(D, "A", "positive"), (D, "A", "bullish"), (D, "A", "negative"), (D, "B", None)],
+        "date date, ticker string, sentiment string",
+    )
+    assert {r["ticker"]: r["sentiment"] for r in daily.daily_modal_sentiment(rows).collect()} == {"A": "bullish", "B": "neutral"}
+    with pytest.raises(Exception, match="unknown sentiment: good"):
+        daily.daily_modal_sentiment(rows.withColumn("sentiment", F.lit("good"))).collect()
+
+
+def test_a_day_a_thousand_times_the_others_has_one_row(spark):
+    """The grain follows from the key: a hot day has one row, its texts one row each."""
     rows = spark.range(30000).select(
         F.col("id").alias("news_id"),
         F.lit(D).alias("date"),
-        F.when(F.col("id") % 3 == 0, "HOT").otherwise(F.concat(F.lit("T"), F.col("id") % 50)).alias("ticker"),
+        F.when(F.col("id") % 30 != 0, "HOT").otherwise(F.concat(F.lit("T"), F.col("id"))).alias("ticker"),
         F.concat(F.lit("w"), F.col("id")).alias("cleaned_text"),
+        F.lit("bullish").alias("sentiment"),
+        F.array(F.lit(1.0)).alias("embedding"),
     )
-    parts = daily.daily_text(rows, part_chars=9000).filter("ticker = 'HOT'").orderBy("part").collect()
-    assert len(parts) > 3
-    joined = " ".join(r["cleaned_text"] for r in parts)
-    assert joined == " ".join(f"w{i}" for i in range(0, 30000, 3))
-    whole = daily.daily_text(rows).filter("ticker = 'HOT'").collect()
-    assert [r["part"] for r in whole] == [0] and whole[0]["cleaned_text"] == joined
+    days = daily.aggregate_daily(rows.withColumn("text_length", F.length("cleaned_text")))
+    assert days.count() == days.select("date", "ticker").distinct().count() == 1001
+    hot = days.filter("ticker = 'HOT'").first()
+    own = [f"w{i}" for i in range(30000) if i % 30]
+    assert (hot["n_articles"], hot["text_length"]) == (29000, len(" ".join(own)))
+    texts = daily.daily_text(rows).filter("ticker = 'HOT'").orderBy("news_id").collect()
+    assert [r["cleaned_text"] for r in texts] == own
 
 
 def test_zero_vector_for_missing_embedding_or_text(spark):
@@ -61,13 +74,6 @@ def test_zero_vector_for_missing_embedding_or_text(spark):
     vectors = spark.createDataFrame([(1, [1.0, 2.0]), (3, [3.0, 3.0])], "news_id long, embedding array<float>")
     got = {r["news_id"]: list(r["embedding"]) for r in daily.embed_or_zero(docs, vectors, 2).collect()}
     assert got == {1: [1.0, 2.0], 2: [0.0, 0.0], 3: [0.0, 0.0]}
-    said = docs.select(
-        "news_id",
-        daily.sentiment_or_neutral(
-            F.col("cleaned_text"), F.when(F.col("news_id") != 2, F.lit("bullish"))
-        ).alias("s"),
-    ).collect()
-    assert [r["s"] for r in sorted(said)] == ["bullish", "neutral", "neutral"]
 
 
 def test_user_model_runs_on_batches(spark):
@@ -77,7 +83,7 @@ def test_user_model_runs_on_batches(spark):
         def run(texts):
             n = len(texts)
             sizes = np.array([[len(t), 1.0] for t in texts], dtype="float32")
-            return {"sentiment": np.array(["bullish"] * n), "embedding": sizes}
+            return {"sentiment": np.array(["positive"] * n), "embedding": sizes}
 
         return run
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from marketmood.functions.labels import LABELS
 from marketmood.functions.words import DAMPENERS, DEGREE, INTENSIFIERS, NEGATORS, SEED_VALENCES
 from marketmood.operators import bayes, blend, lexicon
-from marketmood.plans.models import MODELS, BlendModel, LearnedModel, get_model
+from marketmood import storage
+from marketmood.plans.models import MODELS, BlendModel, LearnedModel, LexiconModel, get_model
 
 GENERAL = [
     ("Profit rose, great profit", "bullish"), ("strong growth and profit", "bullish"),
@@ -77,7 +78,7 @@ def test_label_absent_from_training_has_probability_zero(spark):
 
 
 def test_beyond_the_broadcast_limit_results_are_the_same(spark, monkeypatch):
-    monkeypatch.setattr(bayes, "small", lambda df: df)
+    monkeypatch.setattr(storage, "BROADCAST_BYTES", 200)
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
@@ -187,7 +188,9 @@ def test_every_model_trains_predicts_saves_and_loads(spark, tmp_path, name):
     small = {"features": 1 << 10, "max_iter": 10}
     options = small if name in ("bert", "financial_bert") else {}
     if name == "ensemble":
-        options = {"member": LearnedModel(**small)}
+        options = {"member": LearnedModel(**small), "words": LexiconModel(lexicon.seed_lexicon(spark))}
+    if name == "vader":
+        options = {"words": lexicon.seed_lexicon(spark).withColumn("valence", F.col("valence") * 2), "threshold": 0.2}
     model = get_model(name, **options).train(rows, general)
     said = model.predict_proba(rows)
     assert said.count() == rows.count()
@@ -199,7 +202,9 @@ def test_every_model_trains_predicts_saves_and_loads(spark, tmp_path, name):
     assert spark.read.json(str(tmp_path / "m" / "metrics")).count() == 1
     assert spark.read.parquet(str(tmp_path / "m" / "confusion_matrix")).count() == 3
     model.save(str(tmp_path / "model"))
-    again = get_model(name, **options).load(spark, str(tmp_path / "model"))
+    # Nothing but the saved state may decide what the loaded model says.
+    bare = options if name in ("bert", "financial_bert") else {}
+    again = get_model(name, **bare).load(spark, str(tmp_path / "model"))
     assert model.predict(rows).exceptAll(again.predict(rows)).count() == 0
 
 

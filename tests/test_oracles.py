@@ -9,7 +9,7 @@ from compare import compare, connect
 from marketmood.checks.oracles import ORACLES
 from marketmood.checks.queries import REGISTRY as QUERIES
 
-ROWS_ONLY = {"learned_predict", "forecast_ensemble_mse"}
+ROWS_ONLY = {"forecast_ensemble_mse"}
 
 
 @pytest.fixture(scope="module")

@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from marketmood.checks.queries import REGISTRY
 from marketmood.functions.labels import LABELS
 from marketmood.operators import align, backtest, bayes, daily, prices
-from marketmood.storage import spread, written
+from marketmood import storage
+from marketmood.storage import written
 
 PLANNED = (
     "stock_returns", "sentiment_labels", "normalized_prices", "clean_news", "training_frame",
     "join_date_only", "split_exact", "nb_predict", "tfidf_nb", "lexicon_polarity",
-    "aggregate_daily", "sequence_windows", "backtest_portfolio", "chart_markers",
+    "aggregate_daily", "sequence_windows", "holding_value", "chart_markers",
 )
 
 
@@ -31,11 +32,23 @@ def test_no_pair_joins_and_no_python_rows(spark, sf_dir, name):
         assert banned not in plan
 
 
-def test_price_windows_are_cut_by_year(spark, sf_dir):
+def test_returns_read_their_input_once(spark, sf_dir):
     plan = plan_of(REGISTRY["stock_returns"](spark, sf_dir))
-    row_windows = [l for l in plan.splitlines() if "Window [" in l and "_value" in l]
-    assert row_windows
-    assert all(re.search(r"\[ticker#\d+, _year#\d+\], \[date#", l) for l in row_windows)
+    assert plan.count("FileScan") == 1 and plan.count("Window [") == 1
+
+
+def test_no_text_crosses_the_vector_join(spark, sf_dir):
+    for name in ("daily_mean_embedding", "aggregate_daily"):
+        plan = plan_of(REGISTRY[name](spark, sf_dir))
+        shuffled = [l for l in plan.splitlines() if "Exchange hashpartitioning(news_id" in l or "BroadcastExchange" in l]
+        assert shuffled
+        joins = [l for l in plan.splitlines() if "Join" in l and "news_id" in l]
+        assert joins
+    narrow = daily.embed_or_zero(
+        spark.createDataFrame([(1, "a")], "news_id long, cleaned_text string"),
+        spark.createDataFrame([(1, [1.0])], "news_id long, embedding array<float>"), 1,
+    )
+    assert "cleaned_text" not in narrow.columns and narrow.first()["text_length"] == 1
 
 
 def test_scan_reads_needed_columns_only(spark, sf_dir):
@@ -56,12 +69,30 @@ def test_scoring_moves_texts_not_words(spark):
     assert "explode" not in above and "partial_sum" in below and "BroadcastHashJoin" in below
 
 
-def test_spread_leaves_wide_tables_alone(spark, tmp_path):
-    spark.range(100).repartition(1).write.parquet(str(tmp_path / "one"))
-    narrow = spark.read.parquet(str(tmp_path / "one"))
-    assert spread(narrow).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    wide = spark.range(0, 100, 1, 64)
-    assert spread(wide) is wide
+def test_large_word_tables_are_broadcast_in_pieces(spark, monkeypatch):
+    """At any limit words meet the model by broadcast, and only sums per text move."""
+    docs = written(
+        spark.range(40).select(
+            F.col("id").alias("news_id"), F.concat_ws(" ", *[F.concat(F.lit("word"), (F.col("id") * k) % 50) for k in range(9)]).alias("text")
+        ),
+        "docs",
+    )
+    train = docs.select("text", F.when(F.col("news_id") % 2 == 0, "bullish").otherwise("bearish").alias("label"))
+    weights = bayes.fit(train)
+    whole = sorted(bayes.joint_scores(docs, weights, ["news_id"], "text").collect())
+    idf = written(bayes.inverse_document_frequency(docs, "text"), "idf")
+    scaled = sorted(bayes.tfidf(docs, idf, ["news_id"], "text").collect())
+    monkeypatch.setattr(storage, "BROADCAST_BYTES", 1024)
+    pieces = bayes.joint_scores(docs, weights, ["news_id"], "text")
+    plan = plan_of(pieces)
+    assert plan.count("BroadcastHashJoin") > 3 and "SortMergeJoin" not in plan
+    assert "hashpartitioning(token" not in plan
+    for a, b in zip(sorted(pieces.collect()), whole, strict=True):
+        assert a["news_id"] == b["news_id"]
+        assert [a[l] for l in LABELS if b[l] is not None] == pytest.approx([b[l] for l in LABELS if b[l] is not None])
+    again = sorted(bayes.tfidf(docs, idf, ["news_id"], "text").collect())
+    assert [tuple(r)[:2] for r in again] == [tuple(r)[:2] for r in scaled]
+    assert [r["tfidf"] for r in again] == pytest.approx([r["tfidf"] for r in scaled])
 
 
 def test_hot_ticker_day_gives_whole_results(spark):
@@ -96,9 +127,9 @@ def test_hot_ticker_day_gives_whole_results(spark):
     signals = backtest.first_signal_per_day(said)
     assert signals.filter("ticker = 'HOT'").first()["signal"] == "bearish"
     vectors = said.select(
-        "news_id", "date", "ticker", "cleaned_text", F.col("prediction").alias("sentiment"),
+        "news_id", "date", "ticker", F.length("cleaned_text").alias("text_length"), F.col("prediction").alias("sentiment"),
         F.array(F.col("news_id").cast("double"), F.lit(1.0)).alias("embedding"),
     )
-    day = daily.daily_features(vectors).filter("ticker = 'HOT'").first()
+    day = daily.aggregate_daily(vectors).filter("ticker = 'HOT'").first()
     assert day["embedding"][0] == pytest.approx(sum(range(0, n, 3)) / (n / 3))
-    assert day["sentiment"] == "bullish" and day["sentiment"] in LABELS
+    assert day["sentiment"] == "bullish" and day["n_articles"] == n // 3

@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketmood import storage
-from marketmood.operators import learned
+from marketmood.operators import learned, lexicon
 from marketmood.plans import workflow
-from marketmood.plans.models import LearnedModel
+from marketmood.plans.models import LearnedModel, LexiconModel
 from marketmood.sources import news, prices, sinks
 from marketmood.sources.schemas import ARTICLES, STORIES
 
@@ -79,7 +79,27 @@ def test_landing_reuses_what_is_there(spark, tmp_path):
     assert {(r["ticker"], r["title"]) for r in landed.collect()} == {("A", "old"), ("B", "b")}
     assert landed.select("news_id").distinct().count() == 2
     third = news.land_news(news.typed(second), path, "2024-02-01", "2024-02-28")
-    assert third.count() == 2 and spark.read.parquet(path).count() == 4
+    assert third.count() == 2 and spark.read.schema(news.LANDED).parquet(path).count() == 4
+
+
+def test_landing_keeps_tickers_and_ids_apart(spark, tmp_path):
+    path = str(tmp_path / "landing")
+    rows = [("2024-01-01", "t", "", "", x, "newsapi") for x in ("0700", "700", "1E5", "700")]
+    first = news.land_news(news.typed(fetched(spark, rows)), path, "2024-01-01", "2024-01-31")
+    assert sorted(r["ticker"] for r in first.collect()) == ["0700", "1E5", "700", "700"]
+    ids = {r["news_id"] for r in first.collect()}
+    assert len(ids) == 4
+    later = news.land_news(news.typed(fetched(spark, rows[:1])), path, "2024-02-01", "2024-02-28")
+    assert {r["news_id"] for r in later.collect()}.isdisjoint(ids) and later.count() == 1
+    pruned = news._range(spark, path, "2024-02-01", "2024-02-28")
+    assert "PartitionFilters: [isnotnull(from_date" in pruned._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tables_by_ticker_come_back_as_written(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "0700"), (2, "700"), (3, "1E5")], "n long, ticker string")
+    sinks.write_by_ticker(rows, str(tmp_path / "t"))
+    for back in (sinks.read_table(spark, str(tmp_path / "t")), sinks.read_table(spark, str(tmp_path / "t"), "n LONG, ticker STRING")):
+        assert sorted((r["n"], r["ticker"]) for r in back.collect()) == [(1, "0700"), (2, "700"), (3, "1E5")]
 
 
 def test_top_and_lookup(spark):
@@ -153,6 +173,28 @@ def test_metric_and_parameter_files(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "k")).count() == 2
 
 
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    class Conf:
+        def __init__(self, path):
+            self.path = path
+
+        def get(self, *_):
+            return self.path
+
+    class Context:
+        master, applicationId = "spark://host:7077", "x"
+
+    class Session:
+        sparkContext = Context
+
+    for path in (None, "/tmp/checkpoints", "file:///tmp/x"):
+        Session.conf = Conf(path)
+        with pytest.raises(ValueError):
+            storage.shared_dir(Session)
+    Session.conf = Conf("hdfs://shared/x")
+    assert storage.shared_dir(Session) == "hdfs://shared/x"
+
+
 def test_written_table_and_size_check(spark):
     frame = storage.written(spark.range(10), "ten")
     assert frame.count() == 10
@@ -175,12 +217,13 @@ def news_rows(spark):
 def test_workflows(spark, tmp_path):
     inputs = workflow.Inputs(news_rows(spark), bar_rows(spark), index_rows(spark))
     model, metrics = workflow.classify(
-        inputs, "ensemble", str(tmp_path / "w"), member=LearnedModel(1 << 8, 5))
+        inputs, "ensemble", str(tmp_path / "w"), member=LearnedModel(1 << 8, 5),
+        words=LexiconModel(lexicon.seed_lexicon(spark)))
     assert metrics.first()["n"] > 0
     rows = spark.read.parquet(str(tmp_path / "w" / "processed_news"))
     assert rows.count() == 240
-    portfolio, result = workflow.backtest_tickers(model, rows, inputs.stock, path=str(tmp_path / "bt"))
-    assert result.count() == 2 and portfolio.filter("portfolio < 0").count() == 0
+    days, result = workflow.follow_tickers(model, rows, inputs.stock, path=str(tmp_path / "bt"))
+    assert result.count() == 2 and days.filter("portfolio < 0").count() == 0
     labels = spark.read.parquet(str(tmp_path / "w" / "sentiment_labels"))
     tables = workflow.chart_tables(inputs, labels)
     assert tables["series"].count() == 90 and tables["markers"].count() == 60
