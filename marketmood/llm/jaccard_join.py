@@ -12,11 +12,13 @@ any fixed order of all shingles they therefore share a key within their first sh
 A set's prefix is long enough for a linked set to share several of its shingles, in
 proportion to its size; pairs that share fewer are dropped by their counts. A short list
 gives all its pairs; a long one only links its members to a leader, which
-joins groups of near copies without all their pairs. Shingles of long lists that still
-hold several components (passages shared by unlike documents) are then moved to the end
-of the order, and the sets concerned are joined again under the new order; the last
-round scans whatever is left. Any order is valid, so no link is lost. Pairs pass a
-bitmap bound on the symmetric difference and are verified on the texts.
+joins groups of near copies without all their pairs. The order has the shingles last
+that the pass over all sets finds frequent, such as those of passages that unlike
+documents share. Shingles of long lists that still hold several components are moved
+behind them, and the sets concerned are joined again under the new order; the last round
+scans whatever is left, pairs of different components only. Any order is valid, so no
+link is lost. Pairs pass a bitmap bound on the symmetric difference and are verified on
+the texts.
 """
 
 from __future__ import annotations
@@ -38,7 +40,10 @@ PERCENT = 75
 # A list up to this long gives all its pairs, a longer one links to its leader.
 SHORT_LIST = 24
 # Rounds with shingles moved to the end; the last one scans lists of any length.
-ROUNDS = 4
+ROUNDS = 3
+# Shingles counted together by a task, and how often one stands there to be reported.
+COUNTED = 1 << 21
+REPORTED = 4
 # Shingles that can be moved, the heaviest first; 8 bytes each, held by every task.
 MOVED = 1_000_000
 # Sizes at which enumerating pairs is considered.
@@ -93,26 +98,45 @@ def least_difference(a: bytes, b: bytes) -> int:
 
 
 def _signatures(docs: DataFrame, percent: int) -> DataFrame:
-    """doc_id, n, node of every row; prefix and bitmap of each set where a task first meets it."""
-    schema = "doc_id long, n long, node long, bits binary, prefix array<long>"
-    names = ["doc_id", "n", "node", "bits", "prefix"]
+    """doc_id, n, node of every row; bitmap, and prefix if small, where a task first meets a set.
+
+    Rows with a count hold a shingle (as node) that is frequent among a task's sets:
+    they only serve the order of shingles.
+    """
+    schema = "doc_id long, n long, node long, bits binary, prefix array<long>, count long"
+    names = ["doc_id", "n", "node", "bits", "prefix", "count"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64()]
+
+    def frequent(held: list[np.ndarray]) -> list[tuple]:
+        found, counts = np.unique(np.concatenate(held), return_counts=True)
+        often = counts >= REPORTED
+        return [(None, 0, t, None, None, c) for t, c in zip(found[often].view(np.int64).tolist(), counts[often].tolist())]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) or [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner, met = WordScanner(), set()
+        scanner, met, held, size = WordScanner(), set(), [], 0
         for batch in batches:
-            n, node, bits, prefix = [], [], [], []
-            for text in batch.column("text").to_pylist():
+            rows = []
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 own = document_set(scanner, text)
                 key = set_id(own) if len(own) else None
-                first = key is not None and key not in met
-                if first:
-                    met.add(key)
-                n.append(len(own))
-                node.append(key)
-                bits.append(bitmap(own) if first else None)
-                prefix.append(own[: prefix_length(len(own), max(2, least_shared(len(own))), percent)].view(np.int64) if first else None)
-            columns = [pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names)
+                if key is None or key in met:
+                    rows.append((doc_id, len(own), key, None, None, None))
+                    continue
+                met.add(key)
+                small = own[: prefix_length(len(own), 2, percent)].view(np.int64) if len(own) <= LARGEST_SMALL else None
+                rows.append((doc_id, len(own), key, bitmap(own), small, None))
+                held.append(own)
+                size += len(own)
+                if size >= COUNTED:
+                    rows += frequent(held)
+                    held, size = [], 0
+            yield batch_of(rows)
+        if held:
+            yield batch_of(frequent(held))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(run, schema)
@@ -133,15 +157,15 @@ def _boundary(signatures: DataFrame, percent: int) -> int:
 
 
 def _keys(sets: DataFrame, boundary: int, percent: int) -> DataFrame:
-    """(key, node, n) from (node, n, prefix): pairs of small sets, single shingles of large ones."""
+    """(key, node, n, label) from (node, n, label, prefix): pairs of small sets, shingles of large ones."""
     with_pairs = boundary * 100 // percent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, nodes, sizes = [], [], []
+            keys, nodes, sizes, labels = [], [], [], []
             offsets = batch.column("prefix").offsets.to_numpy()
             values = batch.column("prefix").values.to_numpy().view(np.uint64)
-            for i, (node, n) in enumerate(zip(batch.column("node").to_pylist(), batch.column("n").to_pylist())):
+            for i, (node, n, label) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("node", "n", "label")))):
                 own = values[offsets[i] : offsets[i + 1]]
                 parts = []
                 if n > boundary:
@@ -156,10 +180,11 @@ def _keys(sets: DataFrame, boundary: int, percent: int) -> DataFrame:
                 keys += parts
                 nodes.append(np.full(count, node, np.int64))
                 sizes.append(np.full(count, n, np.int64))
-            for columns in [[np.concatenate(x) if x else np.empty(0, np.int64) for x in (keys, nodes, sizes)]]:
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0].view(np.int64)), pa.array(columns[1]), pa.array(columns[2])], ["key", "node", "n"])
+                labels.append(np.full(count, label, np.int64))
+            columns = [np.concatenate(x).view(np.int64) if x else np.empty(0, np.int64) for x in (keys, nodes, sizes, labels)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "n", "label"])
 
-    return sets.select("node", "n", "prefix").mapInArrow(run, "key long, node long, n long")
+    return sets.select("node", "n", "label", "prefix").mapInArrow(run, "key long, node long, n long, label long")
 
 
 def _scan_lists(keys: DataFrame, boundary: int, limit: int | None, percent: int) -> DataFrame:
@@ -177,22 +202,25 @@ def _scan_lists(keys: DataFrame, boundary: int, limit: int | None, percent: int)
     def need(sizes: np.ndarray) -> np.ndarray:
         return np.where(sizes <= with_pairs, 1, least_shared(sizes)).astype(np.int32)
 
-    def pairs(nodes: np.ndarray, sizes: np.ndarray) -> Iterator[tuple]:
-        """All pairs of a list that pass the size filter, in blocks; sizes ascend."""
-        ends = np.searchsorted(sizes, sizes * 100 // percent, "right")
-        counts = np.maximum(ends - np.arange(1, len(sizes) + 1), 0)
-        total = counts.cumsum()
+    def pairs(nodes: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> Iterator[tuple]:
+        """All pairs of different labels that pass the size filter, in blocks."""
+        order = np.argsort(labels, kind="stable")
+        nodes, sizes, labels = nodes[order], sizes[order], labels[order]
+        stops = np.searchsorted(labels, labels, "right")
         at = 0
-        while at < len(sizes):
-            stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + BLOCK, "right")))
-            own = counts[at:stop]
-            first = np.repeat(np.arange(at, at + len(own)), own)
-            second = first + 1 + np.arange(len(first)) - np.repeat(own.cumsum() - own, own)
-            yield 0, nodes[first], nodes[second], need(sizes[first])
-            at = stop
+        while at < len(nodes) and stops[at] < len(nodes):
+            # Members at..end of one label, each with all members of later labels.
+            rest = len(nodes) - int(stops[at])
+            end = min(int(stops[at]), at + max(1, BLOCK // rest))
+            first = np.repeat(np.arange(at, end), rest)
+            second = np.tile(np.arange(int(stops[at]), len(nodes)), end - at)
+            low, high = np.minimum(sizes[first], sizes[second]), np.maximum(sizes[first], sizes[second])
+            fits = high * percent <= low * 100
+            yield 0, nodes[first[fits]], nodes[second[fits]], need(low[fits])
+            at = end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64)] * 3
+        held = [np.empty(0, np.int64)] * 4
         long_key, leader, leader_size = None, 0, 0
 
         def star(key: int, nodes: np.ndarray, sizes: np.ndarray, out: list) -> None:
@@ -220,7 +248,7 @@ def _scan_lists(keys: DataFrame, boundary: int, limit: int | None, percent: int)
                     j = i + BLOCK
                     yield pa.RecordBatch.from_arrays([pa.array(x[i:j]) for x in (kind, a, b, least)], names)
 
-        def lists(key: np.ndarray, node: np.ndarray, n: np.ndarray, last: bool) -> Iterator[tuple]:
+        def lists(key: np.ndarray, node: np.ndarray, n: np.ndarray, label: np.ndarray, last: bool) -> Iterator[tuple]:
             """Out of sorted rows, the candidates of each complete list; keeps the rest."""
             nonlocal held
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
@@ -230,7 +258,7 @@ def _scan_lists(keys: DataFrame, boundary: int, limit: int | None, percent: int)
             lengths = ends - starts
             whole = len(starts) - end_held
             double = starts[:whole][lengths[:whole] == 2]
-            double = double[n[double + 1] * percent <= n[double] * 100]
+            double = double[(n[double + 1] * percent <= n[double] * 100) & (label[double] != label[double + 1])]
             if len(double):
                 out.append((0, node[double], node[double + 1], need(n[double])))
             for i in np.flatnonzero(lengths[:whole] > 2).tolist():
@@ -238,12 +266,14 @@ def _scan_lists(keys: DataFrame, boundary: int, limit: int | None, percent: int)
                 if limit is not None and e - s > limit:
                     star(int(key[s]), node[s:e], n[s:e], out)
                 else:
-                    for part in pairs(node[s:e], n[s:e]):
+                    made = 0
+                    for part in pairs(node[s:e], n[s:e], label[s:e]):
                         out.append(part)
-                        if len(part[1]) >= BLOCK // 2:
+                        made += len(part[1])
+                        if made >= BLOCK:
                             yield from emit(out)
-                            out = []
-            held = [x[starts[whole] :] if 0 <= whole < len(starts) else x[:0] for x in (key, node, n)]
+                            out, made = [], 0
+            held = [x[starts[whole] :] if 0 <= whole < len(starts) else x[:0] for x in (key, node, n, label)]
             # The list that goes on: once it is long, its members need not be held.
             if limit is not None and len(held[0]) > limit:
                 star(int(held[0][0]), held[1], held[2], out)
@@ -251,7 +281,7 @@ def _scan_lists(keys: DataFrame, boundary: int, limit: int | None, percent: int)
             yield from emit(out)
 
         for batch in batches:
-            rows = [batch.column(c).to_numpy() for c in ("key", "node", "n")]
+            rows = [batch.column(c).to_numpy() for c in ("key", "node", "n", "label")]
             if not len(rows[0]):
                 continue
             if long_key is not None and len(held[0]) == 1 and held[0][0] == long_key:
@@ -352,28 +382,42 @@ def _verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def _prefixes(docs: DataFrame, wanted: DataFrame, moved: np.ndarray, percent: int) -> DataFrame:
-    """(node, n, prefix) of the wanted nodes, in the order that has the moved shingles last."""
+def _prefixes(docs: DataFrame, wanted: DataFrame | None, moved: np.ndarray, percent: int) -> DataFrame:
+    """(node, n, prefix) in the order that has the moved shingles last.
+
+    Of all sets, where a task first meets them, or of the wanted nodes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = WordScanner()
+        scanner, met = WordScanner(), set()
         for batch in batches:
             rows = []
-            for node, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist()):
+            nodes = batch.column("node").to_pylist() if wanted is not None else [None] * batch.num_rows
+            for node, text in zip(nodes, batch.column("text").to_pylist()):
                 own = document_set(scanner, text)
-                if not len(own) or set_id(own) != node:
+                found = set_id(own) if len(own) else None
+                if found is None or found in met or wanted is not None and found != node:
                     continue
+                met.add(found)
                 late = np.zeros(len(own), bool)
                 if len(moved):
                     late = moved[np.minimum(np.searchsorted(moved, own), len(moved) - 1)] == own
                 own = np.concatenate([own[~late], own[late]])
-                rows.append((node, len(own), own[: prefix_length(len(own), max(2, least_shared(len(own))), percent)].view(np.int64)))
+                length = prefix_length(len(own), max(2, least_shared(len(own))), percent)
+                rows.append((found, len(own), own[:length].view(np.int64)))
             columns = list(zip(*rows)) or [()] * 3
             kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["node", "n", "prefix"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return texts.join(if_small(wanted), "doc_id").select("node", "text").mapInArrow(run, "node long, n long, prefix array<long>")
+    texts = texts.select("text") if wanted is None else texts.join(if_small(wanted), "doc_id").select("node", "text")
+    return texts.mapInArrow(run, "node long, n long, prefix array<long>")
+
+
+def _heaviest(lists: DataFrame) -> np.ndarray:
+    """The keys of the MOVED longest lists, sorted."""
+    kept = lists.orderBy(F.desc("n"), "key").limit(MOVED).select("key")
+    return np.sort(np.array([r["key"] for r in kept.toLocalIterator()], np.int64).view(np.uint64))
 
 
 def link_documents(docs: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS, short_list: int = SHORT_LIST) -> DataFrame:
@@ -389,19 +433,25 @@ def link_documents(docs: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS
     read.
     """
     bound_batches(docs.sparkSession)
-    signatures = stored(_signatures(docs, percent), "sets")
+    found = stored(_signatures(docs, percent), "sets")
+    signatures = found.filter("count is null")
     nodes = stored(
         signatures.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("bits").alias("bits")),
         "nodes",
     )
+    frequent = found.filter("count is not null").groupBy(F.col("node").alias("key")).agg(F.sum("count").alias("n"))
+    moved = _heaviest(frequent.filter(F.col("n") > short_list))
     boundary = _boundary(signatures, percent)
-    sets = signatures.filter("prefix is not null").select("node", "n", "prefix")
     edges: list[DataFrame] = []
     tried: list[DataFrame] = []
-    moved = np.empty(0, np.uint64)
-    labels = None
+    labels = wanted = None
     for turn in range(rounds):
         last = turn == rounds - 1
+        sets = _prefixes(docs, wanted, moved, percent)
+        if labels is None:
+            sets = sets.withColumn("label", F.col("node"))
+        else:
+            sets = sets.join(if_small(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
         found = stored(_scan_lists(_keys(sets, boundary, percent), boundary, None if last else short_list, percent), "lists")
         pairs = stored(_shared_enough(found), "pairs")
         if tried:
@@ -414,15 +464,16 @@ def link_documents(docs: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS
             break
         members = found.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"))
         named = members.join(if_small(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        open_lists = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high")
-        heavy = stored(open_lists.orderBy(F.desc("n"), "key").limit(MOVED).select("key"), "heavy")
-        new = np.array([r["key"] for r in heavy.toLocalIterator()], np.int64).view(np.uint64)
+        open_lists = stored(
+            named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high").select("key", "n"),
+            "open",
+        )
+        new = _heaviest(open_lists)
         if not len(new):
             break
         moved = np.union1d(moved, new)
-        open_nodes = members.join(if_small(stored(open_lists.select("key"), "open")), "key", "left_semi").select("node").distinct()
+        open_nodes = members.join(if_small(open_lists.select("key")), "key", "left_semi").select("node").distinct()
         wanted = stored(open_nodes.join(nodes.select("node", "doc_id"), "node"), "open-nodes")
-        sets = _prefixes(docs, wanted, moved, percent)
 
     lowest = labels.join(nodes.select("node", "doc_id"), "node").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = labels.join(lowest, "label").select("node", "component_id")
