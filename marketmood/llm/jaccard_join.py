@@ -387,16 +387,17 @@ def _prefixes(docs: DataFrame, wanted: DataFrame | None, moved: np.ndarray, perc
 
     Of all sets, where a task first meets them, or of the wanted nodes.
     """
+    chosen = wanted is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner, met = WordScanner(), set()
         for batch in batches:
             rows = []
-            nodes = batch.column("node").to_pylist() if wanted is not None else [None] * batch.num_rows
+            nodes = batch.column("node").to_pylist() if chosen else [None] * batch.num_rows
             for node, text in zip(nodes, batch.column("text").to_pylist()):
                 own = document_set(scanner, text)
                 found = set_id(own) if len(own) else None
-                if found is None or found in met or wanted is not None and found != node:
+                if found is None or found in met or chosen and found != node:
                     continue
                 met.add(found)
                 late = np.zeros(len(own), bool)
