@@ -84,4 +84,3 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY = {f.__name__: f for f in (op1_jaccard_join, op2_quality_rules, op3_quality_classifier, op4_url_rules, op5_sharding, op6_decontamination, op7_byte_bpe, op8_licenses, op9_substring_dedup, op10_language)}
-ORACLES: dict[str, str] = {}
