@@ -11,8 +11,9 @@ any fixed order of all shingles they therefore share a key within their first sh
 
 A set's prefix is long enough for a linked set to share several of its shingles, in
 proportion to its size; pairs that share fewer are dropped by their counts. A short list
-gives all its pairs; a long one only links its members to a leader, which
-joins groups of near copies without all their pairs. The order has the shingles last
+gives all its pairs; a long one only links its
+members to a leader, the document with the smallest id and so often the original of its
+near copies. The order has the shingles last
 that the pass over all sets finds frequent, such as those of passages that unlike
 documents share. Shingles of long lists that still hold several components are moved
 behind them, and the sets concerned are joined again under the new order; the last round
@@ -28,6 +29,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
@@ -42,8 +44,8 @@ SHORT_LIST = 24
 # Rounds with shingles moved to the end; the last one scans lists of any length.
 ROUNDS = 3
 # Shingles counted together by a task, and how often one stands there to be reported.
-COUNTED = 1 << 21
-REPORTED = 4
+COUNTED = 1 << 20
+REPORTED = 3
 # Shingles that can be moved, the heaviest first; 8 bytes each, held by every task.
 MOVED = 1_000_000
 # Sizes at which enumerating pairs is considered.
@@ -52,6 +54,8 @@ LARGEST_SMALL = 64
 SHARED_PART = 20
 # Bits of a set's bitmap: a power of two, at least this and at least the set's size.
 LEAST_BITS = 256
+# The place of a document without an id.
+LAST = (1 << 63) - 1
 # Candidate pairs made at a time.
 BLOCK = 1 << 17
 # Members verified against one copy of their leader's text.
@@ -157,15 +161,18 @@ def _boundary(signatures: DataFrame, percent: int) -> int:
 
 
 def _keys(sets: DataFrame, boundary: int, percent: int) -> DataFrame:
-    """(key, node, n, label) from (node, n, label, prefix): pairs of small sets, shingles of large ones."""
+    """(key, place, node, n, label) of the sets: keys are pairs for small sets, shingles for large ones.
+
+    place orders a list's members. A null label stands for the node itself.
+    """
     with_pairs = boundary * 100 // percent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, nodes, sizes, labels = [], [], [], []
+            keys, places, nodes, sizes, labels = [], [], [], [], []
             offsets = batch.column("prefix").offsets.to_numpy()
             values = batch.column("prefix").values.to_numpy().view(np.uint64)
-            for i, (node, n, label) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("node", "n", "label")))):
+            for i, (place, node, n, label) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("place", "node", "n", "label")))):
                 own = values[offsets[i] : offsets[i + 1]]
                 parts = []
                 if n > boundary:
@@ -178,13 +185,15 @@ def _keys(sets: DataFrame, boundary: int, percent: int) -> DataFrame:
                         parts.append(low * np.uint64(0x9E3779B97F4A7C15) ^ high)
                 count = sum(map(len, parts))
                 keys += parts
+                places.append(np.full(count, place, np.int64))
                 nodes.append(np.full(count, node, np.int64))
                 sizes.append(np.full(count, n, np.int64))
-                labels.append(np.full(count, label, np.int64))
-            columns = [np.concatenate(x).view(np.int64) if x else np.empty(0, np.int64) for x in (keys, nodes, sizes, labels)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "n", "label"])
+                labels.append(np.full(count, node if label is None else label, np.int64))
+            columns = [np.concatenate(x).view(np.int64) if x else np.empty(0, np.int64) for x in (keys, places, nodes, sizes, labels)]
+            arrays = [pa.array(c) for c in columns[:4]] + [pa.array(columns[4], mask=columns[4] == columns[2])]
+            yield pa.RecordBatch.from_arrays(arrays, ["key", "place", "node", "n", "label"])
 
-    return sets.select("node", "n", "label", "prefix").mapInArrow(run, "key long, node long, n long, label long")
+    return sets.select("place", "node", "n", "label", "prefix").mapInArrow(run, "key long, place long, node long, n long, label long")
 
 
 def _scan_lists(keys: DataFrame, boundary: int, limit: int | None, percent: int) -> DataFrame:
@@ -224,20 +233,14 @@ def _scan_lists(keys: DataFrame, boundary: int, limit: int | None, percent: int)
         long_key, leader, leader_size = None, 0, 0
 
         def star(key: int, nodes: np.ndarray, sizes: np.ndarray, out: list) -> None:
-            """Members of a long list joined to the smallest set that can still link to them."""
+            """Members of a long list joined to the list's first member."""
             nonlocal long_key, leader, leader_size
-            at = 0
             if long_key != key:
                 long_key, leader, leader_size = key, int(nodes[0]), int(sizes[0])
-            while at < len(nodes):
-                stop = int(np.searchsorted(sizes, leader_size * 100 // percent, "right"))
-                if stop <= at:
-                    leader, leader_size = int(nodes[at]), int(sizes[at])
-                    continue
-                own = nodes[at:stop]
-                own = own[own != leader]
-                out.append((0, np.full(len(own), leader, np.int64), own, np.full(len(own), need(np.array(leader_size)), np.int32)))
-                at = stop
+            low, high = np.minimum(sizes, leader_size), np.maximum(sizes, leader_size)
+            fits = (high * percent <= low * 100) & (nodes != leader)
+            own = nodes[fits]
+            out.append((0, np.full(len(own), leader, np.int64), own, need(low[fits])))
             out.append((1, np.full(len(nodes), key, np.int64), nodes, np.zeros(len(nodes), np.int32)))
 
         def emit(out: list) -> Iterator[pa.RecordBatch]:
@@ -258,9 +261,11 @@ def _scan_lists(keys: DataFrame, boundary: int, limit: int | None, percent: int)
             lengths = ends - starts
             whole = len(starts) - end_held
             double = starts[:whole][lengths[:whole] == 2]
-            double = double[(n[double + 1] * percent <= n[double] * 100) & (label[double] != label[double + 1])]
+            low, high = np.minimum(n[double], n[double + 1]), np.maximum(n[double], n[double + 1])
+            fits = (high * percent <= low * 100) & (label[double] != label[double + 1])
+            double, low = double[fits], low[fits]
             if len(double):
-                out.append((0, node[double], node[double + 1], need(n[double])))
+                out.append((0, node[double], node[double + 1], need(low)))
             for i in np.flatnonzero(lengths[:whole] > 2).tolist():
                 s, e = int(starts[i]), int(ends[i])
                 if limit is not None and e - s > limit:
@@ -281,7 +286,8 @@ def _scan_lists(keys: DataFrame, boundary: int, limit: int | None, percent: int)
             yield from emit(out)
 
         for batch in batches:
-            rows = [batch.column(c).to_numpy() for c in ("key", "node", "n", "label")]
+            rows = [batch.column(c).to_numpy() for c in ("key", "node", "n")]
+            rows.append(pc.coalesce(batch.column("label"), batch.column("node")).to_numpy())
             if not len(rows[0]):
                 continue
             if long_key is not None and len(held[0]) == 1 and held[0][0] == long_key:
@@ -305,7 +311,7 @@ def _scan_lists(keys: DataFrame, boundary: int, limit: int | None, percent: int)
             yield from lists(*held, last=True)
 
     parts = max(2, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = keys.repartition(parts, "key").sortWithinPartitions("key", "n", "node")
+    ordered = keys.repartition(parts, "key").sortWithinPartitions("key", "place", "node").drop("place")
     return ordered.mapInArrow(run, "kind int, a long, b long, need int")
 
 
@@ -383,7 +389,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, wanted: DataFrame | None, moved: np.ndarray, percent: int) -> DataFrame:
-    """(node, n, prefix) in the order that has the moved shingles last.
+    """(place, node, n, prefix) in the order that has the moved shingles last; place is the id.
 
     Of all sets, where a task first meets them, or of the wanted nodes.
     """
@@ -394,7 +400,7 @@ def _prefixes(docs: DataFrame, wanted: DataFrame | None, moved: np.ndarray, perc
         for batch in batches:
             rows = []
             nodes = batch.column("node").to_pylist() if chosen else [None] * batch.num_rows
-            for node, text in zip(nodes, batch.column("text").to_pylist()):
+            for place, node, text in zip(batch.column("doc_id").to_pylist(), nodes, batch.column("text").to_pylist()):
                 own = document_set(scanner, text)
                 found = set_id(own) if len(own) else None
                 if found is None or found in met or chosen and found != node:
@@ -405,14 +411,14 @@ def _prefixes(docs: DataFrame, wanted: DataFrame | None, moved: np.ndarray, perc
                     late = moved[np.minimum(np.searchsorted(moved, own), len(moved) - 1)] == own
                 own = np.concatenate([own[~late], own[late]])
                 length = prefix_length(len(own), max(2, least_shared(len(own))), percent)
-                rows.append((found, len(own), own[:length].view(np.int64)))
-            columns = list(zip(*rows)) or [()] * 3
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["node", "n", "prefix"])
+                rows.append((LAST if place is None else place, found, len(own), own[:length].view(np.int64)))
+            columns = list(zip(*rows)) or [()] * 4
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["place", "node", "n", "prefix"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    texts = texts.select("text") if wanted is None else texts.join(if_small(wanted), "doc_id").select("node", "text")
-    return texts.mapInArrow(run, "node long, n long, prefix array<long>")
+    texts = texts if wanted is None else texts.join(if_small(wanted), "doc_id").select("doc_id", "node", "text")
+    return texts.mapInArrow(run, "place long, node long, n long, prefix array<long>")
 
 
 def _heaviest(lists: DataFrame) -> np.ndarray:
@@ -450,9 +456,9 @@ def link_documents(docs: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS
         last = turn == rounds - 1
         sets = _prefixes(docs, wanted, moved, percent)
         if labels is None:
-            sets = sets.withColumn("label", F.col("node"))
+            sets = sets.withColumn("label", F.lit(None).cast("long"))
         else:
-            sets = sets.join(if_small(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
+            sets = sets.join(if_small(labels), "node", "left")
         found = stored(_scan_lists(_keys(sets, boundary, percent), boundary, None if last else short_list, percent), "lists")
         pairs = stored(_shared_enough(found), "pairs")
         if tried:
