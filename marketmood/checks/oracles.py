@@ -497,6 +497,9 @@ BODIES = {
     "learned_predict": """
         SELECT news_id, sentiment, true AS sums_to_one, true AS prediction_is_best
         FROM nb_shares WHERE is_test""",
+    "forecast_ensemble_mse": """
+        SELECT count(*) AS n, true AS mse_is_finite FROM window_closes
+        WHERE substr(md5(ticker || '|' || CAST(start_date AS VARCHAR)), 1, 8) < '33333333'""",
     "forecast_fixed_members": f"""
         SELECT (SELECT count(*) FROM window_errors) AS n, {_r('(SELECT avg(e) FROM window_errors)', 4)} AS plain_mse,
                {_r('(SELECT avg(m) FROM (SELECT avg(e) AS m FROM window_errors GROUP BY batch))', 4)} AS mse""",
