@@ -12,7 +12,8 @@ into shards so that an automaton only meets text that can match it:
 * where an anchor has several contents, its passages are one reference shard: each
   content's first passage is streamed through the suffix automaton of the passages with
   smaller ids, whose matching statistics tell the maximal spans of ``width`` words or
-  more, and then joins the automaton. Shards of more passages than HELD would be an
+  more, and then joins the automaton. The spans hold for all cells of that content in
+  the first passage's document. Shards of more passages than HELD would be an
   unbounded group; their windows are matched by hash in a pre-aggregated sum instead.
 """
 
@@ -147,8 +148,8 @@ def _cells(docs: DataFrame, width: int, run: int) -> DataFrame:
 
 
 def _passages(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(anchor, doc_id, row, start, large, text): the words of each wanted cell's windows."""
-    names = ["anchor", "doc_id", "row", "start", "large", "text"]
+    """(anchor, content, doc_id, row, start, large, text): the words of each wanted cell's windows."""
+    names = ["anchor", "content", "doc_id", "row", "start", "large", "text"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,28 +160,30 @@ def _passages(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                     if cell["row"] == key:
                         words = words if words is not None else text.split()
                         own = words[cell["start"] : cell["start"] + cell["count"] + width - 1]
-                        rows.append((cell["anchor"], doc_id, key, cell["start"], cell["large"], b" ".join(own)))
-            columns = list(zip(*rows)) or [()] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
+                        rows.append((cell["anchor"], cell["content"], doc_id, key, cell["start"], cell["large"], b" ".join(own)))
+            columns = list(zip(*rows)) or [()] * 7
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
     # A document's cells are as many as its length allows.
     per_doc = stored(
-        wanted.groupBy("doc_id").agg(F.collect_list(F.struct("row", "start", "count", "anchor", "large")).alias("cells")),
+        wanted.groupBy("doc_id").agg(F.collect_list(F.struct("row", "start", "count", "anchor", "content", "large")).alias("cells")),
         "wanted",
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).filter("text is not null")
-    return texts.join(if_small(per_doc), "doc_id").select("doc_id", "text", "cells").mapInArrow(cut, "anchor long, doc_id long, row int, start int, large boolean, text binary").distinct()
+    return texts.join(if_small(per_doc), "doc_id").select("doc_id", "text", "cells").mapInArrow(cut, "anchor long, content long, doc_id long, row int, start int, large boolean, text binary").distinct()
 
 
 def _matched(passages: DataFrame, width: int) -> DataFrame:
-    """(doc_id, row, low, high) spans of words that a smaller document of the shard contains."""
+    """Spans of words that a smaller document of the shard contains, with their cell: (anchor,
+    content, doc_id, row, start, low, high)."""
+    names = ["anchor", "content", "doc_id", "row", "start", "low", "high"]
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchor, automaton, waiting, last_doc = None, SuffixAutomaton(), [], None
         for batch in batches:
             rows = []
-            for own, doc_id, row, start, text in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc_id", "row", "start", "text"))):
+            for own, content, doc_id, row, start, text in zip(*(batch.column(c).to_pylist() for c in (*names[:5], "text"))):
                 if own != anchor:
                     anchor, automaton, waiting = own, SuffixAutomaton(), []
                 elif doc_id != last_doc:
@@ -189,36 +192,39 @@ def _matched(passages: DataFrame, width: int) -> DataFrame:
                     waiting = []
                 last_doc = doc_id
                 words = text.split()
-                rows += [(doc_id, row, start + low, start + high) for low, high in automaton.spans(words, width)]
+                rows += [(own, content, doc_id, row, start, start + low, start + high) for low, high in automaton.spans(words, width)]
                 waiting.append(words)
-            columns = list(zip(*rows)) or [()] * 4
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "row", "low", "high"])
+            columns = list(zip(*rows)) or [()] * len(names)
+            kinds = [pa.int64()] * 3 + [pa.int32()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
     parts = max(2, int(passages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = passages.filter("not large").repartition(parts, "anchor").sortWithinPartitions("anchor", "doc_id", "row", "start")
-    return ordered.mapInArrow(match, "doc_id long, row int, low int, high int")
+    return ordered.mapInArrow(match, "anchor long, content long, doc_id long, row int, start int, low int, high int")
 
 
 def _counted(passages: DataFrame, width: int) -> DataFrame:
     """The same spans for shards too large for one automaton, by the smallest id per window."""
+    names = ["window", "low", "anchor", "content", "doc_id", "row", "start"]
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = WordScanner()
         for batch in batches:
-            rows: list[list] = [[] for _ in range(4)]
-            for doc_id, row, start, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "start", "text"))):
+            rows: list[list] = [[], []]
+            at: list[np.ndarray] = []
+            for i, (start, text) in enumerate(zip(batch.column("start").to_pylist(), batch.column("text").to_pylist())):
                 windows = window_hashes(scanner.scan(text)[0], width)
                 n = len(windows)
-                for column, value in zip(rows, (windows.view(np.int64), np.full(n, doc_id, np.int64), np.full(n, row, np.int32), np.arange(start, start + n, dtype=np.int32))):
-                    column.append(value)
-            kinds = [np.int64, np.int64, np.int32, np.int32]
-            columns = [np.concatenate(c) if c else np.empty(0, k) for c, k in zip(rows, kinds)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["window", "doc_id", "row", "low"])
-
-    windows = passages.filter("large").mapInArrow(explode, "window long, doc_id long, row int, low int")
+                rows[0].append(windows.view(np.int64))
+                rows[1].append(np.arange(start, start + n, dtype=np.int32))
+                at.append(np.full(n, i, np.int64))
+            own = batch.select(names[2:]).take(pa.array(np.concatenate(at) if at else np.empty(0, np.int64)))
+            columns = [np.concatenate(c) if c else np.empty(0, k) for c, k in zip(rows, (np.int64, np.int32))]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), *own.columns], names)
+
+    windows = passages.filter("large").mapInArrow(explode, "window long, low int, anchor long, content long, doc_id long, row int, start int")
     first = windows.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("window", "first")
-    return windows.join(first, "window").filter("first < doc_id").select("doc_id", "row", "low", (F.col("low") + width).alias("high"))
+    return windows.join(first, "window").filter("first < doc_id").select("anchor", "content", "doc_id", "row", "start", "low", (F.col("low") + width).alias("high"))
 
 
 def find_spans(docs: DataFrame, width: int = WIDTH, run: int = RUN, held: int = HELD) -> DataFrame:
@@ -226,15 +232,22 @@ def find_spans(docs: DataFrame, width: int = WIDTH, run: int = RUN, held: int =
     bound_batches(docs.sparkSession)
     cells = stored(_cells(docs, width, min(run, width)), "cells")
     contents = stored(
-        cells.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "row", "start", "count")).alias("first"), F.max("doc_id").alias("last")),
+        cells.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "row", "start", "count")).alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("cells")),
         "contents",
     )
     several = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("passages"), F.min("first.doc_id").alias("low"), F.max("last").alias("high"))
     several = several.filter("passages > 1 and low < high").select("anchor", (F.col("passages") > held).alias("large"))
-    # All of the smallest document's cells of an open content: one document may have it twice.
-    wanted = contents.join(several, "anchor").select("anchor", "large", "first.doc_id", "first.row", "first.start", "first.count")
+    # One cell of each open content is matched; a content is named where it has other cells.
+    named = F.when(F.col("cells") > 1, F.col("content")).alias("content")
+    wanted = contents.join(several, "anchor").select("anchor", named, "large", "first.doc_id", "first.row", "first.start", "first.count")
     passages = stored(_passages(docs, wanted, width), "passages")
-    found = stored(_matched(passages, width).unionByName(_counted(passages, width)), "matched")
+    matched = stored(_matched(passages, width).unionByName(_counted(passages, width)), "matched")
+    # The smallest document may have the content in several places: all of them have these spans.
+    places = cells.select("anchor", "content", "doc_id", F.col("row").alias("to_row"), F.col("start").alias("to_start"))
+    carried = places.join(if_small(matched.filter("content is not null")), ["anchor", "content", "doc_id"]).filter("to_row <> row or to_start <> start")
+    shift = F.col("to_start") - F.col("start")
+    carried = carried.select("doc_id", F.col("to_row").alias("row"), (F.col("low") + shift).alias("low"), (F.col("high") + shift).alias("high"))
+    found = matched.select("doc_id", "row", "low", "high").unionByName(carried)
 
     shared = contents.filter("first.doc_id < last").select("anchor", "content", F.col("first.doc_id").alias("first"))
     copies = cells.join(shared, ["anchor", "content"]).filter("first < doc_id")

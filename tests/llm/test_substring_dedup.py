@@ -30,6 +30,27 @@ def test_words_removed_equal_those_found_window_by_window(make_docs, monkeypatch
     assert sorted((tuple(r) for r in found.collect()), key=str) == brute.without_repeats(rows())
 
 
+def repeated_inside(seed=8):
+    """Documents P X P of which smaller ones hold parts of P, some in two rows of one id."""
+    draw = random.Random(seed)
+    fresh = lambda n: ["u%d" % draw.randrange(10**9) for _ in range(n)]
+    out = []
+    for group in range(12):
+        passage, low, size = fresh(160), draw.randrange(40), draw.randrange(55, 110)
+        part = fresh(20) + passage[low : low + size] + fresh(20)
+        texts = [part, passage + fresh(7 * group) + passage, fresh(30) + passage + fresh(9) + passage + passage + fresh(5)]
+        ids = [group * 10, group * 10 + 3, group * 10 + draw.choice([3, 6])]
+        out += list(zip(ids, map(" ".join, texts)))
+    return out
+
+
+@pytest.mark.parametrize("held", [200, 1])
+def test_every_repeat_inside_the_smallest_document_is_cut(make_docs, monkeypatch, held):
+    monkeypatch.setattr(find_spans, "__defaults__", (50, 16, held))
+    found = remove_repeats(make_docs(repeated_inside()), carry=["doc_id"], with_text=False)
+    assert sorted((tuple(r) for r in found.collect()), key=str) == brute.without_repeats(repeated_inside())
+
+
 def test_text_that_is_left_keeps_its_spacing(make_docs):
     passage = " ".join("p%d" % i for i in range(60))
     docs = make_docs([(1, "one  " + passage), (2, "\tsome\n\n" + passage + "\n last  word "), (3, None)])
