@@ -349,20 +349,46 @@ def _close_enough(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
     return both.mapInArrow(run, "a long, b long, doc_a long, doc_b long")
 
 
+def _with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``wanted`` (with doc_id and node) and their text, once or more often.
+
+    By the id; nodes that have only rows without an id are found by their set.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    named = texts.join(if_small(wanted), "doc_id").select(*wanted.columns, "text")
+    nameless = wanted.filter("doc_id is null")
+    if nameless.limit(1).count() == 0:
+        return named
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner, met = WordScanner(), set()
+        for batch in batches:
+            rows = []
+            for text in batch.column("text").to_pylist():
+                own = document_set(scanner, text)
+                key = set_id(own) if len(own) else None
+                if key is not None and key not in met:
+                    met.add(key)
+                    rows.append((key, text))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["node", "text"])
+
+    by_set = texts.filter("doc_id is null").select("text").mapInArrow(run, "node long, text binary")
+    return named.unionByName(by_set.join(if_small(nameless), "node").select(*wanted.columns, "text"))
+
+
 def _verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link, by the exact similarity of their texts' sets.
 
     A member's text meets one copy of its leader's; a leader of many members is copied
     once per MEMBERS of them, so no group is larger.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     groups = pairs.groupBy("a", "doc_a").agg(F.count(F.lit(1)).alias("members"))
     splits = F.ceil(F.col("members") / MEMBERS).cast("int")
     leaders = groups.select("a", F.col("doc_a").alias("doc_id"), F.explode(F.sequence(F.lit(0), splits - 1)).alias("split"), F.col("a").alias("node"), F.lit(0).alias("kind"))
     sized = pairs.join(if_small(stored(groups.select("a", splits.alias("splits")), "leaders")), "a")
     members = sized.select("a", F.col("doc_b").alias("doc_id"), F.pmod(F.xxhash64("b"), F.col("splits")).cast("int").alias("split"), F.col("b").alias("node"), F.lit(1).alias("kind"))
     wanted = stored(leaders.unionByName(members), "wanted")
-    rows = texts.join(if_small(wanted), "doc_id").select("a", "split", "kind", "node", "text")
+    rows = _with_texts(docs, wanted).select("a", "split", "kind", "node", "text")
     parts = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = rows.repartition(parts, "a", "split").sortWithinPartitions("a", "split", "kind", "node")
 
@@ -416,8 +442,10 @@ def _prefixes(docs: DataFrame, wanted: DataFrame | None, moved: np.ndarray, perc
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["place", "node", "n", "prefix"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    texts = texts if wanted is None else texts.join(if_small(wanted), "doc_id").select("doc_id", "node", "text")
+    if chosen:
+        texts = _with_texts(docs, wanted).select("doc_id", "node", "text")
+    else:
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return texts.mapInArrow(run, "place long, node long, n long, prefix array<long>")
 
 

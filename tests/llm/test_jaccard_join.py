@@ -55,6 +55,18 @@ def test_null_ids_repeated_rows_and_empty_tables(make_docs):
     assert sorted((tuple(r)[0] for r in kept.collect()), key=str) == sorted([3, 8, None, None], key=str)
 
 
+@pytest.mark.parametrize("options", [{}, {"short_list": 2}])
+def test_null_ids_link_as_near_copies_and_as_bridges(make_docs, options):
+    words = ["n%d" % i for i in range(60)]
+    chain = [" ".join(words[i : i + 40]) for i in (0, 4, 8)]
+    other = " ".join("m%d" % i for i in range(30))
+    rows = [(None if i % 3 else i, t) for i, t in texts()]
+    rows += [(903, other), (None, other + " x"), (None, other + " y"), (911, chain[0]), (None, chain[1]), (912, chain[2])]
+    found = sorted((tuple(r) for r in link_documents(make_docs(rows), **options).collect()), key=str)
+    assert found == brute.components(rows)
+    assert (912, 36, 911) in found and found.count((None, 27, 903)) == 2
+
+
 def test_bitmaps_bound_the_symmetric_difference():
     draw = np.random.default_rng(1)
     for n, m in ((10, 12), (300, 500), (3000, 3100)):
