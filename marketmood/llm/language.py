@@ -16,13 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketmood.llm.common import added_schema, bound_batches, mix
+from marketmood.llm.common import added_schema, bound_batches, mix, stored
 
 # The model is fitted on about this many texts of each language, chosen by id hash.
 TEXTS_PER_LANGUAGE = 3_000
-# n-grams kept per language, the most frequent; languages, those with most texts.
+# n-grams kept per language, the most frequent.
 GRAMS_PER_LANGUAGE = 30_000
-LANGUAGES = 256
+# Languages whose n-grams are collected at a time.
+BLOCK_LANGUAGES = 256
 # A language contains an n-gram that is at least this common relative to where it is most common.
 RELATIVE = 0.25
 SIZES = (2, 3, 4)
@@ -118,20 +119,22 @@ class Filters:
 def fit(docs: DataFrame, where: Column, texts: int = TEXTS_PER_LANGUAGE) -> Filters:
     """Filters learnt from ``text`` and non-null ``lang`` of the rows where ``where`` holds.
 
-    n-grams are counted by Spark over about ``texts`` texts of each language; what is
-    collected is the model, at most LANGUAGES times GRAMS_PER_LANGUAGE n-grams.
+    n-grams are counted by Spark over about ``texts`` texts of each language. Every
+    language is learned: the table grows by a 64-bit word a slot per 64 languages, and
+    n-grams are collected for BLOCK_LANGUAGES languages at a time.
     """
     bound_batches(docs.sparkSession)
     rows = docs.filter(where & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    sizes = rows.groupBy("lang").count().orderBy("lang").collect()
     names = [r["lang"] for r in sizes]
     total = sum(r["count"] for r in sizes)
     letters = letter_table()
     if not names:
         return Filters([], np.empty(0), np.zeros((1, 1), np.uint64), letters)
-    share = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], min(1.0, texts / r["count"]))])
+    spark = docs.sparkSession
+    shares = spark.createDataFrame([(r["lang"], min(1.0, texts / r["count"])) for r in sizes], "lang string, share double")
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000.0
-    chosen = rows.filter(place < F.coalesce(share[F.col("lang")], F.lit(0.0)))
+    chosen = rows.join(F.broadcast(shares), "lang").filter(place < F.coalesce("share", F.lit(0.0))).select("lang", "text")
     schema = "lang string, gram long, n long"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,10 +152,13 @@ def fit(docs: DataFrame, where: Column, texts: int = TEXTS_PER_LANGUAGE) -> Filt
     counted = chosen.mapInArrow(count, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     kept = counted.filter("n >= 2").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= GRAMS_PER_LANGUAGE)
-    found = kept.select("lang", "gram", "n").toPandas()
-    found["rate"] = found["n"] / found.groupby("lang")["n"].transform("sum")
-    found = found[found["rate"] >= RELATIVE * found.groupby("gram")["rate"].transform("max")]
-    slots = 1 << max(10, int(SLOTS_PER_GRAM * max(found.groupby("lang").size().max() if len(found) else 1, 1)).bit_length())
+    kept = stored(kept.select("lang", "gram", "n"), "grams")
+    totals = kept.groupBy("lang").agg(F.sum("n").alias("total"))
+    rated = kept.join(F.broadcast(totals), "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("rate"))
+    most = rated.groupBy("gram").agg(F.max("rate").alias("most"))
+    found = stored(rated.join(most, "gram").filter(F.col("rate") >= RELATIVE * F.col("most")).select("lang", "gram"), "typical")
+    longest = found.groupBy("lang").count().agg(F.max("count")).first()[0] or 1
+    slots = 1 << max(10, int(SLOTS_PER_GRAM * longest).bit_length())
     order_of = sorted(names)
     counts = {r["lang"]: r["count"] for r in sizes}
     model = Filters(
@@ -161,8 +167,11 @@ def fit(docs: DataFrame, where: Column, texts: int = TEXTS_PER_LANGUAGE) -> Filt
         np.zeros((slots, -(-len(names) // 64)), np.uint64),
         letters,
     )
-    for lang, part in found.groupby("lang"):
-        model.add(order_of.index(lang), part["gram"].to_numpy(np.int64).view(np.uint64))
+    index = {n: i for i, n in enumerate(order_of)}
+    for at in range(0, len(order_of), BLOCK_LANGUAGES):
+        block = spark.createDataFrame([(n,) for n in order_of[at : at + BLOCK_LANGUAGES]], "lang string")
+        for lang, part in found.join(F.broadcast(block), "lang").toPandas().groupby("lang"):
+            model.add(index[lang], part["gram"].to_numpy(np.int64).view(np.uint64))
     return model
 
 

@@ -97,6 +97,17 @@ def test_language_filters(spark, make_docs):
     assert {r["lang_pred"] for r in language.identify(docs.limit(2), none).collect()} == {"und"}
 
 
+def test_every_language_is_learned(make_docs):
+    count, rows = 270, []
+    for i in range(3 * count):
+        letters = [chr(0x4E00 + 6 * (i % count) + j) for j in range(6)]
+        rows.append((i, " ".join("".join(letters[(j + k) % 6] for k in range(4)) for j in range(6)), "l%03d" % (i % count)))
+    docs = make_docs(rows)
+    model = language.fit(docs, F.col("doc_id") < 2 * count)
+    found = language.identify(docs.filter(F.col("doc_id") >= 2 * count), model).collect()
+    assert len(found) == count and all(r["lang_pred"] == r["lang"] for r in found)
+
+
 def test_language_filters_hold_what_was_added_and_few_others():
     model = language.Filters(["a", "b"], np.array([0.5, 0.5]), np.zeros((1 << 12, 1), np.uint64), language.letter_table())
     grams = np.random.default_rng(2).integers(0, 2**62, 600).astype(np.uint64)
