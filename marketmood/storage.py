@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from functools import reduce
+from pathlib import PurePosixPath
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,15 +22,15 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, from ``spark.checkpoint.dir``.
 
     Unset on a local master (tests, bench) one temporary folder per session stands in.
-    On any other master an unset folder, or one under the temporary folder of the
-    machine, is an error: it would be lost with its machine.
+    On any other master an unset folder, or one under a temporary folder of the
+    machine or the session's scratch space, is an error: it would be lost with its machine.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     local = context.master.startswith("local") and not context.master.startswith("local-cluster")
     if configured:
         path = urlparse(configured)
-        own = path.scheme in ("", "file") and path.path.startswith(f"{tempfile.gettempdir()}/")
+        own = path.scheme in ("", "file") and _on_one_machine(path.path, spark.conf.get("spark.local.dir", None))
         if own and not context.master.startswith("local"):
             raise ValueError(f"{configured} is on one machine; name a folder shared by the cluster")
         return configured
@@ -40,6 +41,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[context.applicationId]
 
 
+def _on_one_machine(path: str, scratch: str | None) -> bool:
+    """Whether a path lies under a folder that every machine has for itself."""
+    folders = {"/tmp", "/var/tmp", "/dev/shm", tempfile.gettempdir(), *(scratch or "").split(",")} - {""}
+    place = PurePosixPath(path)
+    return any(place.is_relative_to(folder) for folder in folders)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

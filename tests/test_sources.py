@@ -173,13 +173,14 @@ def test_metric_and_parameter_files(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "k")).count() == 2
 
 
-def test_a_cluster_needs_a_shared_folder(monkeypatch):
+@pytest.mark.parametrize("tmpdir", [None, "/scratch/own"])
+def test_a_cluster_needs_a_shared_folder(monkeypatch, tmpdir):
     class Conf:
         def __init__(self, path):
-            self.path = path
+            self.settings = {"spark.checkpoint.dir": path, "spark.local.dir": "/disk1/spark,/disk2/spark"}
 
-        def get(self, *_):
-            return self.path
+        def get(self, name, *_):
+            return self.settings.get(name)
 
     class Context:
         master, applicationId = "spark://host:7077", "x"
@@ -187,12 +188,15 @@ def test_a_cluster_needs_a_shared_folder(monkeypatch):
     class Session:
         sparkContext = Context
 
-    for path in (None, "/tmp/checkpoints", "file:///tmp/x"):
+    if tmpdir:
+        monkeypatch.setattr(storage.tempfile, "gettempdir", lambda: tmpdir)
+    for path in (None, "/tmp", "/tmp/checkpoints", "file:///tmp/x", "/var/tmp/x", "file:/dev/shm/x", "/disk2/spark/x", f"{tmpdir or '/tmp'}/x"):
         Session.conf = Conf(path)
         with pytest.raises(ValueError):
             storage.shared_dir(Session)
-    Session.conf = Conf("hdfs://shared/x")
-    assert storage.shared_dir(Session) == "hdfs://shared/x"
+    for path in ("hdfs://shared/x", "/mnt/shared/tmp", "/tmpfiles/x"):
+        Session.conf = Conf(path)
+        assert storage.shared_dir(Session) == path
 
 
 def test_written_table_and_size_check(spark):
