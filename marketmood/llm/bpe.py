@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from xxhash import xxh3_64_intdigest as digest
 
-from marketmood.llm.common import added_schema, bound_batches
+from marketmood.llm.common import added_schema, sliced
 
 # Pre-tokens remembered within a task; short ones only, so memory is bounded.
 REMEMBERED = 400_000
@@ -165,7 +165,6 @@ def encode_texts(
     replaced. A null text is encoded like an empty one: no tokens. Repeated rows and
     null ids are kept as they are.
     """
-    bound_batches(docs.sparkSession)
     added = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
     added |= {"ids": "array<int>"} if with_ids else {}
     added |= {"decoded": "string"} if with_text else {}
@@ -192,4 +191,4 @@ def encode_texts(
                 columns.append(pa.array(decoded, pa.string()))
             yield pa.RecordBatch.from_arrays(columns, [*carried, *added])
 
-    return source.mapInArrow(run, added_schema(docs, carried, added))
+    return source.mapInArrow(sliced(run), added_schema(docs, carried, added))

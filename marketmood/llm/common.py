@@ -21,9 +21,27 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches that go to Python workers by bytes, not by rows only."""
+    """Bound the Arrow batches that go to Python workers by bytes, not by rows only.
+
+    For the owner of a session (the queries, the pipeline); operators set nothing.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerOutputBatch", str(BATCH_BYTES))
+
+
+def sliced(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A ``mapInArrow`` function whose output comes in batches of about BATCH_BYTES at most.
+
+    The batch is cut here and not by Spark, whose limit for output batches fails a task
+    that yields a batch below the limit and later one above it.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            rows = max(1, batch.num_rows * BATCH_BYTES // max(1, batch.nbytes))
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows)
+
+    return cut
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -104,16 +122,6 @@ def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
         return mix(total)
 
 
-def shingle_set(words: list[bytes], width: int = SHINGLE_WORDS) -> np.ndarray:
-    """Sorted distinct hashes of the ``width``-word shingles.
-
-    With fewer words the whole sequence is one shingle; without words, none.
-    """
-    if not words:
-        return np.empty(0, np.uint64)
-    return np.unique(window_hashes(word_hashes(words), min(width, len(words))))
-
-
 def added_schema(df: DataFrame, carried: list[str], added: dict[str, str]) -> T.StructType:
     """The schema of the carried columns of ``df`` followed by the added ones."""
     fields = [df.schema[c] for c in carried]

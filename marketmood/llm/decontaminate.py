@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketmood.llm.common import SHINGLE_WORDS, bound_batches, window_hashes
+from marketmood.llm.common import SHINGLE_WORDS, sliced, window_hashes
 from marketmood.llm.wordscan import WordScanner
 
 PERCENT = 75
@@ -113,7 +113,6 @@ def find_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT, block_
     is in no document, an empty or null document holds none. Repeated document rows are
     reported each; equal item rows once. Other columns of either table are not read.
     """
-    bound_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     schema = "doc_id long, item_id long, n_item_shingles long, n_shared long, containment double"
     names = ["doc_id", "item_id", "n_item_shingles", "n_shared", "containment"]
@@ -131,7 +130,7 @@ def find_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT, block_
                 kinds = [pa.int64()] * 4 + [pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-        return source.mapInArrow(run, schema)
+        return source.mapInArrow(sliced(run), schema)
 
     found = [search(block) for block in blocks(items, block_bytes)]
     if not found:
@@ -141,7 +140,6 @@ def find_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT, block_
 
 def clean(docs: DataFrame, items: DataFrame, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs``, all columns, that contain no item; judged where they lie."""
-    bound_batches(docs.sparkSession)
     columns = docs.columns
     for block in blocks(items, block_bytes):
         index = ItemIndex([(r[0], bytes(r[1])) for r in block.orderBy("item_id", "text").collect()], percent)
@@ -152,5 +150,5 @@ def clean(docs: DataFrame, items: DataFrame, percent: int = PERCENT, block_bytes
                 texts = batch.column("text").cast(pa.binary()).to_pylist()
                 yield batch.filter(pa.array([not index.find(scanner, t) for t in texts], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(sliced(run), docs.schema)
     return docs.select(*columns)

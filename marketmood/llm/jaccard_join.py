@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from marketmood.llm.common import SHINGLE_WORDS, bound_batches, if_small, stored, window_hashes
+from marketmood.llm.common import SHINGLE_WORDS, if_small, sliced, stored, window_hashes
 from marketmood.llm.components import components
 from marketmood.llm.wordscan import WordScanner
 
@@ -143,7 +143,7 @@ def _signatures(docs: DataFrame, percent: int) -> DataFrame:
             yield batch_of(frequent(held))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(sliced(run), schema)
 
 
 def _boundary(signatures: DataFrame, percent: int) -> int:
@@ -193,7 +193,7 @@ def _keys(sets: DataFrame, boundary: int, percent: int) -> DataFrame:
             arrays = [pa.array(c) for c in columns[:4]] + [pa.array(columns[4], mask=columns[4] == columns[2])]
             yield pa.RecordBatch.from_arrays(arrays, ["key", "place", "node", "n", "label"])
 
-    return sets.select("place", "node", "n", "label", "prefix").mapInArrow(run, "key long, place long, node long, n long, label long")
+    return sets.select("place", "node", "n", "label", "prefix").mapInArrow(sliced(run), "key long, place long, node long, n long, label long")
 
 
 def _scan_lists(keys: DataFrame, boundary: int, limit: int | None, percent: int) -> DataFrame:
@@ -312,7 +312,7 @@ def _scan_lists(keys: DataFrame, boundary: int, limit: int | None, percent: int)
 
     parts = max(2, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = keys.repartition(parts, "key").sortWithinPartitions("key", "place", "node").drop("place")
-    return ordered.mapInArrow(run, "kind int, a long, b long, need int")
+    return ordered.mapInArrow(sliced(run), "kind int, a long, b long, need int")
 
 
 def _shared_enough(found: DataFrame) -> DataFrame:
@@ -346,7 +346,7 @@ def _close_enough(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
             fits = (100 + percent) * differ <= (100 - percent) * total
             yield batch.select(["a", "b", "doc_a", "doc_b"]).filter(pa.array(fits))
 
-    return both.mapInArrow(run, "a long, b long, doc_a long, doc_b long")
+    return both.mapInArrow(sliced(run), "a long, b long, doc_a long, doc_b long")
 
 
 def _with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -372,7 +372,7 @@ def _with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     rows.append((key, text))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["node", "text"])
 
-    by_set = texts.filter("doc_id is null").select("text").mapInArrow(run, "node long, text binary")
+    by_set = texts.filter("doc_id is null").select("text").mapInArrow(sliced(run), "node long, text binary")
     return named.unionByName(by_set.join(if_small(nameless), "node").select(*wanted.columns, "text"))
 
 
@@ -411,7 +411,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                         found.append((a, node))
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(sliced(run), "a long, b long").distinct()
 
 
 def _prefixes(docs: DataFrame, wanted: DataFrame | None, moved: np.ndarray, percent: int) -> DataFrame:
@@ -446,7 +446,7 @@ def _prefixes(docs: DataFrame, wanted: DataFrame | None, moved: np.ndarray, perc
         texts = _with_texts(docs, wanted).select("doc_id", "node", "text")
     else:
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return texts.mapInArrow(run, "place long, node long, n long, prefix array<long>")
+    return texts.mapInArrow(sliced(run), "place long, node long, n long, prefix array<long>")
 
 
 def _heaviest(lists: DataFrame) -> np.ndarray:
@@ -467,7 +467,6 @@ def link_documents(docs: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS
     that repeat an id with other texts are judged by their texts. Other columns are not
     read.
     """
-    bound_batches(docs.sparkSession)
     found = stored(_signatures(docs, percent), "sets")
     signatures = found.filter("count is null")
     nodes = stored(

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketmood.llm.common import added_schema, bound_batches, mix, stored
+from marketmood.llm.common import added_schema, mix, sliced, stored
 
 # The model is fitted on about this many texts of each language, chosen by id hash.
 TEXTS_PER_LANGUAGE = 3_000
@@ -123,7 +123,6 @@ def fit(docs: DataFrame, where: Column, texts: int = TEXTS_PER_LANGUAGE) -> Filt
     language is learned: the table grows by a 64-bit word a slot per 64 languages, and
     n-grams are collected for BLOCK_LANGUAGES languages at a time.
     """
-    bound_batches(docs.sparkSession)
     rows = docs.filter(where & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     sizes = rows.groupBy("lang").count().orderBy("lang").collect()
     names = [r["lang"] for r in sizes]
@@ -149,7 +148,7 @@ def fit(docs: DataFrame, where: Column, texts: int = TEXTS_PER_LANGUAGE) -> Filt
                     ["lang", "gram", "n"],
                 )
 
-    counted = chosen.mapInArrow(count, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = chosen.mapInArrow(sliced(count), schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     kept = counted.filter("n >= 2").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= GRAMS_PER_LANGUAGE)
     kept = stored(kept.select("lang", "gram", "n"), "grams")
@@ -183,7 +182,6 @@ def identify(docs: DataFrame, model: Filters, carry: list[str] | None = None) ->
     its share. Equal shares go to the name first in order. Columns of ``docs`` (or those
     in ``carry``) come first; equal names are replaced. Nothing is shuffled.
     """
-    bound_batches(docs.sparkSession)
     added = {"lang_pred": "string", "score": "double"}
     carried = [c for c in carry or docs.columns if c not in added]
     source = docs.select(*dict.fromkeys([*carried, "text"]))
@@ -195,4 +193,4 @@ def identify(docs: DataFrame, model: Filters, carry: list[str] | None = None) ->
             columns = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), *columns], [*carried, *added])
 
-    return source.mapInArrow(run, added_schema(docs, carried, added))
+    return source.mapInArrow(sliced(run), added_schema(docs, carried, added))

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketmood.llm.common import added_schema, bound_batches
+from marketmood.llm.common import added_schema, sliced
 
 # Long texts are compressed piece by piece, so that the dictionary counts throughout.
 PIECE_BYTES = 2048
@@ -94,7 +94,6 @@ def fit(docs: DataFrame, labels: DataFrame, where: Column, rows: int = LABELLED_
     PIECES_PER_LABEL pieces of text per label reach the driver. Null ids and labels do
     not count; without labels every text scores 0.5.
     """
-    bound_batches(docs.sparkSession)
     chosen = (
         labels.filter("doc_id is not null and quality is not null")
         .filter(where)
@@ -121,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, where: Column, rows: int = LABELLED_
 
     def samples(label: int) -> list[bytes]:
         rows = labelled.filter((half == 0) & (F.col("label") == label)).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        cuts = rows.mapInArrow(cut, "doc_id long, piece int, text binary").distinct()
+        cuts = rows.mapInArrow(sliced(cut), "doc_id long, piece int, text binary").distinct()
         found = cuts.orderBy(F.xxhash64("doc_id", "piece"), "doc_id", "piece", "text").limit(PIECES_PER_LABEL)
         return [bytes(r["text"]) for r in found.collect()]
 
@@ -153,7 +152,7 @@ def compare(docs: DataFrame, model: Classifier, carried: list[str]) -> DataFrame
             columns = [pa.array(found), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), *columns], [*carried, *added])
 
-    return source.mapInArrow(run, added_schema(docs, carried, added))
+    return source.mapInArrow(sliced(run), added_schema(docs, carried, added))
 
 
 def classify(docs: DataFrame, model: Classifier, carry: list[str] | None = None) -> DataFrame:
@@ -163,6 +162,5 @@ def classify(docs: DataFrame, model: Classifier, carry: list[str] | None = None)
     Columns of ``docs`` (or those in ``carry``) come first, those with an added name are
     replaced. One pass, nothing is shuffled; repeated rows and null ids stay.
     """
-    bound_batches(docs.sparkSession)
     carried = [c for c in carry or docs.columns if c not in ("difference", "score", "predicted")]
     return compare(docs, model, carried)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketmood.llm import trees
-from marketmood.llm.common import added_schema, bound_batches, by_batch, split_words, window_hashes, word_hashes
+from marketmood.llm.common import added_schema, by_batch, sliced, split_words, window_hashes, word_hashes
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -125,7 +125,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROW
     found = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
         .join(F.broadcast(chosen), "doc_id")
-        .mapInArrow(by_batch(work, schema), "doc_id long, label long, features array<double>")
+        .mapInArrow(sliced(by_batch(work, schema)), "doc_id long, label long, features array<double>")
         .groupBy("doc_id")
         .agg(F.min(F.struct("label", "features")).alias("row"))
         .orderBy("doc_id")
@@ -158,7 +158,6 @@ def score_quality(
     or empty text has no words and fails the base rules; repeated rows and null ids
     are judged like any other row. One pass over the rows, nothing is shuffled.
     """
-    bound_batches(docs.sparkSession)
     carried = [c for c in carry or docs.columns if c not in ADDED]
     source = docs.select(*dict.fromkeys([*carried, "text"]))
 
@@ -173,4 +172,4 @@ def score_quality(
             columns += [pa.array(failed), pa.array(~failed & (score >= keep_from)), pa.array(score)]
             yield pa.RecordBatch.from_arrays(columns, [*carried, *ADDED])
 
-    return source.mapInArrow(run, added_schema(docs, carried, ADDED))
+    return source.mapInArrow(sliced(run), added_schema(docs, carried, ADDED))

@@ -17,10 +17,12 @@ from marketmood.llm import (
     substring_dedup,
     url_rules,
 )
-from marketmood.llm.common import fold
+from marketmood.llm.common import bound_batches, fold
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table; the session is set to batches bounded by bytes."""
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

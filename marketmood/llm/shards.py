@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketmood.llm.common import bound_batches, stored
+from marketmood.llm.common import sliced, stored
 
 SHARDS = 8
 # A cut inside a run of equal texts moves to the run's nearer end if that costs at most
@@ -49,7 +49,6 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLE
     read. A text of any number of copies is divided among ranges by id.
     """
     spark = docs.sparkSession
-    bound_batches(spark)
     ranges = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     text = F.col("text")
     rows = docs.select(
@@ -61,7 +60,7 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLE
     order = ["digest", "doc_id", "size"]
     ordered = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
     placed = stored(
-        ordered.mapInArrow(_running, "doc_id long, size long, text_crc32 long, digest binary, part long, before long, place long"),
+        ordered.mapInArrow(sliced(_running), "doc_id long, size long, text_crc32 long, digest binary, part long, before long, place long"),
         "placed",
     )
     totals = placed.groupBy("part").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).orderBy("part").collect()

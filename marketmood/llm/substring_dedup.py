@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh32_intdigest
 
-from marketmood.llm.common import added_schema, bound_batches, if_small, stored, window_hashes
+from marketmood.llm.common import added_schema, if_small, sliced, stored, window_hashes
 from marketmood.llm.wordscan import WordScanner
 
 WIDTH = 50
@@ -144,7 +144,7 @@ def _cells(docs: DataFrame, width: int, run: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
     rows = docs.filter("doc_id is not null and text is not null")
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(cut, schema)
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(sliced(cut), schema)
 
 
 def _passages(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -171,7 +171,7 @@ def _passages(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         "wanted",
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).filter("text is not null")
-    return texts.join(if_small(per_doc), "doc_id").select("doc_id", "text", "cells").mapInArrow(cut, "anchor long, content long, doc_id long, row int, start int, large boolean, text binary").distinct()
+    return texts.join(if_small(per_doc), "doc_id").select("doc_id", "text", "cells").mapInArrow(sliced(cut), "anchor long, content long, doc_id long, row int, start int, large boolean, text binary").distinct()
 
 
 def _matched(passages: DataFrame, width: int) -> DataFrame:
@@ -200,7 +200,7 @@ def _matched(passages: DataFrame, width: int) -> DataFrame:
 
     parts = max(2, int(passages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = passages.filter("not large").repartition(parts, "anchor").sortWithinPartitions("anchor", "doc_id", "row", "start")
-    return ordered.mapInArrow(match, "anchor long, content long, doc_id long, row int, start int, low int, high int")
+    return ordered.mapInArrow(sliced(match), "anchor long, content long, doc_id long, row int, start int, low int, high int")
 
 
 def _counted(passages: DataFrame, width: int) -> DataFrame:
@@ -222,14 +222,13 @@ def _counted(passages: DataFrame, width: int) -> DataFrame:
             columns = [np.concatenate(c) if c else np.empty(0, k) for c, k in zip(rows, (np.int64, np.int32))]
             yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), *own.columns], names)
 
-    windows = passages.filter("large").mapInArrow(explode, "window long, low int, anchor long, content long, doc_id long, row int, start int")
+    windows = passages.filter("large").mapInArrow(sliced(explode), "window long, low int, anchor long, content long, doc_id long, row int, start int")
     first = windows.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("window", "first")
     return windows.join(first, "window").filter("first < doc_id").select("anchor", "content", "doc_id", "row", "start", "low", (F.col("low") + width).alias("high"))
 
 
 def find_spans(docs: DataFrame, width: int = WIDTH, run: int = RUN, held: int = HELD) -> DataFrame:
     """(doc_id, spans) with spans array<struct<row, low, high>> of words to remove, disjoint and sorted."""
-    bound_batches(docs.sparkSession)
     cells = stored(_cells(docs, width, min(run, width)), "cells")
     contents = stored(
         cells.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "row", "start", "count")).alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("cells")),
@@ -261,7 +260,7 @@ def find_spans(docs: DataFrame, width: int = WIDTH, run: int = RUN, held: int =
             merged = [merged_spans(spans) for spans in batch.column("spans").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(merged, kinds)], ["doc_id", "spans"])
 
-    return listed.mapInArrow(merge, "doc_id long, spans array<struct<row: int, low: int, high: int>>")
+    return listed.mapInArrow(sliced(merge), "doc_id long, spans array<struct<row: int, low: int, high: int>>")
 
 
 def merged_spans(spans: list[dict]) -> list[dict]:
@@ -328,4 +327,4 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None, width: int =
                 own.append(pa.array(texts, pa.binary()).cast(column.type) if name == "text" and with_text else column)
             yield pa.RecordBatch.from_arrays([*own, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], [*carried, *added])
 
-    return joined.mapInArrow(cut, added_schema(docs, carried, added))
+    return joined.mapInArrow(sliced(cut), added_schema(docs, carried, added))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketmood.llm.common import bound_batches
+from marketmood.llm.common import sliced
 
 DEFAULT_VERDICT = "allow"
 # Sampled keys per range: they decide where ranges end, never which rows are read.
@@ -112,7 +112,6 @@ def judge_pages(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDI
     one host, so the repeats are few.
     """
     spark = pages.sparkSession
-    bound_batches(spark)
     ranges = ranges or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "url")
     salt = F.xxhash64("page_id", "url")
@@ -179,4 +178,4 @@ def judge_pages(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDI
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds)], ["page_id", "host", "path", "rule", "verdict"])
 
     schema = "page_id long, host string, path string, rule string, verdict string"
-    return parts.select("page_id", "host", "path", "key", "kind", "verdict").mapInArrow(sweep, schema)
+    return parts.select("page_id", "host", "path", "key", "kind", "verdict").mapInArrow(sliced(sweep), schema)
