@@ -123,10 +123,36 @@ FROM b
 """
 
 
+# crc32 of the decimal id: a table of 256 remainders, then byte by byte.
+_BYTE_CRC = "list_reduce(list_concat([CAST(x AS BIGINT)], CAST(range(8) AS BIGINT[])), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)"
+TRIE = f"""
+WITH k AS (SELECT list_transform(range(256), lambda x: {_BYTE_CRC}) AS t),
+o AS (SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS w
+      FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+h AS (SELECT conv_id, w, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)],
+             list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+             lambda a, b: xor(t[(xor(a, b) % 256) + 1], a // 256)), 4294967295) % 9 AS h FROM o, k),
+c AS (SELECT h.conv_id, list_concat(coalesce(b.w, [])[1:h.h], h.w[h.h + 1:]) AS w
+      FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 5),
+p AS (SELECT conv_id, len(w) AS n, unnest(range(len(w) + 1)) AS d, w FROM c),
+n AS (SELECT w[1:d] AS w, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+             coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '') AS ends
+      FROM p GROUP BY 1, 2),
+m AS (SELECT a.*, count(b.d) AS n_children FROM n a LEFT JOIN n b ON b.d = a.d + 1 AND b.w[1:a.d] = a.w GROUP BY ALL),
+s AS (SELECT w[1:e] AS w, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves,
+             sum(CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * strlen(w[d].t) END) AS saved_tokens
+      FROM (SELECT *, unnest(range(d + 1)) AS e FROM m) GROUP BY 1)
+SELECT m.conv_id, m.d AS depth, q.conv_id AS parent_conv_id, m.n_convs, m.n_children,
+       CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, sha256(m.ends) AS ends_sha256
+FROM m JOIN s ON s.w = m.w LEFT JOIN m q ON m.d > 0 AND q.d = m.d - 1 AND q.w = m.w[1:m.d - 1]
+"""
+
+
 ORACLES = {
     "op1_jaccard_join": JACCARD,
     "op4_url_rules": URLS,
     "op6_decontamination": CONTAINED,
     "op8_licenses": _licenses(),
     "op9_substring_dedup": REPEATS,
+    "op11_prefix_trie": TRIE,
 }

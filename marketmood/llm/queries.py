@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marketmood.llm import (
     bpe,
+    conversation_trie,
     decontaminate,
     jaccard_join,
     language,
@@ -85,4 +86,23 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-REGISTRY = {f.__name__: f for f in (op1_jaccard_join, op2_quality_rules, op3_quality_classifier, op4_url_rules, op5_sharding, op6_decontamination, op7_byte_bpe, op8_licenses, op9_substring_dedup, op10_language)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+REGISTRY = {
+    f.__name__: f
+    for f in (
+        op1_jaccard_join,
+        op2_quality_rules,
+        op3_quality_classifier,
+        op4_url_rules,
+        op5_sharding,
+        op6_decontamination,
+        op7_byte_bpe,
+        op8_licenses,
+        op9_substring_dedup,
+        op10_language,
+        op11_prefix_trie,
+    )
+}

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import zlib
 
 BREAKS = re.compile(rb"[\x20\x09-\x0D]+")
 
@@ -122,3 +124,29 @@ def license_base(text, phrases):
     starts = [i for i, _ in places]
     labels = ",".join(sorted({label for _, label in places}))
     return len(own), len(places), min(starts, default=None), max(starts, default=None), labels
+
+
+def prefix_trie(rows):
+    """The trie of the rebuilt conversations, from (conv_id, turn, role, text) rows without equal turns."""
+    own = {}
+    for conv, turn, role, text in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], r[1] is not None, r[1] or 0)):
+        own.setdefault(conv, []).append((role or "", text or ""))
+    nodes = {}
+    for conv in own:
+        h = zlib.crc32(str(conv).encode()) % 9
+        whole = tuple(own.get(conv - math.fmod(conv, 5), [])[:h] + own[conv][h:])
+        for d in range(len(whole) + 1):
+            nodes.setdefault(whole[:d], []).append((conv, len(whole)))
+    below = {}
+    for path in nodes:
+        for d in range(len(path) + 1):
+            below.setdefault(path[:d], []).append(path)
+    out = []
+    for path, members in nodes.items():
+        children = [p for p in below[path] if len(p) == len(path) + 1]
+        leaves = sum(all(len(q) <= len(p) for q in below[p]) for p in below[path])
+        saved = sum((len(nodes[p]) - 1) * len(p[-1][1].encode()) for p in below[path] if p)
+        ends = ",".join(map(str, sorted(c for c, n in members if n == len(path))))
+        parent = min(nodes[path[:-1]])[0] if path else None
+        out.append((min(members)[0], len(path), parent, len(members), len(children), leaves, saved, hashlib.sha256(ends.encode()).hexdigest()))
+    return out
