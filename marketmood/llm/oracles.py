@@ -147,6 +147,15 @@ SELECT m.conv_id, m.d AS depth, q.conv_id AS parent_conv_id, m.n_convs, m.n_chil
 FROM m JOIN s ON s.w = m.w LEFT JOIN m q ON m.d > 0 AND q.d = m.d - 1 AND q.w = m.w[1:m.d - 1]
 """
 
+NEIGHBOURS = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 10
+"""
+
 
 ORACLES = {
     "op1_jaccard_join": JACCARD,
@@ -155,4 +164,5 @@ ORACLES = {
     "op8_licenses": _licenses(),
     "op9_substring_dedup": REPEATS,
     "op11_prefix_trie": TRIE,
+    "op12_vector_topk": NEIGHBOURS,
 }

@@ -17,6 +17,7 @@ from marketmood.llm import (
     shards,
     substring_dedup,
     url_rules,
+    vector_search,
 )
 from marketmood.llm.common import bound_batches, fold
 
@@ -90,6 +91,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.conversation_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
 REGISTRY = {
     f.__name__: f
     for f in (
@@ -104,5 +109,6 @@ REGISTRY = {
         op9_substring_dedup,
         op10_language,
         op11_prefix_trie,
+        op12_vector_topk,
     )
 }
