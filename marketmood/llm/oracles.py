@@ -156,6 +156,20 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM s QUALIFY rank <= 10
 """
 
+_TERM_BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+RANKED = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_words(_lower("text"), _TERM_BREAKS)} AS w FROM documents),
+t AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(w) AS term FROM d) GROUP BY 1, 2),
+c AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_words FROM d WHERE len(w) > 0),
+g AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM t, c GROUP BY term, n_docs),
+m AS (SELECT row, doc_id, 100 - 25 + (25 * len(w) * n_docs) // n_words AS m FROM d, c),
+i AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_words(_lower("text"), _TERM_BREAKS)}) AS term FROM benchmark) GROUP BY 1, 2),
+s AS (SELECT item_id, row, doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+      FROM i JOIN g USING (term) JOIN t USING (term) JOIN m USING (row) GROUP BY 1, 2, 3)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 20
+"""
+
 
 ORACLES = {
     "op1_jaccard_join": JACCARD,
@@ -165,4 +179,5 @@ ORACLES = {
     "op9_substring_dedup": REPEATS,
     "op11_prefix_trie": TRIE,
     "op12_vector_topk": NEIGHBOURS,
+    "op13_ranked_search": RANKED,
 }

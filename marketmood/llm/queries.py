@@ -11,6 +11,7 @@ from marketmood.llm import (
     decontaminate,
     jaccard_join,
     language,
+    lexical_search,
     licenses,
     quality_classifier,
     quality_rules,
@@ -95,6 +96,10 @@ def op12_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 REGISTRY = {
     f.__name__: f
     for f in (
@@ -110,5 +115,6 @@ REGISTRY = {
         op10_language,
         op11_prefix_trie,
         op12_vector_topk,
+        op13_ranked_search,
     )
 }
