@@ -345,6 +345,28 @@ VIEWS |= {
     "window_errors": """
         SELECT power(target - (last + mean + first) / 3, 2) AS e,
                (row_number() OVER (ORDER BY ticker, start_date) - 1) // 32 AS batch FROM window_closes""",
+    "companies": f"""
+        SELECT (['click', 'error', 'purchase', 'signup', 'view'])[CAST(item_id % 5 + 1 AS INTEGER)] AS ticker,
+               min(regexp_extract(lower(text), {_WORDS})) || ' ' || max(regexp_extract(lower(text), {_WORDS})) AS company
+        FROM benchmark GROUP BY 1""",
+    "phrase": f"""
+        SELECT DISTINCT ticker, unnest(regexp_extract_all(lower(ticker || ' ' || coalesce(company, ticker)), {_WORDS})) AS token
+        FROM (SELECT DISTINCT ticker FROM news) LEFT JOIN companies USING (ticker)""",
+    "article_words": f"""
+        SELECT news_id, ticker, regexp_extract_all(lower(concat_ws(' ', title, description)), {_WORDS}) AS w FROM news""",
+    "article_counts": """
+        SELECT news_id, ticker, len(w) AS length, token, count(*) AS n
+        FROM (SELECT *, unnest(w) AS token FROM article_words) GROUP BY ALL""",
+    "article_df": """
+        SELECT token, CAST(floor(1000000 * ln(1 + (CAST((SELECT count(*) FROM news) AS DOUBLE) - count(*)
+               + CAST(0.5 AS DOUBLE)) / (count(*) + CAST(0.5 AS DOUBLE)))) AS BIGINT) AS weight
+        FROM article_counts GROUP BY 1""",
+    "relevance": """
+        SELECT c.ticker, c.news_id, CAST(sum(weight * CAST(floor(CAST(2200000 AS DOUBLE) * n / (n + CAST(1.2 AS DOUBLE)
+               * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * length
+                  / (SELECT CAST(sum(len(w)) AS DOUBLE) / count(*) FROM article_words)))) AS BIGINT)) AS BIGINT) AS score
+        FROM article_counts c JOIN phrase p ON c.ticker = p.ticker AND c.token = p.token
+        JOIN article_df f ON f.token = c.token GROUP BY 1, 2""",
     "landed": """
         SELECT news_id, date, printf('%04d', news_id % 150) AS ticker FROM news""",
     "padded": """
@@ -390,10 +412,10 @@ BODIES = {
     "news_missing_keys": """
         SELECT ticker, date, source FROM stock, (VALUES ('newsapi'), ('tickertick')) v(source)
         EXCEPT SELECT ticker, date, source FROM news""",
-    "news_top_per_ticker": """
-        SELECT ticker, CAST(rank AS INTEGER) AS rank, news_id, score FROM (
-            SELECT ticker, news_id, score, row_number() OVER (
-                PARTITION BY ticker ORDER BY score DESC, news_id) AS rank FROM news) WHERE rank <= 100""",
+    "news_top_per_ticker": f"""
+        SELECT ticker, CAST(rank AS INTEGER) AS rank, news_id, {_r('CAST(score AS DOUBLE) / 1e6 / 1e6')} AS score FROM (
+            SELECT ticker, news_id, score, row_number() OVER (PARTITION BY ticker ORDER BY score DESC, news_id) AS rank
+            FROM relevance WHERE score > 0) WHERE rank <= 100""",
     "company_lookup": """
         SELECT ticker, company, ticker || ' OR ' || company AS search_phrase, lower(ticker) AS feed_ticker
         FROM (SELECT s_name AS ticker, CASE WHEN s_acctbal > 0 THEN n_name ELSE s_name END AS company

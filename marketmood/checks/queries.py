@@ -29,6 +29,7 @@ from marketmood.operators import (
     news_text,
     prices,
     quality,
+    relevance,
     sequences,
     split,
 )
@@ -229,9 +230,10 @@ def news_missing_keys(spark, d):
 
 @query
 def news_top_per_ticker(spark, d):
-    return news_source.top_per_ticker(t.news(spark, d), "score").select(
-        "ticker", "rank", "news_id", "score"
-    )
+    """The articles most relevant to "ticker OR company", from an index in impact blocks."""
+    names = news_source.company_lookup(t.news(spark, d).select("ticker").distinct(), t.companies(spark, d))
+    articles = t.news(spark, d).withColumn("text", F.concat_ws(" ", "title", "description"))
+    return rounded(relevance.most_relevant(articles, names, "text"))
 
 
 @query

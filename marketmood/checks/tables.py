@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketmood.functions.text import vector_words
+from marketmood.functions.text import VECTOR_WORD, vector_words
 
 TICKERS = ("click", "error", "purchase", "signup", "view")
 EMBEDDING_DIM = 64
@@ -78,6 +78,17 @@ def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ticker, company): each ticker's name is two words of ``benchmark`` items."""
+    first = F.regexp_extract(F.lower("text"), VECTOR_WORD, 0)
+    place = F.pmod("item_id", F.lit(len(TICKERS))).cast("int")
+    return (
+        table(spark, sf_dir, "benchmark")
+        .groupBy(F.get(F.array(*[F.lit(t) for t in TICKERS]), place).alias("ticker"))
+        .agg(F.concat_ws(" ", F.min(first), F.max(first)).alias("company"))
+    )
+
+
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("news_id"), "embedding"
