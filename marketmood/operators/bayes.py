@@ -65,30 +65,47 @@ def _log_weights(counts: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return counts.select("token", *keep, *[weight(l) for l in LABELS])
 
 
+def count_words(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(token, bullish, neutral, bearish) of (text, label) rows: how often a word has a label.
+
+    The empty word counts the texts. With ``known`` (token, written) words outside it are
+    dropped before the shuffle. Counts of two corpora add up to those of both, so they
+    are what a fitted model keeps; weights follow from them.
+    """
+    words = docs.select("label", F.explode(_with_prior(vector_words(F.col("text")))).alias("token"))
+    if known is not None:
+        words = in_pieces(words, known.select("token"), "token", "left_semi")
+    return _label_counts(words)
+
+
+def continue_counts(counts: DataFrame, docs: DataFrame) -> DataFrame:
+    """``counts`` (written) with a further corpus added; the vocabulary stays that of ``counts``."""
+    more = count_words(docs, counts).withColumnsRenamed({l: f"more_{l}" for l in LABELS})
+    return counts.join(more, "token", "left").select(
+        "token", *[(F.col(l) + F.coalesce(f"more_{l}", F.lit(0))).alias(l) for l in LABELS]
+    )
+
+
+def log_weights(counts: DataFrame) -> DataFrame:
+    """(token, w_bullish, w_neutral, w_bearish) of written counts."""
+    return _log_weights(counts)
+
+
 def fit(specific: DataFrame, general: DataFrame | None = None) -> DataFrame:
     """Fit on (text, label) rows; returns (token, w_bullish, w_neutral, w_bearish).
 
     The vocabulary is that of the general corpus if there is one; its counts and
-    those of the specific corpus add up. Words of the specific corpus outside the
-    vocabulary are dropped before the shuffle.
+    those of the specific corpus add up.
     """
+    return log_weights(fit_counts(specific, general))
 
-    def tokens(docs: DataFrame) -> DataFrame:
-        return docs.select(
-            "label", F.explode(_with_prior(vector_words(F.col("text")))).alias("token")
-        )
 
+def fit_counts(specific: DataFrame, general: DataFrame | None = None) -> DataFrame:
+    """The written counts that ``fit`` weighs."""
     if general is None:
-        counts = written(_label_counts(tokens(specific)), "nb-counts")
-        return _log_weights(counts)
-    base = written(_label_counts(tokens(general)), "nb-general")
-    known = in_pieces(tokens(specific), base.select("token"), "token", "left_semi")
-    more = _label_counts(known).withColumnsRenamed({l: f"more_{l}" for l in LABELS})
-    counts = base.join(more, "token", "left").select(
-        "token",
-        *[(F.col(l) + F.coalesce(f"more_{l}", F.lit(0))).alias(l) for l in LABELS],
-    )
-    return _log_weights(written(counts, "nb-counts"))
+        return written(count_words(specific), "nb-counts")
+    base = written(count_words(general), "nb-general")
+    return written(continue_counts(base, specific), "nb-counts")
 
 
 def joint_scores(docs: DataFrame, weights: DataFrame, keep: list[str], text: str) -> DataFrame:
