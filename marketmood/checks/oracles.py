@@ -494,7 +494,16 @@ BODIES = {
             SELECT date, ticker, sentiment, row_number() OVER (
                 PARTITION BY date, ticker ORDER BY count(*) DESC, sentiment) AS rn
             FROM polar_label GROUP BY 1, 2, 3) WHERE rn = 1""",
-    "daily_text_concat": "SELECT date, ticker, news_id, cleaned_text FROM cleaned",
+    "daily_text_concat": """
+        SELECT date, ticker, news_id, position, start, substr(joined, start + 1, size) AS cleaned_text FROM (
+            SELECT date, ticker, unnest(ids) AS news_id, CAST(generate_subscripts(ids, 1) - 1 AS BIGINT) AS position,
+                   CAST(unnest(starts) AS BIGINT) AS start, joined, unnest(sizes) AS size FROM (
+                SELECT date, ticker, list(news_id ORDER BY news_id) AS ids,
+                       string_agg(cleaned_text, ' ' ORDER BY news_id) AS joined,
+                       list(length(cleaned_text) ORDER BY news_id) AS sizes,
+                       list_transform(range(1, count(*) + 1), lambda i: coalesce(list_sum(
+                           list_transform(list(length(cleaned_text) ORDER BY news_id)[1:i - 1], lambda x: x + 1)), 0)) AS starts
+                FROM cleaned GROUP BY 1, 2))""",
     "aggregate_daily": f"""
         SELECT m.date, m.ticker, s.sentiment, z.n_articles, z.text_length, CAST(m.pos AS INTEGER) AS pos, {_r('m.x')} AS x
         FROM mean_rows m JOIN aligned_mode s ON m.date = s.date AND m.ticker = s.ticker
@@ -516,12 +525,9 @@ BODIES = {
                    CASE WHEN count(*) < 2 OR stddev_samp(ret) = 0 THEN 0
                         ELSE avg(ret) / stddev_samp(ret) * sqrt(252) END AS sharpe_ratio
             FROM holding_ret GROUP BY 1)""",
-    "learned_predict": """
-        SELECT news_id, sentiment, true AS sums_to_one, true AS prediction_is_best
-        FROM nb_shares WHERE is_test""",
-    "forecast_ensemble_mse": """
-        SELECT count(*) AS n, true AS mse_is_finite FROM window_closes
-        WHERE substr(md5(ticker || '|' || CAST(start_date AS VARCHAR)), 1, 8) < '33333333'""",
+    "learned_invariants": """
+        SELECT sentiment, count(*) AS n, count(*) AS n_summing_to_one, count(*) AS n_best
+        FROM aligned_split WHERE is_test GROUP BY 1""",
     "forecast_fixed_members": f"""
         SELECT (SELECT count(*) FROM window_errors) AS n, {_r('(SELECT avg(e) FROM window_errors)', 4)} AS plain_mse,
                {_r('(SELECT avg(m) FROM (SELECT avg(e) AS m FROM window_errors GROUP BY batch))', 4)} AS mse""",
@@ -540,6 +546,8 @@ BODIES = {
 }
 
 BODIES["training_frame"] = BODIES["build_features"]
+BODIES["nb_continued"] = BODIES["nb_fit"]
+BODIES["aggregate_daily_merged"] = BODIES["aggregate_daily"]
 
 
 def _mentioned(sql: str) -> set[str]:

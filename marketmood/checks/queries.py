@@ -32,7 +32,9 @@ from marketmood.operators import (
     relevance,
     sequences,
     split,
+    staged,
 )
+from marketmood.plans import models
 from marketmood.sources import news as news_source
 from marketmood.sources import prices as price_source
 from marketmood.sources.schemas import ARTICLES, STORIES
@@ -344,6 +346,19 @@ def nb_fit(spark, d):
     return rounded(bayes.fit(_specific(_aligned(spark, d)), _general(spark, d)))
 
 
+@query
+def nb_continued(spark, d):
+    """A model of the general corpus, saved, loaded and continued with the articles in two
+    parts: the same weights as one fit."""
+    rows = storage.written(_aligned(spark, d), "aligned")
+    model = models.BayesModel().start(_general(spark, d))
+    for part in (0, 1):
+        path = storage.new_path(spark, "bayes")
+        model.save(path)
+        model = models.BayesModel().load(spark, path).train_more(rows.filter(F.pmod("news_id", F.lit(2)) == part))
+    return rounded(model.weights)
+
+
 @query
 def nb_predict(spark, d):
     return _bayes_predictions(spark, d).select("news_id", "sentiment", "is_test", "prediction")
@@ -420,23 +435,54 @@ def blend_grid_search(spark, d):
     return rounded(blend.blend_best(blend.blend_grid(members, "sentiment")))
 
 
+# Places of hashed words, and rounds of each stage's descent.
+HASHED, ROUNDS = 1 << 14, 8
+
+
+def _regression(rows: DataFrame, general: DataFrame) -> tuple[staged.Regression, staged.Regression]:
+    """The model of the general corpus, and what the specific training rows make of it."""
+    first = staged.fit(general, None, HASHED, ROUNDS)
+    return first, staged.fit(_specific(rows.filter("NOT is_test")), first, HASHED, ROUNDS)
+
+
+def _learned(spark: SparkSession, d: str) -> DataFrame:
+    rows = _split(spark, d)
+    _, model = _regression(rows, _general(spark, d))
+    return staged.predict(rows.filter("is_test"), model, ["news_id", "sentiment"], "cleaned_text")
+
+
 @query
 def learned_predict(spark, d):
-    rows = _split(spark, d)
-    model = learned.fit(_specific(rows.filter("NOT is_test")), _general(spark, d))
-    said = learned.predict(
-        rows.filter("is_test"), model, ["news_id", "sentiment"], "cleaned_text"
-    )
+    """Probabilities and prediction of a fitted model: no SQL form, see the invariants."""
+    return _learned(spark, d)
+
+
+@query
+def learned_invariants(spark, d):
+    """Per label how many articles there are, how many have shares that sum to one, and how
+    many have the label of the highest share."""
     best = F.greatest(*LABELS)
     chosen = F.coalesce(*[F.when(F.col("prediction") == l, F.col(l)) for l in LABELS])
-    return said.select(
-        "news_id",
-        "sentiment",
-        (F.abs(sum((F.col(l) for l in LABELS), F.lit(0.0)) - 1) < 1e-9).alias("sums_to_one"),
-        (chosen == best).alias("prediction_is_best"),
+    return _learned(spark, d).groupBy("sentiment").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.abs(sum((F.col(l) for l in LABELS), F.lit(0.0)) - 1) < 1e-9).alias("n_summing_to_one"),
+        F.count_if(chosen == best).alias("n_best"),
     )
 
 
+@query
+def learned_stages(spark, d):
+    """Log likelihood of held-out specific rows after the general stage and after both."""
+    rows = _split(spark, d)
+    parts = [
+        staged.log_likelihood(staged.predict(rows.filter("is_test"), model, ["news_id", "sentiment"], "cleaned_text"), "sentiment").select(
+            F.lit(name).alias("stage"), "n", "log_likelihood"
+        )
+        for name, model in zip(("general", "specific"), _regression(rows, _general(spark, d)))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 # Evaluation.
 
 
@@ -475,7 +521,7 @@ def daily_modal_sentiment(spark, d):
 
 @query
 def daily_text_concat(spark, d):
-    return daily.daily_text(_processed(spark, d))
+    return daily.daily_text(storage.written(_processed(spark, d), "processed"))
 
 
 @query
@@ -488,6 +534,22 @@ def aggregate_daily(spark, d):
     )
 
 
+@query
+def aggregate_daily_merged(spark, d):
+    """The same days from two landings, each stored as partial days."""
+    articles = storage.written(_articles(spark, d).join(t.news(spark, d).select("news_id", "source"), "news_id"), "articles")
+    landings = [
+        storage.written(daily.partial_days(articles.filter(F.col("source") == source)), "partial-days")
+        for source in news_source.SOURCES
+    ]
+    rows = daily.finish_days(daily.merge_days(*landings))
+    return rounded(
+        rows.select(
+            "date", "ticker", "sentiment", "n_articles", "text_length", F.posexplode("embedding").alias("pos", "x")
+        )
+    )
+
+
 def _sequences(spark: SparkSession, d: str) -> DataFrame:
     days = daily.aggregate_daily(_articles(spark, d))
     rows = storage.written(
@@ -510,14 +572,18 @@ def sequence_windows(spark, d):
 
 @query
 def forecast_ensemble_mse(spark, d):
-    rows = storage.written(
-        split.hash_split(_sequences(spark, d), ["ticker", "start_date"]), "sequences"
-    )
-    members = forecast.fit_members(rows.filter("NOT is_test"))
-    tested = forecast.predict_mean(rows.filter("is_test"), members)
-    # A fitted error has no SQL form: its rows and its range are compared.
-    fine = F.col("mse").isNotNull() & ~F.isnan("mse") & (F.col("mse") < float("inf"))
-    return evaluate.mean_squared_error(tested).select("n", fine.alias("mse_is_finite"))
+    """Errors of the fitted members' mean and of the last close on held-out windows, in prices.
+
+    Fitted, so there is no SQL form; tests hold it against the last close.
+    """
+    days = daily.aggregate_daily(_articles(spark, d))
+    rows = storage.written(sequences.feature_rows(days, t.stock_prices(spark, d)), "feature-rows")
+    blocks = storage.written(sequences.sequence_blocks(rows), "sequence-blocks")
+    width = t.EMBEDDING_DIM + len(sequences.PRICE_COLUMNS)
+    model = forecast.fit_members(blocks, width, chosen=lambda *key: ~split.in_test(key))
+    said = storage.written(forecast.predict_mean(blocks, model, lambda *key: split.in_test(key)), "forecasts")
+    last = evaluate.mean_squared_error(said, prediction="last_close").withColumnRenamed("mse", "last_close_mse")
+    return evaluate.mean_squared_error(said).join(last, "n")
 
 
 @query

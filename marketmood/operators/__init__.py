@@ -1 +1,11 @@
-"""Operators: DataFrame -> DataFrame."""
+"""Operators over DataFrames, one module per family.
+
+Functions that run in Python workers are pickled by value, so executors need no copy of
+this package on their path.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

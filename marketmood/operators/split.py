@@ -15,7 +15,11 @@ _BUCKET = 4  # hex digits: 65,536 buckets
 
 def _digest(keys: Sequence[str], seed: int) -> Column:
     """MD5 of the key columns; seed 0 hashes the plain keys."""
-    parts = [F.col(k).cast("string") for k in keys]
+    return _hashed([F.col(k) for k in keys], seed)
+
+
+def _hashed(keys: Sequence[Column], seed: int) -> Column:
+    parts = [k.cast("string") for k in keys]
     return F.md5(F.concat_ws("|", *parts, *([F.lit(str(seed))] if seed else [])))
 
 
@@ -23,8 +27,13 @@ def hash_split(
     df: DataFrame, keys: Sequence[str], share: float = TEST_SHARE, seed: int = 0
 ) -> DataFrame:
     """Add ``is_test`` from a hash of the keys: no shuffle, stable per row."""
-    place = F.conv(F.substring(_digest(keys, seed), 1, 8), 16, 10).cast("long")
-    return df.withColumn("is_test", place < int(share * 16**8))
+    return df.withColumn("is_test", in_test([F.col(k) for k in keys], share, seed))
+
+
+def in_test(keys: Sequence[Column], share: float = TEST_SHARE, seed: int = 0) -> Column:
+    """Whether the row with these keys is a test row of ``hash_split``."""
+    place = F.conv(F.substring(_hashed(keys, seed), 1, 8), 16, 10).cast("long")
+    return place < int(share * 16**8)
 
 
 def exact_split(

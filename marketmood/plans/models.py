@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketmood.functions.labels import LABELS
-from marketmood.operators import bayes, blend, evaluate, learned, lexicon, quality, split
+from marketmood.operators import bayes, blend, evaluate, learned, lexicon, quality, split, staged
 from marketmood.sources import sinks
 from marketmood.storage import written
 
@@ -63,26 +63,38 @@ class TextModel(ABC):
 
 
 class BayesModel(TextModel):
-    """Naive Bayes on word counts; the model is a table."""
+    """Naive Bayes on word counts; the model is its table of counts, which further corpora
+    add to, before or after it was saved."""
 
     def __init__(self) -> None:
+        self.counts: DataFrame | None = None
         self.weights: DataFrame | None = None
 
-    def train(self, rows: DataFrame, general: DataFrame | None = None) -> BayesModel:
-        self.weights = bayes.fit(_text_label(rows), general)
+    def _with_counts(self, counts: DataFrame) -> BayesModel:
+        self.counts, self.weights = counts, bayes.log_weights(counts)
         return self
 
+    def train(self, rows: DataFrame, general: DataFrame | None = None) -> BayesModel:
+        return self._with_counts(bayes.fit_counts(_text_label(rows), general))
+
+    def start(self, corpus: DataFrame) -> BayesModel:
+        """Fit on a (text, label) corpus alone; its words are the vocabulary from then on."""
+        return self._with_counts(bayes.fit_counts(corpus))
+
+    def train_more(self, rows: DataFrame) -> BayesModel:
+        """Go on with further rows: as if they had been there at the fit, with its vocabulary."""
+        return self._with_counts(written(bayes.continue_counts(self.counts, _text_label(rows)), "nb-counts"))
+
     def predict_proba(self, rows: DataFrame, keep: Sequence[str] = (ID,)) -> DataFrame:
         scores = bayes.joint_scores(rows, self.weights, list(keep), TEXT)
         return bayes.predict_proba(bayes.predict(scores))
 
     def save(self, path: str) -> None:
-        sinks.write_table(self.weights, path)
+        sinks.write_table(self.counts, path)
 
     def load(self, spark: SparkSession, path: str) -> BayesModel:
-        weights = ", ".join(f"w_{label} DOUBLE" for label in LABELS)
-        self.weights = sinks.read_table(spark, path, f"token STRING, {weights}")
-        return self
+        counts = ", ".join(f"{label} BIGINT" for label in LABELS)
+        return self._with_counts(sinks.read_table(spark, path, f"token STRING, {counts}"))
 
 
 class LexiconModel(TextModel):
@@ -151,6 +163,30 @@ class LearnedModel(TextModel):
         return self
 
 
+class StagedModel(TextModel):
+    """Logistic regression fitted on a general corpus, then on specific rows starting there."""
+
+    def __init__(self, features: int = 1 << 16, max_iter: int = 20, pull: float = staged.PULL) -> None:
+        self.features, self.max_iter, self.pull = features, max_iter, pull
+        self.model: staged.Regression | None = None
+
+    def train(self, rows: DataFrame, general: DataFrame | None = None) -> StagedModel:
+        if general is not None:
+            self.model = staged.fit(general, None, self.features, self.max_iter)
+        self.model = staged.fit(_text_label(rows), self.model, self.features, self.max_iter, self.pull)
+        return self
+
+    def predict_proba(self, rows: DataFrame, keep: Sequence[str] = (ID,)) -> DataFrame:
+        return staged.predict(rows, self.model, list(keep), TEXT)
+
+    def save(self, path: str) -> None:
+        sinks.write_table(staged.as_table(SparkSession.active(), self.model), path)
+
+    def load(self, spark: SparkSession, path: str) -> StagedModel:
+        self.model = staged.from_table(sinks.read_table(spark, path))
+        return self
+
+
 class BlendModel(TextModel):
     """A learned member and the lexicon, weighted; both are tuned on held-out rows."""
 
@@ -193,10 +229,10 @@ class BlendModel(TextModel):
 
 
 # Fixed names of the model types. The two transformer names give the learned
-# model that stands in for them.
+# models that stand in for them: the one trained in two stages, and the plain one.
 MODELS = {
     "naive_bayes": BayesModel,
-    "bert": LearnedModel,
+    "bert": StagedModel,
     "vader": LexiconModel,
     "ensemble": BlendModel,
     "financial_bert": LearnedModel,

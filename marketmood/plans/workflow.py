@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketmood.operators import (
@@ -113,18 +113,23 @@ def forecast_close(
     if previous_close:
         days = days.join(prices.previous_close(bars), ["date", "ticker"], "left")
     rows = written(sequences.feature_rows(days, bars), "feature-rows")
-    keys = ["ticker", "start_date"]
-    windows = sequences.sequence_windows(rows, length)
+    blocks = written(sequences.sequence_blocks(rows, length), "sequence-blocks")
     if by_time:
-        # The narrow start dates are split, not the widened sequences.
-        dates = split.time_split(written(windows.select(*keys), "starts"), "start_date")
-        windows = windows.join(dates.select("start_date", "is_test").distinct(), "start_date")
+        starts = sequences.start_dates(blocks, length)
+        dates = split.time_split(written(starts, "starts"), "start_date").filter("is_test")
+        cut = dates.agg(F.min("start_date")).first()[0]
+
+        def tested(ticker: Column, date: Column) -> Column:
+            return date >= F.lit(cut) if cut is not None else F.lit(False)
     else:
-        windows = split.hash_split(windows, keys, seed=1)
-    parted = written(windows, "sequences")
-    members = forecast.fit_members(parted.filter("NOT is_test"))
-    tested = forecast.predict_mean(parted.filter("is_test"), members)
-    return days, evaluate.batch_mean_squared_error(tested, ["ticker", "start_date"], batch)
+
+        def tested(ticker: Column, date: Column) -> Column:
+            return split.in_test([ticker, date], seed=1)
+
+    width = dim + len(sequences.PRICE_COLUMNS)
+    model = forecast.fit_members(blocks, width, length, chosen=lambda *key: ~tested(*key))
+    said = written(forecast.predict_mean(blocks, model, tested), "forecasts")
+    return days, evaluate.batch_mean_squared_error(said, ["ticker", "start_date"], batch)
 
 
 def chart_tables(inputs: Inputs, labels: DataFrame) -> dict[str, DataFrame]:

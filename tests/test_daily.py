@@ -67,6 +67,30 @@ def test_a_day_a_thousand_times_the_others_has_one_row(spark):
     assert (hot["n_articles"], hot["text_length"]) == (29000, len(" ".join(own)))
     texts = daily.daily_text(rows).filter("ticker = 'HOT'").orderBy("news_id").collect()
     assert [r["cleaned_text"] for r in texts] == own
+    assert [r["position"] for r in texts] == list(range(len(own)))
+    joined = " ".join(own)
+    assert all(joined[r["start"] :].startswith(r["cleaned_text"]) for r in texts)
+    assert texts[-1]["start"] + len(own[-1]) == len(joined)
+
+
+def test_partial_days_merge_in_any_grouping(spark):
+    rows = spark.range(500).select(
+        F.col("id").alias("news_id"),
+        F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 7).cast("int")).alias("date"),
+        F.when(F.col("id") % 3 == 0, "HOT").otherwise("B").alias("ticker"),
+        F.get(F.array(*[F.lit(x) for x in ("bullish", "positive", "negative", None)]), (F.col("id") % 4).cast("int")).alias("sentiment"),
+        (F.col("id") % 9).cast("int").alias("text_length"),
+        F.array(F.col("id").cast("double"), F.lit(1.0)).alias("embedding"),
+    )
+    whole = {(r["date"], r["ticker"]): r for r in daily.aggregate_daily(rows).collect()}
+    a, b, c = (daily.partial_days(rows.filter(F.col("news_id") % 3 == i)) for i in range(3))
+    for merged in (daily.merge_days(a, b, c), daily.merge_days(daily.merge_days(c, a), b)):
+        found = daily.finish_days(merged).collect()
+        assert len(found) == len(whole)
+        for r in found:
+            want = whole[r["date"], r["ticker"]]
+            assert list(r["embedding"]) == pytest.approx(list(want["embedding"]))
+            assert [r[x] for x in ("sentiment", "n_articles", "text_length")] == [want[x] for x in ("sentiment", "n_articles", "text_length")]
 
 
 def test_zero_vector_for_missing_embedding_or_text(spark):
@@ -130,12 +154,62 @@ def test_feature_rows_join_bars(spark):
     assert [(r["ticker"], list(r["features"])) for r in got] == [("A", [1.0, 1.0, 2.0, 3.0, 4.0, 7.0])]
 
 
-def test_forecast_members_fit_a_line(spark):
-    rows = sequences.sequence_windows(feature_rows(spark, {"A": 60}), 3)
-    parts = split.time_split(rows, "start_date")
-    members = forecast.fit_members(parts.filter("NOT is_test"), strengths=(0.0, 0.001), max_iter=100)
-    said = forecast.predict_mean(parts.filter("is_test"), members)
-    assert evaluate.mean_squared_error(said).first()["mse"] < 1.0
+def price_rows(spark, n, dim=2, seed=0):
+    """Days whose close goes back to 100, with a vector that tells the next close a little."""
+    draw = np.random.default_rng(seed)
+    rows = []
+    for ticker in ("A", "B"):
+        close = 100 + 10 * draw.normal(size=n)
+        for i in range(n):
+            hint = [float(close[min(i + 1, n - 1)] - 100) / 10] + [float(x) for x in draw.normal(size=dim - 1)]
+            prices = [float(close[i] + x) for x in (-1, 2, -2)] + [float(close[i]), float(draw.integers(1, 9))]
+            rows.append((ticker, D + dt.timedelta(days=i), hint + prices, float(close[i])))
+    return spark.createDataFrame(rows, "ticker string, date date, features array<double>, close double")
+
+
+@pytest.mark.parametrize("block", [16, 256])
+def test_members_from_one_pass_equal_a_plain_solve(spark, monkeypatch, block):
+    monkeypatch.setattr(sequences, "_BLOCK", block)
+    monkeypatch.setattr(forecast, "_BLOCK", block)
+    rows = price_rows(spark, 90)
+    blocks = sequences.sequence_blocks(rows, 3)
+    sums = forecast.gram(blocks, 7, 3, 4)
+    windows = sequences.windows_of(blocks, 3).collect()
+    x, y = np.array([r["seq"] for r in windows]), np.array([r["target"] for r in windows])
+    mean, unit = forecast._scale(x)
+    z, goal = forecast.described(x, 4), (y - mean) / unit
+    assert sums[-1] == len(windows) == 2 * 87
+    for strength, weights, intercept, _ in forecast.ridge(sums, z.shape[1], (1e-3, 0.1, 10.0)):
+        w = unit**2
+        centre = (w[:, None] * z).sum(axis=0) / w.sum()
+        apart = z - centre
+        spread = (w[:, None] * apart).T @ apart / w.sum()
+        middle = (w * goal).sum() / w.sum()
+        want = np.linalg.solve(spread + strength * np.diag(np.diag(spread)), (w[:, None] * apart).T @ (goal - middle) / w.sum())
+        assert weights == pytest.approx(want, abs=1e-6)
+        assert intercept == pytest.approx(middle - centre @ want, abs=1e-6)
+
+
+def test_forecast_beats_the_last_close_and_splits_by_window(spark):
+    blocks = sequences.sequence_blocks(price_rows(spark, 400), 5).persist()
+    model = forecast.fit_members(blocks, 7, 5, widths=(4, 8), chosen=lambda *key: ~split.in_test(key))
+    assert len({len(m.weights) for m in model.members}) == 2
+    said = forecast.predict_mean(blocks, model, lambda *key: split.in_test(key)).persist()
+    flags = split.hash_split(sequences.windows_of(blocks, 5).select("ticker", "start_date"), ["ticker", "start_date"]).filter("is_test")
+    assert sorted((r[0], r[1]) for r in said.select("ticker", "start_date").collect()) == sorted((r[0], r[1]) for r in flags.collect())
+    own = evaluate.mean_squared_error(said).first()["mse"]
+    last = evaluate.mean_squared_error(said, prediction="last_close").first()["mse"]
+    assert own < 0.5 * last
+    assert said.filter("abs(prediction - (member_0 + member_1) / 2) > 1e-9").count() == 0
+
+
+def test_forecast_without_windows_and_with_gaps(spark):
+    rows = price_rows(spark, 30).withColumn("close", F.when(F.col("date") != D + dt.timedelta(days=20), F.col("close")))
+    blocks = sequences.sequence_blocks(rows, 5)
+    model = forecast.fit_members(blocks, 7, 5, widths=(4,), chosen=lambda ticker, date: F.lit(False))
+    said = forecast.predict_mean(blocks, model).collect()
+    assert len(said) == 50 and sum(r["target"] is None for r in said) == 2
+    assert forecast.gram(blocks, 7, 5, 4)[-1] == 48
 
 
 def test_member_mean(spark):
