@@ -16,10 +16,13 @@ members to a leader, the document with the smallest id and so often the original
 near copies. The order has the shingles last
 that the pass over all sets finds frequent, such as those of passages that unlike
 documents share. Shingles of long lists that still hold several components are moved
-behind them, and the sets concerned are joined again under the new order; the last round
-scans whatever is left, pairs of different components only. Any order is valid, so no
-link is lost. Pairs pass a bitmap bound on the symmetric difference and are verified on
-the texts.
+behind them, and the sets concerned are joined again under the new order. Any order is
+valid, so no link is lost. Lists that are open after that are gone through in waves: the
+first members of a list, LEADERS times as many in each wave, meet its members of other
+components; what they link is one component before the next wave, and a list of one
+component is closed. So a large group of near copies costs a multiple of its size in
+pairs, and a list of unlike documents ends with all its pairs tried. Pairs pass a bitmap
+bound on the symmetric difference and are verified on the texts.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
 from marketmood.llm.common import SHINGLE_WORDS, if_small, sliced, stored, window_hashes
@@ -41,8 +45,10 @@ from marketmood.llm.wordscan import WordScanner
 PERCENT = 75
 # A list up to this long gives all its pairs, a longer one links to its leader.
 SHORT_LIST = 24
-# Rounds with shingles moved to the end; the last one scans lists of any length.
+# Rounds with shingles moved to the end, before the waves.
 ROUNDS = 3
+# Leaders of a list in the first wave, and how many times as many in each further one.
+LEADERS = 8
 # Shingles counted together by a task, and how often one stands there to be reported.
 COUNTED = 1 << 20
 REPORTED = 3
@@ -56,8 +62,9 @@ SHARED_PART = 20
 LEAST_BITS = 256
 # The place of a document without an id.
 LAST = (1 << 63) - 1
-# Candidate pairs made at a time.
+# Candidate pairs, and documents, taken at a time.
 BLOCK = 1 << 17
+DOCUMENTS = 1000
 # Members verified against one copy of their leader's text.
 MEMBERS = 64
 
@@ -160,50 +167,46 @@ def _boundary(signatures: DataFrame, percent: int) -> int:
     return best
 
 
-def _keys(sets: DataFrame, boundary: int, percent: int) -> DataFrame:
-    """(key, place, node, n, label) of the sets: keys are pairs for small sets, shingles for large ones.
+def _key_batches(batches: Iterator[pa.RecordBatch], boundary: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """(key, place, node, n, label) of sets with a prefix: keys are pairs for small sets, shingles for large ones.
 
     place orders a list's members. A null label stands for the node itself.
     """
     with_pairs = boundary * 100 // percent
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, places, nodes, sizes, labels = [], [], [], [], []
-            offsets = batch.column("prefix").offsets.to_numpy()
-            values = batch.column("prefix").values.to_numpy().view(np.uint64)
-            for i, (place, node, n, label) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("place", "node", "n", "label")))):
-                own = values[offsets[i] : offsets[i + 1]]
-                parts = []
-                if n > boundary:
-                    parts.append(own[: prefix_length(n, least_shared(n), percent)])
-                if 2 <= n <= with_pairs:
-                    own = own[: prefix_length(n, 2, percent)]
-                    first, second = np.triu_indices(len(own), 1)
-                    low, high = np.minimum(own[first], own[second]), np.maximum(own[first], own[second])
-                    with np.errstate(over="ignore"):
-                        parts.append(low * np.uint64(0x9E3779B97F4A7C15) ^ high)
-                count = sum(map(len, parts))
-                keys += parts
-                places.append(np.full(count, place, np.int64))
-                nodes.append(np.full(count, node, np.int64))
-                sizes.append(np.full(count, n, np.int64))
-                labels.append(np.full(count, node if label is None else label, np.int64))
-            columns = [np.concatenate(x).view(np.int64) if x else np.empty(0, np.int64) for x in (keys, places, nodes, sizes, labels)]
-            arrays = [pa.array(c) for c in columns[:4]] + [pa.array(columns[4], mask=columns[4] == columns[2])]
-            yield pa.RecordBatch.from_arrays(arrays, ["key", "place", "node", "n", "label"])
-
-    return sets.select("place", "node", "n", "label", "prefix").mapInArrow(sliced(run), "key long, place long, node long, n long, label long")
-
-
-def _scan_lists(keys: DataFrame, boundary: int, limit: int | None, percent: int) -> DataFrame:
+    for batch in batches:
+        keys, places, nodes, sizes, labels = [], [], [], [], []
+        offsets = batch.column("prefix").offsets.to_numpy()
+        values = batch.column("prefix").values.to_numpy().view(np.uint64)
+        for i, (place, node, n, label) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("place", "node", "n", "label")))):
+            own = values[offsets[i] : offsets[i + 1]]
+            parts = []
+            if n > boundary:
+                parts.append(own[: prefix_length(n, least_shared(n), percent)])
+            if 2 <= n <= with_pairs:
+                own = own[: prefix_length(n, 2, percent)]
+                first, second = np.triu_indices(len(own), 1)
+                low, high = np.minimum(own[first], own[second]), np.maximum(own[first], own[second])
+                with np.errstate(over="ignore"):
+                    parts.append(low * np.uint64(0x9E3779B97F4A7C15) ^ high)
+            count = sum(map(len, parts))
+            keys += parts
+            places.append(np.full(count, place, np.int64))
+            nodes.append(np.full(count, node, np.int64))
+            sizes.append(np.full(count, n, np.int64))
+            labels.append(np.full(count, node if label is None else label, np.int64))
+        columns = [np.concatenate(x).view(np.int64) if x else np.empty(0, np.int64) for x in (keys, places, nodes, sizes, labels)]
+        arrays = [pa.array(c) for c in columns[:4]] + [pa.array(columns[4], mask=columns[4] == columns[2])]
+        yield pa.RecordBatch.from_arrays(arrays, ["key", "place", "node", "n", "label"])
+
+
+def _scan_lists(keys: DataFrame, boundary: int, limit: int, percent: int) -> DataFrame:
     """Candidates of all inverted lists: kind 0, the pair (a, b); kind 1, member b of long list a.
 
     need is how many keys the pair shares at least if it links: 1 where a set of it has
     pairs as keys.
 
-    Lists are runs of sorted rows and are read as a stream: a short one is held, of a
-    long one only the leader. ``limit`` None gives the pairs of every list.
+    Lists are runs of sorted rows and are read as a stream: one of up to ``limit`` rows is
+    held, of a longer one only the leader.
     """
     names = ["kind", "a", "b", "need"]
     with_pairs = boundary * 100 // percent
@@ -268,7 +271,7 @@ def _scan_lists(keys: DataFrame, boundary: int, limit: int | None, percent: int)
                 out.append((0, node[double], node[double + 1], need(low)))
             for i in np.flatnonzero(lengths[:whole] > 2).tolist():
                 s, e = int(starts[i]), int(ends[i])
-                if limit is not None and e - s > limit:
+                if e - s > limit:
                     star(int(key[s]), node[s:e], n[s:e], out)
                 else:
                     made = 0
@@ -280,7 +283,7 @@ def _scan_lists(keys: DataFrame, boundary: int, limit: int | None, percent: int)
                             out, made = [], 0
             held = [x[starts[whole] :] if 0 <= whole < len(starts) else x[:0] for x in (key, node, n, label)]
             # The list that goes on: once it is long, its members need not be held.
-            if limit is not None and len(held[0]) > limit:
+            if len(held[0]) > limit:
                 star(int(held[0][0]), held[1], held[2], out)
                 held = [x[-1:] for x in held]
             yield from emit(out)
@@ -315,6 +318,37 @@ def _scan_lists(keys: DataFrame, boundary: int, limit: int | None, percent: int)
     return ordered.mapInArrow(sliced(run), "kind int, a long, b long, need int")
 
 
+def _scan_wave(members: DataFrame, leaders: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of each list's first ``leaders`` members and its members of other labels.
+
+    ``members`` are (key, place, node, n, label). Lists are read as a stream that holds
+    the leaders alone.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, first = None, [np.empty(0, np.int64)] * 3
+        for batch in batches:
+            key, *rows = (batch.column(c).to_numpy() for c in ("key", "node", "n", "label"))
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]).tolist() if len(key) else []
+            for s, e in zip(starts, [*starts[1:], len(key)]):
+                if key[s] != here:
+                    here, first = key[s], [x[:0] for x in rows]
+                own = [x[s:e] for x in rows]
+                first = [np.r_[f, x[: leaders - len(f)]] for f, x in zip(first, own)]
+                nodes, sizes, labels = own
+                step = max(1, BLOCK // len(nodes))
+                for at in range(0, len(first[0]), step):
+                    node, n, label = (f[at : at + step, None] for f in first)
+                    low, high = np.minimum(sizes, n), np.maximum(sizes, n)
+                    which, other = np.nonzero((high * percent <= low * 100) & (labels != label))
+                    a, b = node[which, 0], nodes[other]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    parts = max(2, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = members.select("key", "place", "node", "n", "label").repartition(parts, "key").sortWithinPartitions("key", "place", "node")
+    return ordered.mapInArrow(sliced(run), "a long, b long").distinct()
+
+
 def _shared_enough(found: DataFrame) -> DataFrame:
     """The pairs (a, b) whose counted keys, with those of long lists that both may share, are enough."""
     pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
@@ -414,39 +448,45 @@ def _verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(sliced(run), "a long, b long").distinct()
 
 
-def _prefixes(docs: DataFrame, wanted: DataFrame | None, moved: np.ndarray, percent: int) -> DataFrame:
-    """(place, node, n, prefix) in the order that has the moved shingles last; place is the id.
+def _list_rows(docs: DataFrame, wanted: DataFrame | None, moved: np.ndarray, boundary: int, percent: int) -> DataFrame:
+    """(key, place, node, n, label) under the order that has the moved shingles last.
 
-    Of all sets, where a task first meets them, or of the wanted nodes.
+    Of all sets, where a task first meets them, or of the wanted (doc_id, node, label).
     """
     chosen = wanted is not None
+    names = ["place", "node", "n", "label", "prefix"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner, met = WordScanner(), set()
-        for batch in batches:
-            rows = []
-            nodes = batch.column("node").to_pylist() if chosen else [None] * batch.num_rows
-            for place, node, text in zip(batch.column("doc_id").to_pylist(), nodes, batch.column("text").to_pylist()):
-                own = document_set(scanner, text)
-                found = set_id(own) if len(own) else None
-                if found is None or found in met or chosen and found != node:
-                    continue
-                met.add(found)
-                late = np.zeros(len(own), bool)
-                if len(moved):
-                    late = moved[np.minimum(np.searchsorted(moved, own), len(moved) - 1)] == own
-                own = np.concatenate([own[~late], own[late]])
-                length = prefix_length(len(own), max(2, least_shared(len(own))), percent)
-                rows.append((LAST if place is None else place, found, len(own), own[:length].view(np.int64)))
-            columns = list(zip(*rows)) or [()] * 4
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["place", "node", "n", "prefix"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, DOCUMENTS):
+                batch = whole.slice(at, DOCUMENTS)
+                rows = []
+                nodes, labels = (batch.column(c).to_pylist() if chosen else [None] * batch.num_rows for c in ("node", "label"))
+                for place, node, label, text in zip(batch.column("doc_id").to_pylist(), nodes, labels, batch.column("text").to_pylist()):
+                    own = document_set(scanner, text)
+                    found = set_id(own) if len(own) else None
+                    if found is None or found in met or chosen and found != node:
+                        continue
+                    met.add(found)
+                    late = np.zeros(len(own), bool)
+                    if len(moved):
+                        late = moved[np.minimum(np.searchsorted(moved, own), len(moved) - 1)] == own
+                    own = np.concatenate([own[~late], own[late]])
+                    length = prefix_length(len(own), max(2, least_shared(len(own))), percent)
+                    rows.append((LAST if place is None else place, found, len(own), label, own[:length].view(np.int64)))
+                columns = list(zip(*rows)) or [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _key_batches(prefixes(batches), boundary, percent)
 
     if chosen:
-        texts = _with_texts(docs, wanted).select("doc_id", "node", "text")
+        texts = _with_texts(docs, wanted).select("doc_id", "node", "label", "text")
     else:
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return texts.mapInArrow(sliced(run), "place long, node long, n long, prefix array<long>")
+    return texts.mapInArrow(sliced(run), "key long, place long, node long, n long, label long")
 
 
 def _heaviest(lists: DataFrame) -> np.ndarray:
@@ -455,18 +495,15 @@ def _heaviest(lists: DataFrame) -> np.ndarray:
     return np.sort(np.array([r["key"] for r in kept.toLocalIterator()], np.int64).view(np.uint64))
 
 
-def link_documents(docs: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS, short_list: int = SHORT_LIST) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of ``docs``.
+def _open_lists(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, n) of the lists that hold several components; nodes without a label are their own."""
+    named = members.join(if_small(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sums = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"))
+    return sums.filter("low < high").select("key", "n")
 
-    Two documents link when 100 * shared >= percent * united of their sets of distinct
-    5-word shingles (A-Z lower-cased; with fewer words the whole sequence is one
-    shingle). component_id is the smallest doc_id reachable by links, itself included.
-    A null or empty text, or one without words, has n_shingles 0 and links with nothing.
-    Rows of equal sets, repeated rows too, are one node. A null id never is a
-    component_id: such a row has the smallest other id of its component, else null. Rows
-    that repeat an id with other texts are judged by their texts. Other columns are not
-    read.
-    """
+
+def _components(docs: DataFrame, percent: int, rounds: int, short_list: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(signatures, nodes, labels): a row per document, per set, and per set that has a link."""
     found = stored(_signatures(docs, percent), "sets")
     signatures = found.filter("count is null")
     nodes = stored(
@@ -478,64 +515,116 @@ def link_documents(docs: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS
     boundary = _boundary(signatures, percent)
     edges: list[DataFrame] = []
     tried: list[DataFrame] = []
-    labels = wanted = None
-    for turn in range(rounds):
-        last = turn == rounds - 1
-        sets = _prefixes(docs, wanted, moved, percent)
-        if labels is None:
-            sets = sets.withColumn("label", F.lit(None).cast("long"))
-        else:
-            sets = sets.join(if_small(labels), "node", "left")
-        found = stored(_scan_lists(_keys(sets, boundary, percent), boundary, None if last else short_list, percent), "lists")
-        pairs = stored(_shared_enough(found), "pairs")
+    labels = wanted = members = None
+
+    def link(pairs: DataFrame) -> DataFrame:
+        """Verify the pairs not yet tried; labels of all links so far."""
         if tried:
             pairs = pairs.join(reduce(DataFrame.unionAll, tried), ["a", "b"], "left_anti")
         close = stored(_close_enough(pairs, nodes, percent), "close")
         tried.append(close.select("a", "b"))
         edges.append(stored(_verify(close, docs, percent), "edges"))
-        labels = components(reduce(DataFrame.unionAll, edges))
-        if last:
-            break
-        members = found.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"))
-        named = members.join(if_small(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        open_lists = stored(
-            named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high").select("key", "n"),
-            "open",
-        )
+        return components(reduce(DataFrame.unionAll, edges))
+
+    for turn in range(rounds):
+        lists = stored(_scan_lists(_list_rows(docs, wanted, moved, boundary, percent), boundary, short_list, percent), "lists")
+        labels = link(stored(_shared_enough(lists), "pairs"))
+        members = lists.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"))
+        open_lists = stored(_open_lists(members, labels), "open")
         new = _heaviest(open_lists)
         if not len(new):
+            return signatures, nodes, labels
+        if turn == rounds - 1:
             break
         moved = np.union1d(moved, new)
         open_nodes = members.join(if_small(open_lists.select("key")), "key", "left_semi").select("node").distinct()
-        wanted = stored(open_nodes.join(nodes.select("node", "doc_id"), "node"), "open-nodes")
+        wanted = open_nodes.join(nodes.select("node", "doc_id"), "node").join(if_small(labels), "node", "left")
+        wanted = stored(wanted.select("doc_id", "node", "label"), "open-nodes")
+
+    placed = nodes.select("node", "n", F.coalesce("doc_id", F.lit(LAST)).alias("place"))
+    leaders = LEADERS
+    while True:
+        members = stored(members.join(if_small(open_lists.select("key")), "key", "left_semi"), "members")
+        longest = open_lists.agg(F.max("n")).first()[0]
+        if longest is None:
+            return signatures, nodes, labels
+        named = members.join(if_small(placed), "node").join(if_small(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        labels = link(stored(_scan_wave(named, leaders, percent), "wave"))
+        if leaders >= longest:
+            return signatures, nodes, labels
+        open_lists = stored(_open_lists(members, labels), "open")
+        leaders *= LEADERS
 
+
+def link_documents(docs: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS, short_list: int = SHORT_LIST) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of ``docs``.
+
+    Two documents link when 100 * shared >= percent * united of their sets of distinct
+    5-word shingles (A-Z lower-cased; with fewer words the whole sequence is one
+    shingle). component_id is the smallest doc_id reachable by links, itself included.
+    A null or empty text, or one without words, has n_shingles 0 and links with nothing.
+    Rows of equal sets, repeated rows too, are one node. A null id never is a
+    component_id: such a row has the smallest other id of its component, else null. Rows
+    that repeat an id with other texts are judged by their texts. Other columns are not
+    read.
+    """
+    signatures, nodes, labels = _components(docs, percent, rounds, short_list)
     lowest = labels.join(nodes.select("node", "doc_id"), "node").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = labels.join(lowest, "label").select("node", "component_id")
     per_node = nodes.select("node", "doc_id").join(named, "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
     per_node = if_small(stored(per_node, "components"))
-    return (
-        signatures.select("doc_id", F.col("n").alias("n_shingles"), "node")
-        .join(per_node, "node", "left")
-        .select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-    )
+    rows = signatures.select("doc_id", F.col("n").alias("n_shingles"), "node")
+    # Texts without words have no node and would all meet in one task.
+    alone = rows.filter("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return rows.filter("node is not null").join(per_node, "node").select("doc_id", "n_shingles", "component_id").unionByName(alone)
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs``, all columns, of which each component keeps one document.
+    """The rows of ``docs``, all columns, of which each component keeps one row.
 
-    The document with the smallest id stays. Texts without words are in no component and
-    stay; so do rows with a null id, which nothing can name. Rows that repeat an id stay
-    or go together; of those that stay, equal texts are kept once.
+    The row with the smallest id stays, of equal ids with several texts the one of the
+    smallest set name, of equal rows one. Rows with a null id are judged like the others
+    and come last. Texts without words are in no component and all stay.
     """
-    linked = link_documents(docs, percent).filter("doc_id is not null")
-    ids = stored(
-        linked.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count(F.lit(1)).alias("rows")),
-        "ids",
-    )
-    kept = docs.join(if_small(ids.filter("not stays").select("doc_id")), "doc_id", "left_anti").select(*docs.columns)
-    again = ids.filter("stays and rows > 1").select("doc_id")
-    if again.limit(1).count() == 0:
+    signatures, nodes, labels = _components(docs, percent, ROUNDS, SHORT_LIST)
+    rows = signatures.filter("node is not null").select("doc_id", "node")
+    label = F.coalesce("label", "node").alias("label")
+    # Per component its first set: no id comes after every id.
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")
+    chosen = nodes.join(labels, "node", "left").select(label, place.alias("place")).groupBy("label").agg(F.min("place").alias("place"))
+    chosen = stored(chosen.select(F.col("place.node").alias("node"), F.col("place.doc_id").alias("doc_id")), "chosen")
+    # Ids that stand in one row are judged by the id alone, without a further look at the texts.
+    ids = stored(rows.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min("node").alias("node")), "ids")
+    once = ids.filter("rows = 1").select("doc_id", "node")
+    gone = once.join(chosen.select("node", F.col("doc_id").alias("first")), "node", "left").filter("first is null or first <> doc_id").select("doc_id")
+    again = stored(ids.filter("rows > 1").select("doc_id"), "again")
+    kept = docs.join(if_small(stored(gone, "gone")), "doc_id", "left_anti").select(*docs.columns)
+    nameless = rows.filter("doc_id is null").limit(1).count() > 0
+    if not nameless and again.limit(1).count() == 0:
         return kept
-    # Only ids that stand in several rows are shuffled.
-    once = kept.join(if_small(again), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(if_small(again), "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+    plain = kept.filter("doc_id is not null").join(if_small(again), "doc_id", "left_anti").select(*docs.columns)
+    open_rows = kept.filter("doc_id is not null").join(if_small(again), "doc_id", "left_semi").unionByName(kept.filter("doc_id is null"))
+    return plain.unionByName(_first_of_sets(open_rows.select(*docs.columns), chosen))
+
+
+def _first_of_sets(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Of rows that their id does not tell apart, one per chosen (node, doc_id), and all without words."""
+    columns = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = WordScanner()
+        for batch in batches:
+            texts = dict(zip(columns, batch.column("own").flatten()))["text"].cast(pa.binary())
+            sets = [document_set(scanner, t) for t in texts.to_pylist()]
+            nodes = pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([nodes, batch.column("own")], ["node", "own"])
+
+    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("own", rows.schema)])
+    named = rows.select(F.struct(*columns).alias("own")).mapInArrow(sliced(run), schema)
+    named = stored(named, "named")
+    wordless = named.filter("node is null").select("own.*")
+    met = named.filter("node is not null").join(if_small(chosen.withColumnRenamed("doc_id", "first")), "node")
+    met = met.filter(F.col("own.doc_id").cast("long").eqNullSafe(F.col("first")))
+    # Rows of one set and id are alike but for other columns: the first by their text stays.
+    first = met.groupBy("node").agg(F.min_by("own", F.struct("own.text", F.xxhash64("own"))).alias("own")).select("own.*")
+    return wordless.unionByName(first).select(*columns)

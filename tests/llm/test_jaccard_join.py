@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 import brute
+from marketmood.llm import jaccard_join
 from marketmood.llm.jaccard_join import bitmap, keep_one, least_difference, link_documents, prefix_length
 
 
@@ -52,7 +53,53 @@ def test_null_ids_repeated_rows_and_empty_tables(make_docs):
     assert found == sorted([(5, 26, 3), (5, 26, 3), (None, 26, 3), (3, 27, 3), (None, 1, None), (8, 0, 8)], key=str)
     assert link_documents(make_docs([])).count() == 0
     kept = keep_one(make_docs([*rows, (3, text + " x")]))
-    assert sorted((tuple(r)[0] for r in kept.collect()), key=str) == sorted([3, 8, None, None], key=str)
+    # The copy without an id goes, the other text without an id stays.
+    assert sorted((tuple(r)[:2] for r in kept.collect()), key=str) == sorted([(3, text + " x"), (8, None), (None, "other words")], key=str)
+
+
+def test_keep_one_judges_rows_not_ids(spark):
+    """Repeated and null ids with other texts, and columns that clash with names used inside."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a, 7), (1, b, 7), (2, b, 7), (3, a + " z", 8), (None, c, 1), (None, c, 1), (None, c + " z", 2), (None, "", 3), (None, None, 3), (4, a, 9), (5, None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, node long")
+    kept = sorted((tuple(r) for r in keep_one(docs).collect()), key=str)
+    assert [r for r in kept if r[1] in (a, b, a + " z")] == [(1, a, 7), (1, b, 7)][: len([r for r in kept if r[0] == 1])]
+    assert {r[1] for r in kept if r[0] == 1} == {a, b} and not [r for r in kept if r[0] in (2, 3, 4)]
+    assert len([r for r in kept if r[1] and r[1].startswith("c0")]) == 1
+    assert len([r for r in kept if not r[1]]) == 3 and keep_one(docs).columns == docs.columns
+
+
+def test_pairs_of_a_group_of_near_copies_grow_with_its_size(make_docs, monkeypatch):
+    """One-word variants of one text: most pairs of them are no links, one component in the end."""
+    seen = []
+    close = jaccard_join._close_enough
+
+    def counted(pairs, *rest):
+        seen.append(pairs.count())
+        return close(pairs, *rest)
+
+    monkeypatch.setattr(jaccard_join, "_close_enough", counted)
+    made = []
+    for size in (400, 800):
+        draw = random.Random(size)
+        rows = []
+        for i in range(size):
+            words = ["v%d" % k for k in range(60)]
+            words[draw.randrange(60)] = "new%d" % i
+            rows.append((i, " ".join(words)))
+        seen.clear()
+        found = link_documents(make_docs(rows))
+        assert {r["component_id"] for r in found.collect()} == {0}
+        made.append(sum(seen))
+    assert made[0] < 40 * 400 and made[1] < 40 * 800, made
+
+
+@pytest.mark.parametrize("leaders", [2, 8])
+def test_waves_lose_no_link(make_docs, monkeypatch, leaders):
+    monkeypatch.setattr(jaccard_join, "LEADERS", leaders)
+    rows = texts(9)
+    found = link_documents(make_docs(rows), short_list=1, rounds=1).collect()
+    assert sorted((tuple(r) for r in found), key=str) == brute.components(rows)
 
 
 @pytest.mark.parametrize("options", [{}, {"short_list": 2}])
