@@ -525,6 +525,22 @@ BODIES = {
                    CASE WHEN count(*) < 2 OR stddev_samp(ret) = 0 THEN 0
                         ELSE avg(ret) / stddev_samp(ret) * sqrt(252) END AS sharpe_ratio
             FROM holding_ret GROUP BY 1)""",
+    "infer_pooled": f"""
+        SELECT news_id, {_best({"bullish": "b", "neutral": "u", "bearish": "e"}, _ORDER)} AS sentiment, CAST(pos AS INTEGER) AS pos,
+               {_r("CAST([x0, x1, x2][pos + 1] AS DOUBLE)", 3)} AS x
+        FROM (SELECT news_id, avg(length(w)) AS x0, avg(unicode(w) % 7) AS x1, avg(CAST(length(w) % 2 = 0 AS INTEGER)) AS x2,
+                     count(*) FILTER (length(w) % 3 = 0) AS b, count(*) FILTER (length(w) % 3 = 1) AS u,
+                     count(*) FILTER (length(w) % 3 = 2) AS e
+              FROM (SELECT news_id, unnest(string_split(cleaned_text, ' ')) AS w FROM cleaned) WHERE w <> '' GROUP BY 1), range(3) r(pos)""",
+    "null_closes": f"""
+        SELECT ticker, date, {_r("close")} AS close, {_r("CASE WHEN before = 0 THEN NULL ELSE (known / before - 1) * 100 END")} AS pct_change
+        FROM (SELECT ticker, date, close, known, lag(known) OVER (PARTITION BY ticker ORDER BY date) AS before FROM (
+            SELECT ticker, date, close, last_value(close IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date) AS known FROM (
+                SELECT ticker, date, CASE WHEN day(date) % 5 <> 0 THEN close END AS close FROM stock_users)))""",
+    "bars_by_ticker": f"""
+        SELECT ticker, date, {_r("close")} AS close, CASE WHEN ticker = 'view' THEN 0 ELSE volume END AS volume FROM stock
+        UNION ALL SELECT 'index', date, {_r("close")}, volume FROM market""",
+    "phrases_from_csv": "SELECT text, label FROM phrases",
     "learned_invariants": """
         SELECT sentiment, count(*) AS n, count(*) AS n_summing_to_one, count(*) AS n_best
         FROM aligned_split WHERE is_test GROUP BY 1""",
@@ -545,7 +561,15 @@ BODIES = {
         FROM user_labels l JOIN stock_users s ON l.ticker = s.ticker AND l.date = s.date""",
 }
 
+BODIES["blend_parameters"] = f"SELECT pos_thresh, weight FROM ({BODIES['blend_grid_search']})"
+BODIES["metrics_files"] = f"""
+    SELECT *, 'Model Performance:' || chr(10) || 'Accuracy: ' || printf('%.4f', accuracy) || chr(10) || 'Precision: '
+           || printf('%.4f', precision) || chr(10) || 'Recall: ' || printf('%.4f', recall) || chr(10) || 'F1-Score: '
+           || printf('%.4f', f1) AS lines FROM ({BODIES['eval_metrics']})"""
 BODIES["training_frame"] = BODIES["build_features"]
+BODIES["model_by_name"] = BODIES["nb_predict"]
+BODIES["processed_files"] = BODIES["align_news_labels"]
+BODIES["backtest_files"] = BODIES["return_sharpe"]
 BODIES["nb_continued"] = BODIES["nb_fit"]
 BODIES["aggregate_daily_merged"] = BODIES["aggregate_daily"]
 

@@ -6,15 +6,18 @@ every digit that is compared; arrays are laid out as rows.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
+import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketmood import storage
 from marketmood.checks import tables as t
-from marketmood.functions.labels import LABEL_INDEX, LABELS, recode
+from marketmood.functions.labels import LABEL_INDEX, LABELS, SENTIMENT_WORDS, recode
 from marketmood.operators import (
     align,
     backtest,
@@ -37,8 +40,12 @@ from marketmood.operators import (
 from marketmood.plans import models
 from marketmood.sources import news as news_source
 from marketmood.sources import prices as price_source
+from marketmood.sources import sinks
 from marketmood.sources.schemas import ARTICLES, STORIES
 
+# The check's own model runs in Python workers, which need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
@@ -167,6 +174,36 @@ def index_bars(spark, d):
     return rounded(price_source.index_bars(t.index_prices(spark, d), *RANGE))
 
 
+@query
+def null_closes(spark, d):
+    """Returns of days whose last known close is some days old: every fifth close is missing."""
+    stock = t.stock_prices(spark, d, "user_id")
+    missing = F.pmod(F.dayofmonth("date"), F.lit(5)) == 0
+    return rounded(prices.stock_returns(stock.withColumn("close", F.when(~missing, F.col("close")))))
+
+
+@query
+def bars_by_ticker(spark, d):
+    """Bars written by ticker, one ticker written again, and the index, all read back."""
+    stocks, market = storage.new_path(spark, "bars"), storage.new_path(spark, "market")
+    bars = t.stock_prices(spark, d)
+    sinks.write_by_ticker(bars, stocks)
+    sinks.write_by_ticker(bars.filter("ticker = 'view'").withColumn("volume", F.lit(0).cast("long")), stocks)
+    sinks.write_table(t.index_prices(spark, d), market)
+    columns = ["ticker", "date", "close", "volume"]
+    index = sinks.read_table(spark, market).withColumn("ticker", F.lit("index"))
+    return rounded(sinks.read_table(spark, stocks).select(*columns).unionByName(index.select(*columns)))
+
+
+@query
+def processed_files(spark, d):
+    """Processed news and labels written by ticker, read back and joined."""
+    news_path, label_path = storage.new_path(spark, "processed"), storage.new_path(spark, "labels")
+    sinks.write_by_ticker(_processed(spark, d), news_path)
+    sinks.write_by_ticker(_labels(spark, d), label_path)
+    return align.align_news_labels(sinks.read_table(spark, news_path), sinks.read_table(spark, label_path))
+
+
 # News sources.
 
 
@@ -258,6 +295,16 @@ def phrasebank_labels(spark, d):
     )
 
 
+@query
+def phrases_from_csv(spark, d):
+    """The phrase corpus as a CSV file of sentences and words, read and renamed."""
+    path = storage.new_path(spark, "phrases")
+    words = F.when(F.col("code") == 0, "negative").when(F.col("code") == 1, "positive").otherwise("neutral")
+    rows = t.phrases(spark, d).select(F.col("text").alias("Sentence"), words.alias("Sentiment"))
+    rows.write.csv(path, header=True, escape='"', quoteAll=True)
+    return news_source.phrase_labels(news_source.read_phrases(spark, path), "sentiment", SENTIMENT_WORDS).select("text", "label")
+
+
 # Text.
 
 
@@ -483,6 +530,40 @@ def learned_stages(spark, d):
     return parts[0].unionByName(parts[1])
 
 
+class LetterModel:
+    """A model without weights: a token's vector is its length, the place of its first letter
+    and whether its length is even; the label follows the lengths' remainders."""
+
+    labels = LABELS
+
+    def tokens(self, text):
+        return [len(w) * 8 + ord(w[0]) % 7 + 1 for w in text.split(" ") if w]
+
+    def __call__(self, ids, mask):
+        lengths = ids // 8
+        vectors = np.stack([lengths, ids % 8 - 1, lengths % 2 == 0], axis=2).astype("float32")
+        hits = (lengths[:, :, None] % len(LABELS) == np.arange(len(LABELS))) & mask[:, :, None]
+        return vectors, hits.sum(axis=1) / np.maximum(mask.sum(axis=1), 1)[:, None]
+
+
+@query
+def infer_pooled(spark, d):
+    """Token vectors of whole texts in batches of like length, pooled to one vector a text."""
+    rows = learned.infer_pooled(_processed(spark, d), LetterModel, 3, chunk_tokens=256, batch_tokens=4096)
+    return rounded(
+        rows.select("news_id", "sentiment", F.posexplode("embedding").alias("pos", "x")).withColumn("x", F.col("x").cast("double")), 3
+    )
+
+
+@query
+def model_by_name(spark, d):
+    """A model made by its name, trained, saved, made again and loaded: what it says of the articles."""
+    rows = _split(spark, d)
+    path = storage.new_path(spark, "model")
+    models.get_model("naive_bayes").train(rows.filter("NOT is_test"), _general(spark, d)).save(path)
+    return models.get_model("naive_bayes").load(spark, path).predict(rows, ("news_id", "sentiment", "is_test"))
+
+
 # Evaluation.
 
 
@@ -498,6 +579,27 @@ def confusion_matrix(spark, d):
     return evaluate.confusion_matrix(tested, "sentiment")
 
 
+@query
+def metrics_files(spark, d):
+    """The metrics row as JSON and as text with four decimals, both read back."""
+    metrics = evaluate.eval_metrics(_bayes_predictions(spark, d).filter("is_test"), "sentiment")
+    folder, text = storage.new_path(spark, "metrics"), storage.new_path(spark, "metrics-text")
+    sinks.write_metrics(metrics, folder)
+    sinks.write_metrics_text(metrics, "Model", text)
+    lines = spark.read.text(text, wholetext=True).filter("value <> ''").select(F.regexp_replace("value", "\n$", "").alias("lines"))
+    stored = spark.read.schema("n long, accuracy double, precision double, recall double, f1 double").json(folder)
+    return rounded(stored.join(lines), 4)
+
+
+@query
+def blend_parameters(spark, d):
+    """The tuned setting, written as JSON and read back."""
+    path = storage.new_path(spark, "blend")
+    sinks.write_blend(blend.blend_best(blend.blend_grid(_members(spark, d, "is_test"), "sentiment")), path)
+    found = spark.createDataFrame([sinks.read_blend(spark, path)], "pos_thresh double, weight double")
+    return rounded(found)
+
+
 # Daily aggregates and sequences.
 
 
@@ -654,6 +756,15 @@ def landed_training_frame(spark, d):
     )
 
 
+@query
+def backtest_files(spark, d):
+    """Return and Sharpe ratio per ticker, written as JSON by ticker and read back."""
+    path = storage.new_path(spark, "backtest")
+    value = storage.written(backtest.holding_value(t.stock_prices(spark, d, "user_id")), "value")
+    sinks.write_backtest_metrics(backtest.backtest_metrics(value), path)
+    return rounded(spark.read.schema("total_return double, sharpe_ratio double, ticker string").json(path))
+
+
 # Charts.
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,23 +33,33 @@ def blend_predict(
     return members.withColumns({**shares, "prediction": best_label(shares)})
 
 
+def _right(shares: dict[str, Column], label: Column) -> Column:
+    """Whether the blend's first best label is ``label``, by plain comparisons."""
+    tests = None
+    for i, own in enumerate(LABELS):
+        before = [shares[own] > shares[other] for other in LABELS[:i]]
+        after = [shares[own] >= shares[other] for other in LABELS[i + 1 :]]
+        best = reduce(Column.__and__, [*before, *after])
+        tests = F.when(label == own, best) if tests is None else tests.when(label == own, best)
+    return tests.otherwise(False)
+
+
 def blend_grid(members: DataFrame, label: str = "label") -> DataFrame:
     """(pos_thresh, weight, accuracy) of all 35 settings in one pass over the data.
 
-    Each narrow row is unfolded over the fixed grid and folded to 35 partial
-    means per task at once; only those are shuffled.
+    Every setting is one counter of the same aggregate: rows are not unfolded, a task
+    sends one row, and the 35 counts are laid out as rows at the end.
     """
-    i = F.col("_i")
-    threshold = F.floor(i / N_WEIGHTS) * F.lit(THRESHOLD_STEP)
-    weight = F.lit(WEIGHT_START) + (i % N_WEIGHTS) * F.lit(WEIGHT_STEP)
-    points = F.sequence(F.lit(0), F.lit(N_THRESHOLDS * N_WEIGHTS - 1))
-    said = best_label(blend_shares(F.col("compound"), F.col("pos_thresh"), F.col("weight")))
-    return (
-        members.select(*LABELS, "compound", F.col(label).alias("_true"), F.explode(points).alias("_i"))
-        .withColumns({"pos_thresh": threshold, "weight": weight})
-        .groupBy("pos_thresh", "weight")
-        .agg(F.avg((said == F.col("_true")).cast("double")).alias("accuracy"))
-    )
+    settings = []
+    for i in range(N_THRESHOLDS * N_WEIGHTS):
+        settings.append((i // N_WEIGHTS * THRESHOLD_STEP, WEIGHT_START + i % N_WEIGHTS * WEIGHT_STEP))
+    right = [_right(blend_shares(F.col("compound"), F.lit(t), F.lit(w)), F.col(label)) for t, w in settings]
+    counts = members.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(r).alias(f"right_{i}") for i, r in enumerate(right)])
+    rows = [
+        F.struct(F.lit(t).alias("pos_thresh"), F.lit(w).alias("weight"), (F.col(f"right_{i}") / F.col("n")).alias("accuracy"))
+        for i, (t, w) in enumerate(settings)
+    ]
+    return counts.filter("n > 0").select(F.inline(F.array(*rows)))
 
 
 def blend_best(grid: DataFrame) -> DataFrame:

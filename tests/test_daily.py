@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from marketmood.functions.labels import LABELS
 from marketmood.operators import daily, forecast, evaluate, learned, sequences, split
 
 D = dt.date(2024, 1, 1)
@@ -115,6 +116,42 @@ def test_user_model_runs_on_batches(spark):
     assert got == {1: ("bullish", [3.0, 1.0]), 2: ("neutral", [0.0, 0.0]), 3: ("neutral", [0.0, 0.0])}
 
 
+def counting_model():
+    class CountingModel:
+        """Vectors of a token's id; fails on a batch of more places than allowed."""
+
+        labels = ("bullish", "neutral", "bearish")
+
+        def tokens(self, text):
+            return [len(w) for w in text.split()]
+
+        def __call__(self, ids, mask):
+            assert ids.shape == mask.shape and (ids.size <= 64 or len(ids) == 1) and ids.shape[1] <= 16
+            scores = np.stack([(ids == k).sum(axis=1) / mask.sum(axis=1) for k in (1, 2, 3)], axis=1)
+            return np.stack([ids, np.ones_like(ids)], axis=2).astype("float32"), scores
+
+    return CountingModel
+
+
+def test_pooled_inference_of_long_and_short_texts(spark):
+    long = " ".join(["aa"] * 15_000 + ["bbb"] * 5_000)
+    texts = ["a bb bb", "", None, long, "ccc " * 17, "x"] + [f"{'y ' * (i % 9)}zz zz" for i in range(60)]
+    docs = spark.createDataFrame([(i, t, "old") for i, t in enumerate(texts)], "news_id int, cleaned_text string, sentiment string").coalesce(2)
+    found = {r["news_id"]: r for r in learned.infer_pooled(docs, counting_model(), 2, chunk_tokens=16, batch_tokens=64).collect()}
+    assert set(found) == set(range(len(texts)))
+    for i, text in enumerate(texts):
+        sizes = [len(w) for w in (text or "").split()]
+        want = [sum(sizes) / len(sizes), 1.0] if sizes else [0.0, 0.0]
+        assert list(found[i]["embedding"]) == pytest.approx(want, rel=1e-6)
+        counts = [sizes.count(k) for k in (1, 2, 3)]
+        assert found[i]["sentiment"] == (LABELS[counts.index(max(counts))] if sizes else "neutral")
+    # Batches hold chunks of like length and few places.
+    sizes = [1, 16, 16, 3, 2, 16, 15, 1, 4]
+    batches = list(learned._buckets(sizes, 32))
+    assert sorted(i for b in batches for i in b) == list(range(len(sizes)))
+    assert all(len(b) * max(sizes[i] for i in b) <= 32 for b in batches)
+
+
 def feature_rows(spark, sizes, step=3):
     rows = [
         (t, D + dt.timedelta(days=i * step), [float(i), 0.5], float(100 + i))
