@@ -45,7 +45,7 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLE
     a cut falls inside their run and moving it would unbalance the shards. A shard's size
     is off the target by at most one row and twice the tolerance. slot counts from 0 in
     each shard without gaps; which of several equal rows gets which slot is not defined.
-    text_crc32 is null for a null text. Empty tables give no rows; other columns are not
+    text_crc32 of a null text is that of an empty one. Empty tables give no rows; other columns are not
     read. A text of any number of copies is divided among ranges by id.
     """
     spark = docs.sparkSession
@@ -54,7 +54,7 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLE
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
-        F.crc32(text).alias("text_crc32"),
+        F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"),
         F.unhex(F.coalesce(F.md5(text.cast("binary")), F.lit(""))).alias("digest"),
     )
     order = ["digest", "doc_id", "size"]

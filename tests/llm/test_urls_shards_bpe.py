@@ -60,7 +60,7 @@ def test_shards_are_contiguous_balanced_and_gapless(spark, make_docs):
         assert sorted(r["slot"] for r in own) == list(range(len(own)))
         assert abs(sum(r["size"] for r in own) - total / 8) <= total / 8 * 2 * shards.TOLERANCE + max(r["size"] for r in found)
     crcs = sorted((r["doc_id"], r["size"], r["text_crc32"]) for r in found if r["doc_id"] is not None)
-    want = sorted(((d, len((t or "").encode()) + 1, None if t is None else zlib.crc32(t.encode())) for d, t in rows if d is not None), key=str)
+    want = sorted(((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t in rows if d is not None), key=str)
     assert sorted(crcs, key=str) == want
     where = {}
     for r in found:
@@ -109,7 +109,7 @@ def test_bpe_equals_the_library(spark, make_docs, own, library, sf_dir):
         assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
 
 
-def test_items_inside_documents(make_docs, spark):
+def test_items_inside_documents(make_docs, spark, monkeypatch):
     draw = random.Random(8)
     word = lambda: "k%d" % draw.randrange(300)
     items = [(i, " ".join(word() for _ in range(draw.choice([1, 2, 4, 5, 6, 8, 20, 40])))) for i in range(40)]
@@ -127,11 +127,12 @@ def test_items_inside_documents(make_docs, spark):
     docs += [(70, None), (71, ""), (None, items[5][1]), (5, items[6][1]), (5, items[6][1]), (72, "only null id ITEM here now")]
     table = spark.createDataFrame(items, "item_id long, text string")
     want = brute.held_items(docs, items)
-    for block_bytes in (decontaminate.BLOCK_BYTES, 400):
-        found = decontaminate.find_items(make_docs(docs), table, block_bytes=block_bytes).collect()
+    for bits in (decontaminate.MOST_BITS, 12):
+        monkeypatch.setattr(decontaminate, "MOST_BITS", bits)
+        found = decontaminate.find_items(make_docs(docs), table).collect()
         assert sorted((tuple(r)[:4] for r in found), key=str) == want
     held = {d for d, *_ in want}
-    clean = decontaminate.clean(make_docs(docs), table, block_bytes=400).collect()
+    clean = decontaminate.clean(make_docs(docs), table).collect()
     assert sorted((r["doc_id"] for r in clean), key=str) == sorted((d for d, _ in docs if d not in held), key=str)
     assert decontaminate.find_items(make_docs(docs), table.limit(0)).count() == 0
     assert decontaminate.find_items(make_docs([]), table).count() == 0
