@@ -55,7 +55,7 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLE
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"),
-        F.unhex(F.coalesce(F.md5(text.cast("binary")), F.lit(""))).alias("digest"),
+        F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary"))).alias("digest"),
     )
     order = ["digest", "doc_id", "size"]
     ordered = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
