@@ -21,7 +21,7 @@ from xxhash import xxh3_64_intdigest as digest
 from marketmood.llm.common import added_schema, sliced
 
 # Pre-tokens remembered within a task; short ones only, so memory is bounded.
-REMEMBERED = 400_000
+REMEMBERED = 120_000
 REMEMBERED_BYTES = 48
 _GROUP = 2
 

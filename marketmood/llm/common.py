@@ -40,6 +40,8 @@ def sliced(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
             rows = max(1, batch.num_rows * BATCH_BYTES // max(1, batch.nbytes))
             for at in range(0, batch.num_rows, rows):
                 yield batch.slice(at, rows)
+        # Workers live on from task to task; what a task needed goes back to the machine.
+        pa.default_memory_pool().release_unused()
 
     return cut
 
