@@ -46,9 +46,9 @@ PERCENT = 75
 # A list up to this long gives all its pairs, a longer one links to its leader.
 SHORT_LIST = 24
 # Rounds with shingles moved to the end, before the waves.
-ROUNDS = 3
+ROUNDS = 2
 # Leaders of a list in the first wave, and how many times as many in each further one.
-LEADERS = 8
+LEADERS = 16
 # Shingles counted together by a task, and how often one stands there to be reported.
 COUNTED = 1 << 20
 REPORTED = 3
