@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -96,13 +98,18 @@ LANDED = f"{NEWS}, from_date STRING, to_date STRING"
 
 
 def land_news(fetched: DataFrame, path: str, from_date: str, to_date: str) -> DataFrame:
-    """Append the rows of tickers not landed for this range; return the range's rows.
+    """Land the rows of tickers not landed for this range; return the range's rows.
 
     Written per range and ticker. Rows are rebalanced by ticker, which packs small
     tickers together and splits a large one over several files. Of what is landed only
     the folders of this range are read. ``news_id`` is a hash of the range and the row,
     with the row's ordinal among equal ones: it never depends on other rows, so a
     repeated task or a later landing gives the same ids.
+
+    Files are staged beside the table, where readers do not look, and a ticker's folder
+    is published by one rename that fails if the folder is there. A run that ends early
+    leaves whole tickers or none, and of two runs of one range the first to publish a
+    ticker lands it. This needs a file system with an atomic rename of folders.
     """
     spark = fetched.sparkSession
     rows = fetched.withColumns({"from_date": F.lit(from_date), "to_date": F.lit(to_date)})
@@ -117,17 +124,47 @@ def land_news(fetched: DataFrame, path: str, from_date: str, to_date: str) -> Da
     once = rows.join(small(again), "_key", "left_anti").select(*own, F.lit(1).cast("long").alias("_copy"))
     many = rows.join(small(again), "_key", "left_semi").groupBy(*own).count()
     many = many.select(*own, F.explode(F.sequence(F.lit(1).cast("long"), "count")).alias("_copy"))
+    staged = f"{path.rstrip('/')}/_staged-{uuid.uuid4().hex}"
     (
         once.unionByName(many).withColumn("news_id", F.xxhash64(*own, "_copy"))
         .select("news_id", *NEWS_COLUMNS, "from_date", "to_date")
         .hint("rebalance", "ticker")
-        .write.mode("append")
-        .partitionBy("from_date", "to_date", "ticker")
-        .parquet(path)
+        .write.partitionBy("from_date", "to_date", "ticker")
+        .parquet(staged)
     )
+    _publish(spark, staged, path)
     return _range(spark, path, from_date, to_date).drop("from_date", "to_date")
 
 
+def _publish(spark: SparkSession, staged: str, path: str) -> list[str]:
+    """Rename each staged ticker's folder to its place; the names of those that were free.
+
+    The loop goes over the folders of one landing, a name each; no file passes the driver.
+    """
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    place = hadoop.Path(staged)
+    files = place.getFileSystem(conf)
+    place = files.makeQualified(place)
+    context = hadoop.FileContext.getFileContext(place.toUri(), conf)
+    options = spark._sc._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+    files.mkdirs(hadoop.Path(path))
+    done = []
+    for found in files.globStatus(hadoop.Path(place, "from_date=*/to_date=*/ticker=*")) or ():
+        source = found.getPath()
+        folder = hadoop.Path(f"{path}/{source.getParent().getParent().getName()}/{source.getParent().getName()}")
+        files.mkdirs(folder)
+        target = files.makeQualified(hadoop.Path(folder, source.getName()))
+        try:
+            context.rename(source, target, options)
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" not in error.java_exception.getClass().getName():
+                raise
+        else:
+            done.append(target.getName())
+    files.delete(place, True)
+    return done
+
+
 def _range(spark: SparkSession, path: str, from_date: str, to_date: str) -> DataFrame:
     """The landed rows of one range; other ranges' folders are pruned."""
     landed = spark.read.schema(LANDED).parquet(path)

@@ -82,6 +82,47 @@ def test_landing_reuses_what_is_there(spark, tmp_path):
     assert third.count() == 2 and spark.read.schema(news.LANDED).parquet(path).count() == 4
 
 
+RANGE = ("2024-01-01", "2024-01-31")
+
+
+def test_two_runs_of_one_range_land_a_ticker_once(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "landing")
+    ours = news.typed(fetched(spark, [("2024-01-01", "ours", "", "", t, "newsapi") for t in ("A", "B", "x/y z")]))
+    theirs = news.typed(fetched(spark, [("2024-01-02", "theirs", "", "", t, "newsapi") for t in ("B", "C")]))
+    publish = news._publish
+
+    def after_the_other_run(session, staged, place):
+        monkeypatch.setattr(news, "_publish", publish)
+        news.land_news(theirs, path, *RANGE)
+        return publish(session, staged, place)
+
+    monkeypatch.setattr(news, "_publish", after_the_other_run)
+    landed = news.land_news(ours, path, *RANGE)
+    want = [("A", "ours"), ("B", "theirs"), ("C", "theirs"), ("x/y z", "ours")]
+    assert sorted((r["ticker"], r["title"]) for r in landed.collect()) == want
+    assert not list((tmp_path / "landing").glob("_staged*"))
+    again = news.land_news(ours, path, *RANGE)
+    assert sorted((r["ticker"], r["title"]) for r in again.collect()) == want
+
+
+def test_a_run_that_ends_early_shows_whole_tickers_or_none(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "landing")
+    rows = news.typed(fetched(spark, [("2024-01-01", f"t{i}", "", "", t, "newsapi") for t in "AB" for i in range(20)]))
+
+    def killed(*_):
+        raise RuntimeError("killed")
+
+    publish = news._publish
+    monkeypatch.setattr(news, "_publish", killed)
+    with pytest.raises(RuntimeError):
+        news.land_news(rows, path, *RANGE)
+    assert not news._exists(spark, path)
+    monkeypatch.setattr(news, "_publish", publish)
+    assert news.land_news(rows.filter("ticker = 'A'"), path, *RANGE).count() == 20
+    assert news.land_news(rows, path, *RANGE).count() == 40
+    assert news.land_news(rows.limit(0), str(tmp_path / "empty"), *RANGE).count() == 0
+
+
 def test_landing_keeps_tickers_and_ids_apart(spark, tmp_path):
     path = str(tmp_path / "landing")
     rows = [("2024-01-01", "t", "", "", x, "newsapi") for x in ("0700", "700", "1E5", "700")]
