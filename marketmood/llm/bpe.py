@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from xxhash import xxh3_64_intdigest as digest
 
-from marketmood.llm.common import added_schema, sliced
+from marketmood.llm.common import added_schema, sliced, texts_of
 
 # Pre-tokens remembered within a task; short ones only, so memory is bounded.
 REMEMBERED = 120_000
@@ -162,8 +162,8 @@ def encode_texts(
     The columns of ``docs`` (or those in ``carry``) with n_tokens long, ids_sha256 string
     (ids as little-endian unsigned 32-bit integers), decoded_sha256 string and, by
     default, ids array<int> and decoded string added; columns of these names are
-    replaced. A null text is encoded like an empty one: no tokens. Repeated rows and
-    null ids are kept as they are.
+    replaced. A null text is encoded like an empty one: no tokens. Bytes of a text that
+    are not UTF-8 are encoded as U+FFFD. Repeated rows and null ids are kept as they are.
     """
     added = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
     added |= {"ids": "array<int>"} if with_ids else {}
@@ -174,7 +174,7 @@ def encode_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, digests, back, ids_out, decoded = [], [], [], [], []
-            for text in batch.column("text").to_pylist():
+            for text in texts_of(batch.column("text")):
                 ids = tokenizer.encode(text or "")
                 raw = tokenizer.decode(ids)
                 counts.append(len(ids))

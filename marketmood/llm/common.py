@@ -86,6 +86,11 @@ def by_batch(work: Callable[[dict], dict], schema: pa.Schema):
     return run
 
 
+def texts_of(column: pa.Array) -> list[str | None]:
+    """Strings of a text column; bytes that are not UTF-8 become U+FFFD."""
+    return [None if t is None else t.decode("utf-8", "replace") for t in column.cast(pa.binary()).to_pylist()]
+
+
 def split_words(text: bytes | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+``: ``bytes.split`` breaks at exactly these six bytes."""
     return text.split() if text else []

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketmood.llm.common import added_schema, mix, sliced, stored
+from marketmood.llm.common import added_schema, mix, sliced, stored, texts_of
 
 # The model is fitted on about this many texts of each language, chosen by id hash.
 TEXTS_PER_LANGUAGE = 3_000
@@ -121,7 +121,8 @@ def fit(docs: DataFrame, where: Column, texts: int = TEXTS_PER_LANGUAGE) -> Filt
 
     n-grams are counted by Spark over about ``texts`` texts of each language. Every
     language is learned: the table grows by a 64-bit word a slot per 64 languages, and
-    n-grams are collected for BLOCK_LANGUAGES languages at a time.
+    n-grams are collected for BLOCK_LANGUAGES languages at a time. Texts are chosen by the
+    hash of the id: rows that repeat an id are all chosen or none, and each counts.
     """
     rows = docs.filter(where & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     sizes = rows.groupBy("lang").count().orderBy("lang").collect()
@@ -139,7 +140,7 @@ def fit(docs: DataFrame, where: Column, texts: int = TEXTS_PER_LANGUAGE) -> Filt
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own: dict[str, list[np.ndarray]] = {}
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+            for lang, text in zip(batch.column("lang").to_pylist(), texts_of(batch.column("text"))):
                 own.setdefault(lang, []).append(grams(text, letters))
             for lang, parts in own.items():
                 gram, n = np.unique(np.concatenate(parts), return_counts=True)
@@ -180,7 +181,8 @@ def identify(docs: DataFrame, model: Filters, carry: list[str] | None = None) ->
     A null text, one without a letter, or a model without languages gives ``und`` with
     score 0; a text none of whose n-grams is known gets the most frequent language, with
     its share. Equal shares go to the name first in order. Columns of ``docs`` (or those
-    in ``carry``) come first; equal names are replaced. Nothing is shuffled.
+    in ``carry``) come first; equal names are replaced. Bytes that are not UTF-8 are no
+    letters. Nothing is shuffled.
     """
     added = {"lang_pred": "string", "score": "double"}
     carried = [c for c in carry or docs.columns if c not in added]
@@ -189,7 +191,7 @@ def identify(docs: DataFrame, model: Filters, carry: list[str] | None = None) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [model.predict(t, rates) for t in batch.column("text").to_pylist()]
+            rows = [model.predict(t, rates) for t in texts_of(batch.column("text"))]
             columns = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), *columns], [*carried, *added])
 

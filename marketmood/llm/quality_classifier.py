@@ -92,7 +92,8 @@ def fit(docs: DataFrame, labels: DataFrame, where: Column, rows: int = LABELLED_
     The ids are chosen by their hash; every second one serves the dictionaries, the rest
     the calibration. Labels are few by ``rows`` and are broadcast, so no text moves;
     PIECES_PER_LABEL pieces of text per label reach the driver. Null ids and labels do
-    not count; without labels every text scores 0.5.
+    not count; of a repeated id the larger label holds, all its texts serve a dictionary
+    and one of them the calibration. Without labels every text scores 0.5.
     """
     chosen = (
         labels.filter("doc_id is not null and quality is not null")

@@ -23,6 +23,8 @@ from marketmood.llm.common import sliced
 DEFAULT_VERDICT = "allow"
 # Sampled keys per range: they decide where ranges end, never which rows are read.
 KEYS_PER_RANGE = 50
+# Ranges, and so sampled keys that reach the driver.
+MOST_RANGES = 10_000
 _END = "\x01"
 RULES = (
     ("com", "/", "allow"),
@@ -112,7 +114,7 @@ def judge_pages(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDI
     one host, so the repeats are few.
     """
     spark = pages.sparkSession
-    ranges = ranges or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranges = ranges or min(MOST_RANGES, max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "url")
     salt = F.xxhash64("page_id", "url")
     rows = rows.select("page_id", "host", "path", key_of(F.col("host")).alias("key"), salt.alias("salt"), F.lit(1).alias("kind"), F.lit(None).cast("string").alias("verdict"))

@@ -112,6 +112,12 @@ def test_clashing_names_of_shards_and_links(spark):
     assert sorted(tuple(r) for r in jaccard_join.link_documents(docs).collect()) == [(1, 2, 1), (1, 2, 1), (2, 0, 2)]
 
 
+@pytest.mark.parametrize("name", sorted(KEEPING))
+def test_bytes_that_are_no_text(spark, name):
+    docs = spark.range(3).select(F.col("id").alias("doc_id"), F.expr("cast(unhex(concat('61FF62', hex(id), 'C3')) as string)").alias("text"))
+    assert KEEPING[name](docs).count() == 3
+
+
 def test_output_is_cut_by_bytes():
     import pyarrow as pa
 
