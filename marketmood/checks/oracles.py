@@ -527,7 +527,7 @@ BODIES = {
             FROM holding_ret GROUP BY 1)""",
     "infer_pooled": f"""
         SELECT news_id, {_best({"bullish": "b", "neutral": "u", "bearish": "e"}, _ORDER)} AS sentiment, CAST(pos AS INTEGER) AS pos,
-               {_r("CAST([x0, x1, x2][pos + 1] AS DOUBLE)", 3)} AS x
+               {_r("CAST(CAST([x0, x1, x2][pos + 1] AS FLOAT) AS DOUBLE)", 5)} AS x
         FROM (SELECT news_id, avg(length(w)) AS x0, avg(unicode(w) % 7) AS x1, avg(CAST(length(w) % 2 = 0 AS INTEGER)) AS x2,
                      count(*) FILTER (length(w) % 3 = 0) AS b, count(*) FILTER (length(w) % 3 = 1) AS u,
                      count(*) FILTER (length(w) % 3 = 2) AS e

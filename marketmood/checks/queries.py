@@ -551,7 +551,7 @@ def infer_pooled(spark, d):
     """Token vectors of whole texts in batches of like length, pooled to one vector a text."""
     rows = learned.infer_pooled(_processed(spark, d), LetterModel, 3, chunk_tokens=256, batch_tokens=4096)
     return rounded(
-        rows.select("news_id", "sentiment", F.posexplode("embedding").alias("pos", "x")).withColumn("x", F.col("x").cast("double")), 3
+        rows.select("news_id", "sentiment", F.posexplode("embedding").alias("pos", "x")).withColumn("x", F.col("x").cast("double")), 5
     )
 
 
