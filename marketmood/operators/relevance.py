@@ -44,10 +44,15 @@ def index_articles(articles: DataFrame, text: str, words: DataFrame | None = Non
     without words, or with none of ``words``, is counted and in no block.
     """
     listed = vector_words(F.col(text))
-    rows = articles.select("ticker", "news_id", F.size(listed).alias("length"), F.inline(counted(F.array_append(listed, F.lit(_ANY)))))
-    if words is not None:
+    own = ["ticker", "news_id", "length"]
+    rows = articles.select(*own[:2], F.size(listed).alias("length"), F.array_append(listed, F.lit(_ANY)).alias("_words"))
+    if words is None:
+        rows = rows.select(*own, F.inline(counted(F.col("_words"))))
+    else:
+        # Most words meet nothing, so they are counted after the join, by task before the shuffle.
         wanted = words.select("token").unionByName(articles.sparkSession.createDataFrame([(_ANY,)], "token string")).distinct()
-        rows = in_pieces(rows, written(wanted, "index-words"), "token", "left_semi").select("ticker", "news_id", "length", "token", "n")
+        met = in_pieces(rows.select(*own, F.explode("_words").alias("token")), written(wanted, "index-words"), "token", "left_semi")
+        rows = met.groupBy(*own, "token").agg(F.count(F.lit(1)).alias("n"))
     rows = written(rows, "occurrences")
     frequencies = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("length").alias("length"))
     frequencies = written(frequencies, "frequencies")
