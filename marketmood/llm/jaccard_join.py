@@ -18,8 +18,8 @@ that the pass over all sets finds frequent, such as those of passages that unlik
 documents share. Shingles of long lists that still hold several components are moved
 behind them, and the sets concerned are joined again under the new order. Any order is
 valid, so no link is lost. Lists that are open after that are gone through in waves: the
-first members of a list, LEADERS times as many in each wave, meet its members of other
-components; what they link is one component before the next wave, and a list of one
+first members of a list, LEADERS times as many in each wave, are compared with its members
+of other components by their bitmaps; what they link is one component before the next wave, and a list of one
 component is closed. So a large group of near copies costs a multiple of its size in
 pairs, and a list of unlike documents ends with all its pairs tried. Pairs pass a bitmap
 bound on the symmetric difference and are verified on the texts.
@@ -59,7 +59,7 @@ LARGEST_SMALL = 64
 # Prefixes reach so far that one in this many of a set's shingles is shared within them.
 SHARED_PART = 20
 # Bits of a set's bitmap: a power of two, at least this and at least the set's size.
-LEAST_BITS = 256
+LEAST_BITS = 1024
 # The place of a document without an id.
 LAST = (1 << 63) - 1
 # Candidate pairs, and documents, taken at a time.
@@ -318,34 +318,45 @@ def _scan_lists(keys: DataFrame, boundary: int, limit: int, percent: int) -> Dat
     return ordered.mapInArrow(sliced(run), "kind int, a long, b long, need int")
 
 
+def _folded(bits: bytes) -> np.ndarray:
+    """A bitmap of LEAST_BITS, to which longer ones are folded; differences never grow."""
+    return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint64).reshape(-1, LEAST_BITS // 64), axis=0)
+
+
 def _scan_wave(members: DataFrame, leaders: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of each list's first ``leaders`` members and its members of other labels.
+    """The pairs (a, b) of each list's first ``leaders`` members and its members of other
+    labels that their bitmaps do not rule out.
 
-    ``members`` are (key, place, node, n, label). Lists are read as a stream that holds
-    the leaders alone.
+    ``members`` are (key, place, node, n, label, bits). Lists are read as a stream that
+    holds the leaders alone; the pairs are compared in blocks and few leave the task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, first = None, [np.empty(0, np.int64)] * 3
+        here, first = None, []
         for batch in batches:
+            if not batch.num_rows:
+                continue
             key, *rows = (batch.column(c).to_numpy() for c in ("key", "node", "n", "label"))
-            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]).tolist() if len(key) else []
+            rows.append(np.stack([_folded(b) for b in batch.column("bits").to_pylist()]))
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]).tolist()
             for s, e in zip(starts, [*starts[1:], len(key)]):
+                own = [x[s:e] for x in rows]
                 if key[s] != here:
                     here, first = key[s], [x[:0] for x in rows]
-                own = [x[s:e] for x in rows]
-                first = [np.r_[f, x[: leaders - len(f)]] for f, x in zip(first, own)]
-                nodes, sizes, labels = own
+                first = [np.concatenate([f, x[: leaders - len(f)]]) for f, x in zip(first, own)]
+                nodes, sizes, labels, words = own
                 step = max(1, BLOCK // len(nodes))
                 for at in range(0, len(first[0]), step):
-                    node, n, label = (f[at : at + step, None] for f in first)
-                    low, high = np.minimum(sizes, n), np.maximum(sizes, n)
-                    which, other = np.nonzero((high * percent <= low * 100) & (labels != label))
-                    a, b = node[which, 0], nodes[other]
+                    node, n, label, bits = (f[at : at + step] for f in first)
+                    low, high = np.minimum(sizes, n[:, None]), np.maximum(sizes, n[:, None])
+                    which, other = np.nonzero((high * percent <= low * 100) & (labels != label[:, None]))
+                    differ = np.bitwise_count(bits[which] ^ words[other]).sum(axis=1, dtype=np.int64)
+                    fits = (100 + percent) * differ <= (100 - percent) * (n[which] + sizes[other])
+                    a, b = node[which[fits]], nodes[other[fits]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     parts = max(2, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = members.select("key", "place", "node", "n", "label").repartition(parts, "key").sortWithinPartitions("key", "place", "node")
+    ordered = members.select("key", "place", "node", "n", "label", "bits").repartition(parts, "key").sortWithinPartitions("key", "place", "node")
     return ordered.mapInArrow(sliced(run), "a long, b long").distinct()
 
 
@@ -541,7 +552,7 @@ def _components(docs: DataFrame, percent: int, rounds: int, short_list: int) ->
         wanted = open_nodes.join(nodes.select("node", "doc_id"), "node").join(if_small(labels), "node", "left")
         wanted = stored(wanted.select("doc_id", "node", "label"), "open-nodes")
 
-    placed = nodes.select("node", "n", F.coalesce("doc_id", F.lit(LAST)).alias("place"))
+    placed = nodes.select("node", "n", F.coalesce("doc_id", F.lit(LAST)).alias("place"), "bits")
     leaders = LEADERS
     while True:
         members = stored(members.join(if_small(open_lists.select("key")), "key", "left_semi"), "members")
