@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from marketmood.functions.labels import LABELS, best_label, softmax
 from marketmood.functions.text import counted, vector_words
-from marketmood.storage import in_pieces, written
+from marketmood.storage import fits, in_pieces, written
 
 PRIOR = ""
 
@@ -69,13 +69,16 @@ def count_words(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(token, bullish, neutral, bearish) of (text, label) rows: how often a word has a label.
 
     The empty word counts the texts. With ``known`` (token, written) words outside it are
-    dropped before the shuffle. Counts of two corpora add up to those of both, so they
+    dropped, before the shuffle if it can be broadcast and else from the counts. Counts of two corpora add up to those of both, so they
     are what a fitted model keeps; weights follow from them.
     """
     words = docs.select("label", F.explode(_with_prior(vector_words(F.col("text")))).alias("token"))
-    if known is not None:
-        words = in_pieces(words, known.select("token"), "token", "left_semi")
-    return _label_counts(words)
+    if known is None:
+        return _label_counts(words)
+    kept = known.select("token")
+    if fits(kept):
+        return _label_counts(words.join(F.broadcast(kept), "token", "left_semi"))
+    return _label_counts(words).join(kept, "token", "left_semi")
 
 
 def continue_counts(counts: DataFrame, docs: DataFrame) -> DataFrame:
@@ -111,20 +114,25 @@ def fit_counts(specific: DataFrame, general: DataFrame | None = None) -> DataFra
 def joint_scores(docs: DataFrame, weights: DataFrame, keep: list[str], text: str) -> DataFrame:
     """``keep`` columns plus one log score per label.
 
-    ``keep`` must identify a row. Words are counted in their row and meet their weights
-    by broadcast, of a large model in pieces; sums are combined per text before the
-    shuffle, so what moves is one narrow row per text and piece, never its words.
-    ``weights`` are written.
+    ``keep`` must identify a row. Words meet their weights by broadcast, of a large model
+    those of its frequent words (``in_pieces``); sums are combined per text before the
+    shuffle, so what moves is one narrow row per text and part, and of a model beyond some
+    broadcasts the rare words. ``weights`` are written.
     """
-    words = docs.select(*keep, F.inline(counted(_with_prior(vector_words(F.col(text))))))
+    words = docs.select(*keep, F.explode(_with_prior(vector_words(F.col(text)))).alias("token"))
     return (
-        in_pieces(words, weights, "token")
+        in_pieces(words, weights, "token", often=_frequency(weights))
         .groupBy(*keep)
-        .agg(*[F.sum(F.col("n") * F.col(_weight(l))).alias(l) for l in LABELS], *_absent(weights))
+        .agg(*[F.sum(_weight(l)).alias(l) for l in LABELS], *_absent(weights))
         .select(*keep, *[_drop_absent(l) for l in LABELS])
     )
 
 
+def _frequency(weights: DataFrame) -> Column:
+    """Higher for more frequent words: within a label a weight grows with the count."""
+    return F.greatest(*[F.col(_weight(l)) for l in LABELS])
+
+
 def _absent(weights: DataFrame) -> list[Column]:
     """Per label the prior alone: NULL marks a label never seen in training."""
     prior = F.col("token") == PRIOR
@@ -173,7 +181,7 @@ def tfidf(docs: DataFrame, idf: DataFrame, keep: list[str], text: str) -> DataFr
     scaled and unfolded, so nothing is sorted. ``keep`` must identify a row.
     """
     words = docs.select(*keep, F.inline(counted(vector_words(F.col(text)))))
-    weighted = in_pieces(words, idf.select("token", "idf"), "token").select(
+    weighted = in_pieces(words, idf.select("token", "idf"), "token", often=-F.col("idf")).select(
         *keep, F.struct("token", (F.col("n") * F.col("idf")).alias("raw")).alias("_word")
     )
     squares = F.col("_word.raw") * F.col("_word.raw")
@@ -206,7 +214,7 @@ def joint_scores_tfidf(
     prior = F.col("token") == PRIOR
     raw = F.when(~prior, F.col("n") * F.col("idf"))
     words = in_pieces(
-        docs.select(*keep, F.inline(counted(_with_prior(vector_words(F.col(text)))))), weights, "token"
+        docs.select(*keep, F.inline(counted(_with_prior(vector_words(F.col(text)))))), weights, "token", often=-F.col("idf")
     )
     sums = words.groupBy(*keep).agg(
         F.sqrt(F.sum(raw * raw)).alias("_norm"),

@@ -8,11 +8,13 @@ from functools import reduce
 from pathlib import PurePosixPath
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BROADCAST_BYTES = 64 * 1024 * 1024
+# Pieces of the rarer rows of a table that are broadcast in turn; more are joined by a shuffle.
+PIECES = 4
 _FIELD_BYTES = 16
 
 _local_dirs: dict[str, str] = {}
@@ -74,26 +76,56 @@ def table_bytes(df: DataFrame) -> int:
     return df.agg(F.sum(size.cast("long"))).first()[0] or 0
 
 
+def fits(df: DataFrame, limit: int | None = None) -> bool:
+    """Whether a written or otherwise cheap table may be broadcast; it is read once."""
+    return table_bytes(df) <= (BROADCAST_BYTES if limit is None else limit)
+
+
 def small(df: DataFrame, limit: int | None = None) -> DataFrame:
     """``df`` marked for broadcast if its measured size allows it, else as it is.
 
     Beyond the limit the join shuffles, and adaptive execution splits a hot key.
     Call it on written or otherwise cheap tables: the check reads them once.
     """
-    return F.broadcast(df) if table_bytes(df) <= (BROADCAST_BYTES if limit is None else limit) else df
+    return F.broadcast(df) if fits(df, limit) else df
 
 
-def in_pieces(words: DataFrame, table: DataFrame, key: str, how: str = "inner", limit: int | None = None) -> DataFrame:
-    """``words`` joined with a written ``table`` on ``key``, the table by broadcast at any size.
+def in_pieces(
+    words: DataFrame, table: DataFrame, key: str, how: str = "inner", often: Column | None = None, limit: int | None = None
+) -> DataFrame:
+    """``words`` joined with a written ``table`` on ``key``; ``words`` are read at most three times.
 
-    A table beyond ``limit`` is cut by the hash of the key into pieces that fit, and the
-    pieces are broadcast in turn: ``words`` are read once per piece, but no word ever
-    moves. Inner and semi joins only, so the pieces' rows add up.
+    A table within ``limit`` is broadcast. Of a larger one the rows met most that fit are
+    broadcast, which settles nearly all words where they are. Words these rows lack are
+    written once and meet the rest of the table: by broadcast of up to PIECES pieces in turn,
+    cut by the hash of the key, or, if it is larger, by a shuffle of those few words. Time so
+    grows with words and table, not with their product. ``often`` is higher for rows of the
+    table that are met more; without it the words are counted first. Inner and semi joins
+    only, so the parts' rows add up.
     """
     limit = BROADCAST_BYTES if limit is None else limit
-    count = max(1, -(-table_bytes(table) // limit))
-    if count == 1:
+    size = table_bytes(table)
+    if size <= limit:
         return words.join(F.broadcast(table), key, how)
-    place = F.pmod(F.xxhash64(key), F.lit(count))
-    pieces = [words.join(F.broadcast(table.filter(place == i)), key, how) for i in range(count)]
-    return reduce(DataFrame.unionAll, pieces)
+    ranked = written(_ranked(words, table, key, often), "ranked")
+    bound = ranked.agg(F.percentile_approx("_often", 1 - limit / size, 10_000)).first()[0]
+    met_most = F.col("_often") > F.lit(bound)
+    most, rest = ranked.filter(met_most).drop("_often"), ranked.filter(~met_most).drop("_often")
+    lacking = written(words.join(F.broadcast(most.select(key)), key, "left_anti"), "lacking")
+    count = -(-table_bytes(rest) // limit)
+    parts = [words.join(F.broadcast(most), key, how)]
+    if count > PIECES:
+        parts.append(lacking.join(rest, key, how))
+    else:
+        place = F.pmod(F.xxhash64(key), F.lit(count))
+        parts += [lacking.join(F.broadcast(rest.filter(place == i)), key, how) for i in range(count)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _ranked(words: DataFrame, table: DataFrame, key: str, often: Column | None) -> DataFrame:
+    """``table`` with ``_often``, which is the same in all rows of a key and never NULL."""
+    if often is None:
+        met = words.groupBy(key).agg(F.count(F.lit(1)).cast("double").alias("_often"))
+        return table.join(met, key, "left").fillna(0.0, ["_often"])
+    highest = F.max(often.cast("double")).over(Window.partitionBy(key))
+    return table.withColumn("_often", F.coalesce(highest, F.lit(float("-inf"))))

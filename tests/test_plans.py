@@ -95,6 +95,36 @@ def test_large_word_tables_are_broadcast_in_pieces(spark, monkeypatch):
     assert [r["tfidf"] for r in again] == pytest.approx([r["tfidf"] for r in scaled])
 
 
+def test_texts_are_read_a_fixed_number_of_times_however_large_the_model(spark, monkeypatch):
+    """A model of many times the broadcast limit adds no pass over the texts."""
+    docs = written(
+        spark.range(40).select(
+            F.col("id").alias("news_id"), F.concat_ws(" ", *[F.concat(F.lit("word"), (F.col("id") * k) % 50) for k in range(9)]).alias("text")
+        ),
+        "docs",
+    )
+    weights = bayes.fit(docs.select("text", F.when(F.col("news_id") % 2 == 0, "bullish").otherwise("bearish").alias("label")))
+    whole = sorted(bayes.joint_scores(docs, weights, ["news_id"], "text").collect())
+    monkeypatch.setattr(storage, "BROADCAST_BYTES", 150)
+    assert storage.table_bytes(weights) > 20 * storage.BROADCAST_BYTES
+    parts = bayes.joint_scores(docs, weights, ["news_id"], "text")
+    assert plan_of(parts).count("explode(") <= 3
+    for a, b in zip(sorted(parts.collect()), whole, strict=True):
+        assert a["news_id"] == b["news_id"] and a["bullish"] == pytest.approx(b["bullish"]) and a["bearish"] == pytest.approx(b["bearish"])
+
+
+@pytest.mark.parametrize("how", ["inner", "left_semi"])
+@pytest.mark.parametrize("limit", [10_000, 400, 30])
+def test_word_joins_in_parts_are_plain_joins(spark, how, limit):
+    """Keys repeat and are null on both sides; the rows asked for are those of one join."""
+    words = written(spark.range(300).select("id", F.when(F.col("id") % 7 != 0, F.concat(F.lit("w0"), (F.col("id") * F.col("id")) % 37)).alias("token")), "words")
+    table = written(spark.range(60).select(F.when(F.col("id") % 9 != 0, F.concat(F.lit("w0"), F.col("id") % 29)).alias("token"), F.col("id").alias("x")), "table")
+    expected = sorted(words.join(table, "token", how).collect(), key=str)
+    for often in (None, F.col("x"), F.when(F.col("x") > 30, 1.0)):
+        found = storage.in_pieces(words, table, "token", how, often, limit)
+        assert expected and sorted(found.collect(), key=str) == expected
+
+
 def test_hot_ticker_day_gives_whole_results(spark):
     """A third of all news on one ticker and day."""
     start, n = dt.date(2024, 1, 1), 30000
