@@ -27,6 +27,8 @@ from marketmood.storage import written
 
 # Weight of the squared distance from the stage before, per row; from zero in the first.
 PULL, FIRST_PULL = 1e-3, 1e-3
+# Features a worker takes at once.
+BLOCK = 1 << 17
 _HISTORY, _HALVINGS, _DECREASE, _CONVERGED = 8, 12, 1e-4, 1e-7
 
 
@@ -47,11 +49,47 @@ def _features(text: Column, features: int) -> Column:
     return F.transform(counted(places), lambda word: F.struct(word["token"].cast("int").alias("at"), (1 + F.ln(word["n"])).alias("x")))
 
 
-def _matrix(batch: pa.RecordBatch, intercept: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, place, value) of a batch's features, each row of length 1, with the intercept."""
-    words = batch.column("words")
-    sizes = np.diff(words.offsets.to_numpy())
-    at, x = (c.to_numpy() for c in words.flatten().flatten())
+def _packed(rows: DataFrame) -> DataFrame:
+    """(label, at, x): a text's places and values as bytes, which Spark moves without looking inside."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in _blocks(batch, np.diff(batch.column("words").offsets.to_numpy())):
+                words = block.column("words")
+                ends = words.offsets.to_numpy() - words.offsets[0].as_py()
+                at, x = (c.to_numpy() for c in words.flatten().flatten())
+                yield pa.RecordBatch.from_arrays([block.column("label"), _bytes(ends, at.astype("<i4")), _bytes(ends, x.astype("<f8"))], ["label", "at", "x"])
+
+    return rows.select("label", "words").mapInArrow(run, "label int, at binary, x binary")
+
+
+def _bytes(ends: np.ndarray, values: np.ndarray) -> pa.Array:
+    """Each row's values as one binary value."""
+    offsets = (ends * values.itemsize).astype("<i4")
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _values(column: pa.Array, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """(values of all rows, number per row) of such a column."""
+    width = np.dtype(dtype).itemsize
+    ends = np.frombuffer(column.buffers()[1], "<i4")[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    whole = np.frombuffer(data, "u1") if data is not None else np.empty(0, "u1")
+    return whole[ends[0] : ends[-1]].view(dtype), np.diff(ends) // width
+
+
+def _blocks(batch: pa.RecordBatch, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of whole rows of BLOCK features at most, or of one longer row: what a
+    worker holds beside its batch does not grow with it."""
+    ends, at = np.r_[0, np.cumsum(sizes)], 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, ends[at] + BLOCK, "right")) - 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def _matrix(sizes: np.ndarray, at: np.ndarray, x: np.ndarray, intercept: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, value) of the features of texts, each row of length 1, with the intercept."""
     row = np.repeat(np.arange(len(sizes)), sizes)
     norm = np.sqrt(np.bincount(row, x * x, len(sizes)))
     every = np.arange(len(sizes))
@@ -68,12 +106,18 @@ def _shares(logits: np.ndarray) -> np.ndarray:
 
 
 def _objective(rows: DataFrame, weights: np.ndarray) -> tuple[float, float, np.ndarray]:
-    """(rows, summed log loss, its gradient) at these weights: one pass."""
+    """(rows, summed log loss, its gradient) at these weights: one pass over (label, words) rows,
+    or over what ``_packed`` makes of them."""
     shape = weights.shape
 
     def add(batch: pa.RecordBatch, sums: np.ndarray) -> None:
-        labels = batch.column("label").to_numpy()
-        row, at, x = _matrix(batch, shape[0] - 1)
+        for block in _blocks(batch, _values(batch.column("at"), "<i4")[1]):
+            add_block(block, sums)
+
+    def add_block(block: pa.RecordBatch, sums: np.ndarray) -> None:
+        labels = block.column("label").to_numpy()
+        places, sizes = _values(block.column("at"), "<i4")
+        row, at, x = _matrix(sizes, places, _values(block.column("x"), "<f8")[0], shape[0] - 1)
         shares = _shares(_logits(row, at, x, len(labels), weights))
         own = np.arange(len(labels))
         sums[0] += len(labels)
@@ -83,7 +127,7 @@ def _objective(rows: DataFrame, weights: np.ndarray) -> tuple[float, float, np.n
         for c in range(shape[1]):
             gradient[:, c] += np.bincount(at, x * shares[row, c], shape[0])
 
-    total = summed(rows, add, 2 + weights.size)
+    total = summed(rows if "at" in rows.columns else _packed(rows), add, 2 + weights.size)
     return total[0], total[1], total[2:].reshape(shape)
 
 
@@ -141,7 +185,7 @@ def fit(
     """
     label = recode(F.col("label"), LABEL_INDEX)
     ready = rows.select(label.cast("int").alias("label"), _features(F.col("text"), features).alias("words")).filter("label is not null")
-    ready = written(ready, "staged-features")
+    ready = written(_packed(ready), "staged-features")
     centre = before.weights if before is not None else np.zeros((features + 1, len(LABELS)))
     if len(centre) != features + 1:
         raise ValueError(f"the stage before has {len(centre) - 1} features, not {features}")
@@ -164,8 +208,12 @@ def predict(docs: DataFrame, model: Regression, keep: list[str], text: str) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shares = _shares(_logits(*_matrix(batch, len(weights) - 1), batch.num_rows, weights))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(shares[:, i]) for i in range(len(LABELS)))], [*keep, *LABELS])
+            for block in _blocks(batch, np.diff(batch.column("words").offsets.to_numpy())):
+                words = block.column("words")
+                at, x = (c.to_numpy() for c in words.flatten().flatten())
+                matrix = _matrix(np.diff(words.offsets.to_numpy()), at, x, len(weights) - 1)
+                shares = _shares(_logits(*matrix, block.num_rows, weights))
+                yield pa.RecordBatch.from_arrays([*(block.column(c) for c in keep), *(pa.array(shares[:, i]) for i in range(len(LABELS)))], [*keep, *LABELS])
 
     return ready.mapInArrow(run, schema).withColumn("prediction", best_label({l: F.col(l) for l in LABELS}))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,6 +34,22 @@ def test_gradient_is_that_of_the_loss(spark):
         assert (staged._objective(ready, ahead)[1] - loss) / 1e-6 == pytest.approx(gradient[tuple(place)], abs=1e-3)
 
 
+def test_a_worker_takes_its_batch_in_blocks(spark, monkeypatch):
+    """Whole rows, all of them, never more features at once than the bound but for one long text."""
+    monkeypatch.setattr(staged, "BLOCK", 10)
+    sizes = np.array([0, 4, 6, 1, 25, 0, 0, 10, 3])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sizes)))], ["row"])
+    blocks = [b.column("row").to_pylist() for b in staged._blocks(batch, sizes)]
+    assert sum(blocks, []) == list(range(len(sizes))) and len(blocks) == 5
+    assert all(sizes[b].sum() <= 10 or sizes[b].max() == sizes[b].sum() for b in blocks)
+    rows = spark.createDataFrame([(0, "b a b"), (1, None), (2, "aa bb aa cc")], "label int, text string").coalesce(1)
+    ready = rows.select("label", staged._features(F.col("text"), 32).alias("words"))
+    packed = {r["label"]: r for r in staged._packed(ready).collect()}
+    for row in ready.collect():
+        assert np.frombuffer(bytes(packed[row["label"]]["at"]), "<i4").tolist() == [w["at"] for w in row["words"]]
+        assert np.frombuffer(bytes(packed[row["label"]]["x"]), "<f8").tolist() == [w["x"] for w in row["words"]]
+
+
 def test_specific_stage_is_pulled_towards_the_general_one(spark):
     general = staged.fit(spark.createDataFrame(GENERAL, SCHEMA).coalesce(2), features=1 << 10, max_iter=6)
     specific = spark.createDataFrame(SPECIFIC, SCHEMA).coalesce(2)
