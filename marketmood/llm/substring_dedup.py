@@ -324,7 +324,8 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None, width: int =
             own = []
             for name in carried:
                 column = fields[name]
-                own.append(pa.array(texts, pa.binary()).cast(column.type) if name == "text" and with_text else column)
+                # An unsafe cast leaves bytes that are not UTF-8 as they are.
+                own.append(pa.array(texts, pa.binary()).cast(column.type, safe=False) if name == "text" and with_text else column)
             yield pa.RecordBatch.from_arrays([*own, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], [*carried, *added])
 
     return joined.mapInArrow(sliced(cut), added_schema(docs, carried, added))
