@@ -16,7 +16,9 @@ members to a leader, the document with the smallest id and so often the original
 near copies. The order has the shingles last
 that the pass over all sets finds frequent, such as those of passages that unlike
 documents share. Shingles of long lists that still hold several components are moved
-behind them, and the sets concerned are joined again under the new order. Any order is
+behind them, and the sets concerned are joined again under the new order: two sets whose
+link is still missed share all their prefix's common shingles in such open lists, so a
+set that stands in fewer of them than that is left out. Any order is
 valid, so no link is lost. Lists that are open after that are gone through in waves: the
 first members of a list, LEADERS times as many in each wave, are compared with its members
 of other components by their bitmaps; what they link is one component before the next wave, and a list of one
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
-from marketmood.llm.common import SHINGLE_WORDS, if_small, sliced, stored, window_hashes
+from marketmood.llm.common import BROADCAST_BYTES, SHINGLE_WORDS, if_small, sliced, size_of, stored, window_hashes
 from marketmood.llm.components import components
 from marketmood.llm.wordscan import WordScanner
 
@@ -323,11 +325,12 @@ def _folded(bits: bytes) -> np.ndarray:
     return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint64).reshape(-1, LEAST_BITS // 64), axis=0)
 
 
-def _scan_wave(members: DataFrame, leaders: int, percent: int) -> DataFrame:
+def _scan_wave(members: DataFrame, placed: DataFrame, leaders: int, percent: int) -> DataFrame:
     """The pairs (a, b) of each list's first ``leaders`` members and its members of other
     labels that their bitmaps do not rule out.
 
-    ``members`` are (key, place, node, n, label, bits). Lists are read as a stream that
+    ``members`` are (key, node), ``placed`` their (node, place, n, label, bits). Few
+    of these go to every task, so that only (key, node) is dealt out. Lists are read as a stream that
     holds the leaders alone; the pairs are compared in blocks and few leave the task.
     """
 
@@ -356,14 +359,18 @@ def _scan_wave(members: DataFrame, leaders: int, percent: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     parts = max(2, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = members.select("key", "place", "node", "n", "label", "bits").repartition(parts, "key").sortWithinPartitions("key", "place", "node")
+    if size_of(placed) <= BROADCAST_BYTES:
+        dealt = members.repartition(parts, "key").join(F.broadcast(placed), "node")
+    else:
+        dealt = members.join(placed, "node").repartition(parts, "key")
+    ordered = dealt.select("key", "place", "node", "n", "label", "bits").sortWithinPartitions("key", "place", "node")
     return ordered.mapInArrow(sliced(run), "a long, b long").distinct()
 
 
 def _shared_enough(found: DataFrame) -> DataFrame:
     """The pairs (a, b) whose counted keys, with those of long lists that both may share, are enough."""
     pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    pairs = found.filter("kind = 0").groupBy(*pair).agg(F.count(F.lit(1)).alias("shared"), F.max("need").alias("need"))
+    pairs = stored(found.filter("kind = 0").groupBy(*pair).agg(F.count(F.lit(1)).alias("shared"), F.max("need").alias("need")), "shared")
     single = pairs.filter("shared >= need").select("a", "b")
     long = if_small(stored(found.filter("kind = 1").groupBy("b").agg(F.count(F.lit(1)).alias("long")), "long"))
     rest = (
@@ -375,9 +382,18 @@ def _shared_enough(found: DataFrame) -> DataFrame:
     return single.unionAll(rest.select("a", "b"))
 
 
+def _only(nodes: DataFrame, names: DataFrame) -> DataFrame:
+    """Of more ``nodes`` than a broadcast takes those that ``names`` (node) holds, without a shuffle
+    of all nodes; all of them if the names are too many, too."""
+    if size_of(nodes) <= BROADCAST_BYTES:
+        return nodes
+    names = stored(names.distinct(), "named")
+    return stored(nodes.join(F.broadcast(names), "node", "left_semi"), "named-nodes") if size_of(names) <= BROADCAST_BYTES else nodes
+
+
 def _close_enough(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose bitmaps do not rule a link out, with both documents."""
-    small = if_small(nodes)
+    """Pairs (written) whose bitmaps do not rule a link out, with both documents."""
+    small = if_small(_only(nodes, pairs.select(F.explode(F.array("a", "b")).alias("node"))))
     one = small.select(F.col("node").alias("a"), F.col("doc_id").alias("doc_a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
     two = small.select(F.col("node").alias("b"), F.col("doc_id").alias("doc_b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
     both = pairs.join(one, "a").join(two, "b")
@@ -513,6 +529,21 @@ def _open_lists(members: DataFrame, labels: DataFrame) -> DataFrame:
     return sums.filter("low < high").select("key", "n")
 
 
+def _open_members(members: DataFrame, labels: DataFrame, nodes: DataFrame, boundary: int, percent: int) -> DataFrame:
+    """The (key, node) of open lists that can still hold a link.
+
+    Two sets whose link is not found share long lists only, all of them open and as many as
+    the smaller set, which has ``percent`` of the larger one's size at least, needs.
+    """
+    lists = stored(_open_lists(members, labels), "open")
+    inside = members.join(if_small(lists.select("key")), "key", "left_semi")
+    smaller = F.ceil(F.col("n") * percent / 100)
+    need = F.when(smaller <= boundary * 100 // percent, 1).otherwise(1 + F.floor(smaller / SHARED_PART))
+    counts = inside.groupBy("node").agg(F.count(F.lit(1)).alias("lists"))
+    enough = counts.join(if_small(nodes.select("node", "n")), "node").filter(F.col("lists") >= need).select("node")
+    return inside.join(if_small(stored(enough, "enough")), "node", "left_semi").select("key", "node")
+
+
 def _components(docs: DataFrame, percent: int, rounds: int, short_list: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(signatures, nodes, labels): a row per document, per set, and per set that has a link."""
     found = stored(_signatures(docs, percent), "sets")
@@ -531,16 +562,20 @@ def _components(docs: DataFrame, percent: int, rounds: int, short_list: int) ->
     def link(pairs: DataFrame) -> DataFrame:
         """Verify the pairs not yet tried; labels of all links so far."""
         if tried:
-            pairs = pairs.join(reduce(DataFrame.unionAll, tried), ["a", "b"], "left_anti")
+            pairs = stored(pairs.join(reduce(DataFrame.unionAll, tried), ["a", "b"], "left_anti"), "untried")
         close = stored(_close_enough(pairs, nodes, percent), "close")
         tried.append(close.select("a", "b"))
-        edges.append(stored(_verify(close, docs, percent), "edges"))
+        new = stored(_verify(close, docs, percent), "edges")
+        edges.append(new)
+        if labels is not None and new.limit(1).count() == 0:
+            return labels
         return components(reduce(DataFrame.unionAll, edges))
 
     for turn in range(rounds):
         lists = stored(_scan_lists(_list_rows(docs, wanted, moved, boundary, percent), boundary, short_list, percent), "lists")
         labels = link(stored(_shared_enough(lists), "pairs"))
         members = lists.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"))
+        members = stored(_open_members(members, labels, nodes, boundary, percent), "members")
         open_lists = stored(_open_lists(members, labels), "open")
         new = _heaviest(open_lists)
         if not len(new):
@@ -555,15 +590,18 @@ def _components(docs: DataFrame, percent: int, rounds: int, short_list: int) ->
     placed = nodes.select("node", "n", F.coalesce("doc_id", F.lit(LAST)).alias("place"), "bits")
     leaders = LEADERS
     while True:
-        members = stored(members.join(if_small(open_lists.select("key")), "key", "left_semi"), "members")
         longest = open_lists.agg(F.max("n")).first()[0]
         if longest is None:
             return signatures, nodes, labels
-        named = members.join(if_small(placed), "node").join(if_small(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        labels = link(stored(_scan_wave(named, leaders, percent), "wave"))
+        inside = members.join(if_small(open_lists.select("key")), "key", "left_semi")
+        named = _only(placed, inside.select("node")).join(if_small(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        linked = link(stored(_scan_wave(inside, named, leaders, percent), "wave"))
         if leaders >= longest:
-            return signatures, nodes, labels
-        open_lists = stored(_open_lists(members, labels), "open")
+            return signatures, nodes, linked
+        if linked is not labels:
+            labels = linked
+            members = stored(_open_members(inside, labels, nodes, boundary, percent), "members")
+            open_lists = stored(_open_lists(members, labels), "open")
         leaders *= LEADERS
 
 

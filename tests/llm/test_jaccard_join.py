@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import brute
-from marketmood.llm import jaccard_join
+from marketmood.llm import common, jaccard_join
 from marketmood.llm.jaccard_join import bitmap, keep_one, least_difference, link_documents, prefix_length
 
 
@@ -102,6 +102,41 @@ def test_waves_lose_no_link(make_docs, monkeypatch, leaders):
     assert sorted((tuple(r) for r in found), key=str) == brute.components(rows)
 
 
+def test_sets_in_too_few_open_lists_are_not_joined_again(make_docs, monkeypatch):
+    """Unlike texts with one passage, each met by a task of its own; long near copies are joined again."""
+    seen = []
+    list_rows = jaccard_join._list_rows
+
+    def counted(docs, wanted, *rest):
+        if wanted is not None:
+            seen.extend(wanted.collect())
+        return list_rows(docs, wanted, *rest)
+
+    monkeypatch.setattr(jaccard_join, "_list_rows", counted)
+    passage = " ".join("p%d" % i for i in range(14))
+    rows = [(i, " ".join("t%d-%d" % (i, k) for k in range(200)) + " " + passage) for i in range(12)]
+    assert sorted(tuple(r) for r in link_documents(make_docs(rows).repartition(12), short_list=4).collect()) == [(i, 210, i) for i in range(12)]
+    assert not seen
+    copies = []
+    for i in range(12):
+        words = ["c%d" % k for k in range(200)]
+        for at in range(3 + i, 200, 25):
+            words[at] = "new%d-%d" % (i, at)
+        copies.append((100 + i, " ".join(words)))
+    found = link_documents(make_docs(rows + copies).repartition(24), short_list=4).collect()
+    assert sorted((tuple(r) for r in found), key=str) == brute.components(rows + copies)
+    assert seen and {r["doc_id"] for r in seen} <= {d for d, _ in copies}
+
+
+@pytest.mark.parametrize("options", [{"short_list": 1, "rounds": 1}, {"short_list": 2}])
+def test_tables_too_large_to_broadcast_lose_no_link(make_docs, monkeypatch, options):
+    monkeypatch.setattr(jaccard_join, "LEADERS", 2)
+    for module in (common, jaccard_join):
+        monkeypatch.setattr(module, "BROADCAST_BYTES", 0)
+    rows = texts(9)
+    assert sorted((tuple(r) for r in link_documents(make_docs(rows), **options).collect()), key=str) == brute.components(rows)
+
+
 @pytest.mark.parametrize("options", [{}, {"short_list": 2}])
 def test_null_ids_link_as_near_copies_and_as_bridges(make_docs, options):
     words = ["n%d" % i for i in range(60)]
