@@ -10,9 +10,11 @@ and so a distance beyond which nothing counts; each further visit takes the annu
 the triangle inequality (and the pivot's half-space) leaves within that distance, and the
 last one takes all of them. So nothing is missed, whatever the data.
 
-A query meets a block where the block lies. A block that many queries visit is copied
-for every VISITORS of them, so neither a common vector, which is many blocks of one
-annulus, nor a common query is a task's lot.
+Neighbouring annuli make a cell; a query visits a cell once a turn, with a bit for each of
+its annuli, and meets it where the cell lies. So the rows that move grow with queries times
+cells, not times annuli, however little the bounds rule out. A cell that many queries visit
+is copied for every VISITORS of them, and an annulus larger than a cell is dealt in pieces,
+so neither a common vector nor a common query is a task's lot.
 """
 
 from __future__ import annotations
@@ -34,13 +36,16 @@ SAMPLE = 8192
 # Pivots are the square root of the rows, within these; each has so many annuli.
 LEAST_PIVOTS, MOST_PIVOTS = 8, 512
 ANNULI = 32
-# Numbers of a block of vectors, and queries that meet one copy of it.
+# Numbers of a block of vectors and of a cell, and queries that meet one copy of a cell.
 BLOCK_VALUES = 1 << 17
+CELL_VALUES = 1 << 20
 VISITORS = 2048
 # Vectors a query visits at first, and how many times as many each time after that.
 FIRST_VISIT, GROWTH, VISITS = 512, 8, 3
 # Rows whose distances from all pivots are held at once.
 BATCH = 4096
+# Bounds of queries from annuli, and products of queries with vectors, held at once.
+BOUNDS, PRODUCTS = 1 << 19, 1 << 21
 # Relative slack of the bounds, which are doubles.
 SLACK = 1e-9
 # Sums of products up to here are exact in doubles.
@@ -127,7 +132,10 @@ class PivotSpace:
         return float(np.sqrt(SLACK * size))
 
     def from_pivots(self, queries: np.ndarray) -> np.ndarray:
-        return distances(np.c_[queries, np.zeros(len(queries))], self.pivots)
+        """A query's distances from all pivots; to the last bit the same in whatever batch it comes."""
+        points = np.c_[queries, np.zeros(len(queries))]
+        square = (points**2).sum(axis=1)[:, None] + (self.pivots**2).sum(axis=1)[None, :] - 2 * np.einsum("ij,kj->ik", points, self.pivots)
+        return np.sqrt(np.maximum(square, 0))
 
     def radius(self, queries: np.ndarray, scores: np.ndarray) -> np.ndarray:
         """How far from a query a vector of this score lies."""
@@ -225,13 +233,34 @@ def _blocks(keyed: DataFrame, space: PivotSpace, annuli: int, parts: int) -> Dat
 
 
 class Annuli:
-    """Bounds of all annuli, at most MOST_PIVOTS times ANNULI of them."""
+    """Bounds of all annuli, at most MOST_PIVOTS times ANNULI of them, and the cells they make."""
 
     def __init__(self, rows: list, space: PivotSpace):
         columns = list(zip(*((r["pivot"], r["annulus"], r["low"], r["high"], r["n"]) for r in rows)))
         self.pivot, self.annulus = (np.array(c, np.int64) for c in columns[:2])
         self.low, self.high, self.n = (np.array(c) for c in columns[2:])
         self.space = space
+        self.cell, self.pieces = self._cells(max(1, CELL_VALUES // space.dim))
+        # A cell's annuli are starts[cell] up to starts[cell + 1].
+        self.starts = np.searchsorted(self.cell, np.arange(self.cell[-1] + 2)).tolist()
+
+    def _cells(self, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """Per annulus its cell, which holds neighbours of at most ``most`` rows in all, and the pieces of that cell."""
+        cell, rows = np.zeros(len(self.n), np.int64), []
+        for i, n in enumerate(self.n.tolist()):
+            if not rows or rows[-1] + n > most:
+                rows.append(0)
+            rows[-1] += n
+            cell[i] = len(rows) - 1
+        return cell, -(-np.array(rows)[cell] // most)
+
+    def placed(self, blocks: DataFrame) -> DataFrame:
+        """``blocks`` with their cell, the piece of it they are in, its pieces and the annulus' place in it."""
+        place = np.arange(len(self.n)) - np.array(self.starts)[self.cell]
+        rows = list(zip(*(c.tolist() for c in (self.pivot, self.annulus, self.cell, place, self.pieces))))
+        where = blocks.sparkSession.createDataFrame(rows, "pivot int, annulus int, cell int, place int, pieces int")
+        piece = F.pmod(F.xxhash64("block"), F.col("pieces")).cast("int")
+        return blocks.join(F.broadcast(where), ["pivot", "annulus"]).withColumn("piece", piece)
 
     def least_distances(self, queries: np.ndarray) -> np.ndarray:
         """Per query and annulus a distance that none of its vectors can be nearer than."""
@@ -241,91 +270,139 @@ class Annuli:
         # Nothing is nearer to another pivot than to its own, so at least half the difference away.
         return np.maximum(np.maximum(own - self.high, self.low - own), (own - nearest) / 2) - self.space.slack
 
+    def wanted(self, queries: np.ndarray, radius: np.ndarray, turn: int, last: bool, first_visit: int, growth: int) -> np.ndarray:
+        """Per query and annulus whether it is visited in this turn."""
+        bounds = self.least_distances(queries)
+        order = np.argsort(bounds, axis=1, kind="stable")
+        before = np.cumsum(self.n[order], axis=1) - self.n[order]
+        # An annulus, nearest first, is among those of the turns up to some step.
+        now = np.ones(order.shape, bool) if last else before < first_visit * growth**turn
+        if turn:
+            now &= before >= first_visit * growth ** (turn - 1)
+        out = np.empty(order.shape, bool)
+        np.put_along_axis(out, order, now, 1)
+        return out & (bounds <= radius[:, None])
+
 
 def _visits(queries: DataFrame, annuli: Annuli, turn: int, last: bool, first_visit: int, growth: int) -> DataFrame:
-    """(query, query_id, code, worst, pivot, annulus) of the annuli that the queries visit in this turn.
+    """(query, query_id, code, worst, cell, pieces, places) of the cells that the queries visit in this turn.
 
-    Those nearest first that hold first_visit * growth ** turn vectors in all, less those
-    already visited, less those beyond the k-th neighbour found so far; in the last turn
-    all that are left.
+    ``places`` has a bit for each annulus of the cell. Visited are those nearest first that
+    hold first_visit * growth ** turn vectors in all, less those already visited, less
+    those beyond the k-th neighbour found so far; in the last turn all that are left.
     """
-    names = ["query", "query_id", "code", "worst", "pivot", "annulus"]
-
-    def reached(order: np.ndarray, step: int) -> np.ndarray:
-        """Whether an annulus, nearest first, is among those of the turns up to ``step``."""
-        before = np.cumsum(annuli.n[order]) - annuli.n[order]
-        return before < first_visit * growth**step
+    names = ["query", "query_id", "code", "worst"]
+    step = max(1, BOUNDS // len(annuli.n))
+    parts = max(2, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            vectors = annuli.space.vectors(batch.column("code"))
-            bounds = annuli.least_distances(vectors)
-            worst = batch.column("worst").to_pylist()
-            scores = np.array([0 if w is None else w for w in worst], np.float64)
-            radius = np.where([w is None for w in worst], np.inf, annuli.space.radius(vectors, scores))
-            at, chosen = [], []
-            for i in range(len(vectors)):
-                order = np.argsort(bounds[i], kind="stable")
-                wanted = (np.ones(len(order), bool) if last else reached(order, turn)) & (bounds[i][order] <= radius[i])
-                if turn:
-                    wanted &= ~reached(order, turn - 1)
-                chosen.append(order[wanted])
-                at.append(np.full(len(chosen[-1]), i))
-            rows, places = np.concatenate(at), np.concatenate(chosen)
-            own = batch.select(names[:4]).take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(annuli.pivot[places], pa.int32()), pa.array(annuli.annulus[places], pa.int32())], names)
-
-    return queries.select(*names[:4]).mapInArrow(sliced(run), "query binary, query_id long, code binary, worst long, pivot int, annulus int")
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                vectors = annuli.space.vectors(part.column("code"))
+                worst = part.column("worst").to_pylist()
+                scores = np.array([0 if w is None else w for w in worst], np.float64)
+                radius = np.where([w is None for w in worst], np.inf, annuli.space.radius(vectors, scores))
+                wanted = annuli.wanted(vectors, radius, turn, last, first_visit, growth)
+                rows, cells, places = [], [], []
+                for cell, (s, e) in enumerate(zip(annuli.starts, annuli.starts[1:])):
+                    callers = np.flatnonzero(wanted[:, s:e].any(axis=1))
+                    rows.append(callers)
+                    cells.append(np.full(len(callers), cell))
+                    places += [bits.tobytes() for bits in np.packbits(wanted[callers, s:e], axis=1)]
+                of, cell = np.concatenate(rows), np.concatenate(cells)
+                own = part.select(names).take(pa.array(of))
+                pieces = annuli.pieces[np.array(annuli.starts)[cell]]
+                added = [pa.array(cell, pa.int32()), pa.array(pieces, pa.int32()), pa.array(places, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*own.columns, *added], [*names, "cell", "pieces", "places"])
+
+    # The few rows of queries are much work each, so all tasks get some.
+    dealt = queries.select(*names).repartition(parts, "query")
+    return dealt.mapInArrow(sliced(run), "query binary, query_id long, code binary, worst long, cell int, pieces int, places binary")
+
+
+class _Cell:
+    """The vectors of a piece of a cell in order of their ids, null ids last."""
+
+    def __init__(self, blocks: list[pa.RecordBatch], space: PivotSpace):
+        table = pa.Table.from_batches(blocks)
+        known = table.column("ids").combine_chunks()
+        ids = known.flatten()
+        nameless = ids.is_null().to_numpy(zero_copy_only=False)
+        ids = ids.fill_null(0).to_numpy()
+        order = np.lexsort((ids, nameless))
+        place = np.repeat(table.column("place").to_numpy(), np.diff(known.offsets.to_numpy()))
+        self.ids, self.nameless, self.place = ids[order], nameless[order], place[order]
+        self.vectors = space.vectors(table.column("code"))[order]
+        self.space = space
+
+    def best(self, callers: pa.RecordBatch, k: int) -> list[pa.Array]:
+        """The callers' rows and, for each, the id and score of its k best vectors here."""
+        places = np.frombuffer(b"".join(callers.column("places").to_pylist()), np.uint8).reshape(len(callers), -1)
+        wanted = np.unpackbits(places, axis=1).astype(bool)
+        scores = inner_products(self.space.vectors(callers.column("code")), self.vectors)
+        query_id = callers.column("query_id").to_numpy()
+        hit = wanted[:, self.place]
+        hit &= (self.ids != query_id[:, None]) | self.nameless
+        least = np.iinfo(np.int64).min
+        worst = np.array([least if w is None else w for w in callers.column("worst").to_pylist()], np.int64)
+        hit &= scores >= worst[:, None]
+        many = np.flatnonzero(hit.sum(axis=1) > 4 * k)
+        if len(many):
+            # Ties at the k-th place stay until they are ordered by id.
+            some = np.where(hit[many], scores[many], least)
+            at = some.shape[1] - k
+            hit[many] &= scores[many] >= np.partition(some, at, axis=1)[:, at][:, None]
+        caller, vector = np.nonzero(hit)
+        found = scores[caller, vector]
+        # Stable, so equal scores stay in the order of ids; ~ reverses the order without overflow.
+        order = np.lexsort((~found, caller))
+        rank = np.arange(len(order)) - np.searchsorted(caller, caller[order])
+        order = order[rank < k]
+        own, vector = callers.select(["query", "query_id"]).take(pa.array(caller[order])), vector[order]
+        return [*own.columns, pa.array(self.ids[vector], pa.int64(), mask=self.nameless[vector]), pa.array(found[order], pa.int64())]
 
 
 def _scored(visits: DataFrame, blocks: DataFrame, space: PivotSpace, k: int, visitors: int) -> DataFrame:
-    """(query, query_id, vec_id, score): per block and query visiting it, the k best rows there."""
+    """(query, query_id, vec_id, score): per piece of a cell and query visiting it, the k best rows there."""
     parts = max(2, int(visits.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    place = ["pivot", "annulus"]
-    counts = if_small(stored(visits.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / visitors).cast("int").alias("splits")), "splits"))
-    copies = blocks.join(counts, place).select("block", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("split"), F.lit(None).cast("binary").alias("query"), "ids", F.col("codes").alias("code"), F.lit(None).cast("long").alias("worst"), F.lit(None).cast("long").alias("query_id"))
-    met = visits.join(counts, place).join(if_small(stored(blocks.select("block", *place), "places")), place)
-    callers = met.select("block", F.pmod(F.xxhash64("query"), F.col("splits")).cast("int").alias("split"), "query", F.lit(None).cast("array<long>").alias("ids"), "code", "worst", "query_id")
-
-    def best(queries: list, scores: np.ndarray, ids: np.ndarray, nameless: np.ndarray) -> Iterator[tuple]:
-        for (query, query_id, worst), own in zip(queries, scores):
-            kept = np.flatnonzero((ids != query_id) | nameless)
-            if worst is not None:
-                kept = kept[own[kept] >= worst]
-            if len(kept) > k:
-                # Ties at the k-th place stay until they are ordered by id.
-                kept = kept[own[kept] >= np.partition(own[kept], len(kept) - k)[len(kept) - k]]
-            order = kept[np.lexsort((ids[kept], nameless[kept], -own[kept]))][:k]
-            for i in order.tolist():
-                yield query, query_id, None if nameless[i] else int(ids[i]), int(own[i])
+    counts = if_small(stored(visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / visitors).cast("int").alias("splits")), "splits"))
+    none = {"query": "binary", "query_id": "long", "worst": "long", "places": "binary", "place": "int", "ids": "array<long>"}
+    names = ["cell", "piece", "split", "query", "query_id", "code", "worst", "places", "place", "ids"]
+    copies = blocks.join(counts, "cell").withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1))).withColumnRenamed("codes", "code")
+    copies = copies.withColumns({c: F.lit(None).cast(none[c]) for c in ("query", "query_id", "worst", "places")})
+    callers = visits.join(counts, "cell").withColumn("split", F.pmod(F.xxhash64("query"), F.col("splits")).cast("int"))
+    callers = callers.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    callers = callers.withColumns({c: F.lit(None).cast(none[c]) for c in ("place", "ids")})
+    most = PRODUCTS
+    kinds = pa.schema([("query", pa.binary()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, vectors, ids, nameless = None, None, None, None
+        here, held, cell = None, [], None
         for batch in batches:
-            out: list[tuple] = []
-            block, split = (batch.column(c).to_numpy() for c in ("block", "split"))
-            starts = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (split[1:] != split[:-1])]).tolist() if len(block) else []
-            for s, e in zip(starts, [*starts[1:], len(block)]):
-                if here != (block[s], split[s]):
-                    here = (block[s], split[s])
-                    known = batch.column("ids")[s].as_py()
-                    nameless = np.array([x is None for x in known])
-                    ids = np.array([0 if x is None else x for x in known], np.int64)
-                    vectors = space.vectors(batch.column("code").slice(s, 1))
-                    s += 1
-                if s < e:
-                    callers = batch.slice(s, e - s)
-                    queries = list(zip(*(callers.column(c).to_pylist() for c in ("query", "query_id", "worst"))))
-                    scores = inner_products(space.vectors(callers.column("code")), vectors)
-                    out += best(queries, scores, ids, nameless)
-            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["query", "query_id", "vec_id", "score"])
-
-    rows = copies.unionByName(callers)
-    # A block's vectors come first, its queries stream past them.
-    ordered = rows.repartition(parts, "block", "split").sortWithinPartitions("block", "split", F.col("query").isNotNull(), "query")
+            out: list[pa.RecordBatch] = []
+            key = np.array([batch.column(c).to_numpy() for c in names[:3]])
+            starts = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)]).tolist() if batch.num_rows else []
+            calls = batch.column("query").is_valid().to_numpy(zero_copy_only=False)
+            for s, e in zip(starts, [*starts[1:], batch.num_rows]):
+                if here != key[:, s].tolist():
+                    here, held, cell = key[:, s].tolist(), [], None
+                first = s + int((~calls[s:e]).sum())
+                if s < first:
+                    held.append(batch.slice(s, first - s).select(["code", "place", "ids"]))
+                # A piece of a cell can be empty, as its blocks are dealt by hash.
+                if first < e and (held or cell is not None):
+                    if cell is None:
+                        cell, held = _Cell(held, space), []
+                    step = max(1, most // len(cell.ids))
+                    for at in range(first, e, step):
+                        own = cell.best(batch.slice(at, min(step, e - at)), k)
+                        out.append(pa.RecordBatch.from_arrays(own, schema=kinds))
+            yield from pa.Table.from_batches(out, kinds).combine_chunks().to_batches()
+
+    rows = copies.select(*names).unionByName(callers.select(*names))
+    # A cell's vectors come first, its queries stream past them.
+    ordered = rows.repartition(parts, *names[:3]).sortWithinPartitions(*names[:3], F.col("query").isNotNull(), "query")
     return ordered.mapInArrow(sliced(run), "query binary, query_id long, vec_id long, score long")
 
 
@@ -370,10 +447,11 @@ def top_k(
     if not bounds:
         return found.select("query_id", "rank", "vec_id", "score")
     rings = Annuli(bounds, space)
+    placed = rings.placed(blocks)
     for turn in range(visits):
         worst = found.filter(F.col("rank") == k).select("query", F.col("score").alias("worst"))
         open_queries = queries.join(if_small(worst), "query", "left")
         wanted = stored(_visits(open_queries, rings, turn, turn == visits - 1, first_visit, growth), "visits")
-        scored = _scored(wanted, blocks, space, k, visitors)
+        scored = _scored(wanted, placed, space, k, visitors)
         found = stored(_best(found.drop("rank").unionByName(scored), k), "found")
     return found.select("query_id", "rank", "vec_id", "score")

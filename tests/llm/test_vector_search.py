@@ -80,6 +80,37 @@ def test_most_of_the_index_is_not_visited(spark):
     assert (open_rings * rings.n).sum() < 0.6 * len(queries) * len(vectors)
 
 
+def test_a_query_visits_a_cell_once(spark, monkeypatch):
+    """Vectors without clusters, of which no annulus can be ruled out: rows that move grow with cells, not with annuli."""
+    monkeypatch.setattr(vector_search, "CELL_VALUES", 16 * 200, raising=False)
+    monkeypatch.setattr(vector_search, "BOUNDS", 300, raising=False)
+    draw = np.random.default_rng(3)
+    vectors = draw.normal(size=(1000, 16))
+    rows = vector_search.usable(spark.createDataFrame([(i, v, "x") for i, v in enumerate(vectors.tolist())], SCHEMA))
+    space = vector_search.fit_space(rows)
+    keyed = vector_search._keyed(rows, space)
+    rings = vector_search.Annuli(vector_search._blocks(keyed, space, 8, 2).orderBy("pivot", "annulus").collect(), space)
+    asked = keyed.filter("vec_id % 20 = 0").selectExpr("cast(cast(vec_id as string) as binary) query", "vec_id query_id", "code", "cast(null as long) worst")
+    visits = vector_search._visits(asked, rings, 0, True, 1, 1).collect()
+    assert len(visits) <= 50 * 10
+    cells = rings.cell[-1] + 1
+    assert 5 <= cells <= 10 and len(rings.n) > 100
+    assert len(visits) == 50 * cells == len({(r["query_id"], r["cell"]) for r in visits})
+    assert sum(int.from_bytes(r["places"], "big").bit_count() for r in visits) == 50 * len(rings.n)
+    # The annuli of a turn are told from those of the turn before by their order, so it may not depend on the batch.
+    queries = np.floor(1024 * vectors[::20])
+    alone = np.concatenate([rings.least_distances(queries[i : i + 1]) for i in range(50)])
+    assert (rings.least_distances(queries) == alone).all()
+
+
+def test_a_large_annulus_is_dealt_in_pieces(spark, monkeypatch):
+    for name, value in (("BLOCK_VALUES", 40), ("CELL_VALUES", 120), ("BOUNDS", 64), ("PRODUCTS", 90)):
+        monkeypatch.setattr(vector_search, name, value)
+    rows = cloud(2, 120, 4) + [(1000 + i, [1.0, 1.0, 0.0, 0.5]) for i in range(250)] + [(None, [1.0, 1.0, 0.0, 0.5])] * 2
+    found = vector_search.top_k(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA).repartition(5), every=50, visitors=3, first_visit=20, growth=2)
+    assert as_rows(found) == brute(rows, every=50)
+
+
 @pytest.mark.parametrize("kind", ["float", "double"])
 def test_query_equals_all_products(spark, sf_dir, kind):
     frame = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
