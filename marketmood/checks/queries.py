@@ -762,7 +762,7 @@ def backtest_files(spark, d):
     path = storage.new_path(spark, "backtest")
     value = storage.written(backtest.holding_value(t.stock_prices(spark, d, "user_id")), "value")
     sinks.write_backtest_metrics(backtest.backtest_metrics(value), path)
-    return rounded(spark.read.schema("total_return double, sharpe_ratio double, ticker string").json(path))
+    return rounded(sinks.read_backtest_metrics(spark, path))
 
 
 # Charts.

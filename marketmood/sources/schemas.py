@@ -19,3 +19,4 @@ STORIES = (
     "ticker STRING, stories ARRAY<STRUCT<time: BIGINT, title: STRING, description: STRING>>"
 )
 BLEND = "pos_thresh DOUBLE, weight DOUBLE"
+BACKTEST = "total_return DOUBLE, sharpe_ratio DOUBLE, ticker STRING"

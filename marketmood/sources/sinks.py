@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketmood.sources.schemas import BLEND
+from marketmood.sources.schemas import BACKTEST, BLEND
 
 
 def write_by_ticker(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -61,15 +61,30 @@ def write_metrics_text(metrics: DataFrame, name: str, path: str) -> None:
 
 
 def write_backtest_metrics(metrics: DataFrame, path: str) -> None:
-    """JSON, one folder per ticker; only the tickers written are replaced."""
+    """JSON, one folder per ticker; only the tickers written are replaced.
+
+    A folder costs far more than the bytes of its row, by which adaptive execution would
+    give all rows to one task, so they are dealt to as many as a shuffle has, by a hash of
+    the ticker: dealt by the ticker itself, rows grouped by it would stay where they are.
+    """
     (
-        metrics.write.mode("overwrite")
+        metrics.repartition(_tasks(metrics.sparkSession), F.xxhash64("ticker"))
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("ticker")
         .json(path)
     )
 
 
+def read_backtest_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """The metrics of all tickers as written, in few tasks; Spark alone would read a few small files in each."""
+    return spark.read.schema(BACKTEST).json(path).coalesce(_tasks(spark))
+
+
+def _tasks(spark: SparkSession) -> int:
+    return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def write_blend(best: DataFrame, path: str) -> None:
     """The tuned threshold and weight as one JSON row."""
     best.select("pos_thresh", "weight").write.mode("overwrite").json(path)

@@ -214,6 +214,21 @@ def test_metric_and_parameter_files(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "k")).count() == 2
 
 
+def test_backtest_folders_are_shared_out(spark, tmp_path):
+    """A folder per ticker, written by several tasks and read by few; only the tickers written are replaced."""
+    path = tmp_path / "k"
+    schema = "ticker string, total_return double, sharpe_ratio double"
+    rows = spark.createDataFrame([(f"{i:04d}", i / 4, None) for i in range(40)], schema)
+    grouped = rows.groupBy("ticker").agg(F.max("total_return").alias("total_return"), F.max("sharpe_ratio").alias("sharpe_ratio"))
+    sinks.write_backtest_metrics(grouped, str(path))
+    files = list(path.glob("ticker=*/part-*.json"))
+    assert len(files) == 40 and len({f.name.split("-")[1] for f in files}) > 1
+    sinks.write_backtest_metrics(spark.createDataFrame([("0007", 9.0, 2.0)], schema), str(path))
+    found = sinks.read_backtest_metrics(spark, str(path))
+    assert found.columns == ["total_return", "sharpe_ratio", "ticker"] and found.rdd.getNumPartitions() <= 4
+    assert {tuple(r) for r in found.collect()} == {(i / 4, None, f"{i:04d}") for i in range(40) if i != 7} | {(9.0, 2.0, "0007")}
+
+
 @pytest.mark.parametrize("tmpdir", [None, "/scratch/own"])
 def test_a_cluster_needs_a_shared_folder(monkeypatch, tmpdir):
     class Conf:
